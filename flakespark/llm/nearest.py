@@ -8,6 +8,7 @@ the best cosine that they could hold and stops when no block can beat its k-th h
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_array, text_chunks
+from .common import column_array, cut, text_chunks
 from .kernels import LOWER, span_hashes, word_spans
 
 #: Bounds of the model: labelled rows that are read, terms that are kept, rows that a term needs.
 SAMPLE_ROWS, TERMS, TERM_ROWS = 20000, 4096, 4
-#: Standard deviations by which a term's rows must exceed the base rate.
-MARKED = 5.0
+#: A term's rate of the label is at least LIFT times the base rate, and by chance no term
+#: in CHANCE such samples would have as many labelled rows.
+LIFT, CHANCE = 3.0, 20
 PREFIXES = (4, 5, 6, 7)
 #: Neighbours that vote, examples in a block, weight of the base rate in a vote.
-NEIGHBOURS, BLOCK, PRIOR = 16, 64, 0.5
+NEIGHBOURS, BLOCK, PRIOR = 16, 64, 2.0
 
 
 def row_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +148,9 @@ class Model:
         return terms, w / norm if norm else w
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, list[int]]:
-        """Cosine-weighted share of the label among the neighbours, drawn towards the base rate."""
+        """Share of the label among the neighbours by squared cosine, drawn towards the base rate."""
         places, near = self.index.search(terms, weights, NEIGHBOURS, without)
+        near = near * near
         return float(((near * self.index.labels[places]).sum() + PRIOR * self.base) / (near.sum() + PRIOR)), self.index.ids[places].tolist()
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
@@ -196,8 +199,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
         return Model(np.zeros(0, np.uint64), np.zeros(0), [], 0.0)
     base = sums["hits"] / sums["n"]
     counts = sample.dropDuplicates(["text"]).mapInArrow(_distinct_terms, "term long, n long, hits long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    excess = (F.col("hits") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base) + 1e-9)
-    top = counts.where(F.col("n") >= TERM_ROWS).withColumn("z", excess).where(F.col("z") > MARKED).orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()
+    # binomial deviance of the rate against the base rate, with the number of terms tried
+    counts = cut(counts.where(F.col("n") >= TERM_ROWS))
+    tried = max(1, counts.count())
+    rate = F.col("hits") / F.col("n")
+    inner = F.when(rate < 1, (1 - rate) * F.log(F.nullif(1 - rate, F.lit(0.0)) / (1 - base))).otherwise(0.0)
+    deviance = F.col("n") * (rate * F.log(rate / base) + inner)
+    marked = counts.where((rate >= LIFT * base) | (rate == 1)).withColumn("deviance", deviance).where(F.col("deviance") >= math.log(CHANCE * tried))
+    top = marked.orderBy(F.desc("deviance"), "term").limit(TERMS).select("term").collect()
     vocabulary = np.sort(np.array([r["term"] for r in top], np.int64).view(np.uint64))
     df = {r["t"]: r["n"] for r in texts.select("doc_id", "text").mapInArrow(lambda b: _frequencies(b, vocabulary), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     weight = np.log(1 + df.get(-1, 0) / (1 + np.array([df.get(t, 0) for t in range(len(vocabulary))], float)))
