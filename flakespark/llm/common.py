@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are no longer held.
+
+    It learns of them when the driver collects its garbage, which on its own may be
+    long after a step that a table in the checkpoint folder has replaced.
+    """
+    for _ in range(4):  # early rounds free the plans, later ones what only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_array, cut, group_bounds, partitions, probable_members, text_chunks, whole_groups
+from .common import column_array, cut, group_bounds, partitions, probable_members, release, text_chunks, whole_groups
 from .kernels import window_hashes
 
 #: Width of the hashed grams of which the smallest in a string is its anchor.
@@ -28,6 +28,8 @@ GRAM = 20
 #: Segments of one anchor in a piece of its shard.
 PIECE = 8192
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: 48 bits of a gram's hash travel; two grams that share them only cost a comparison.
+_SHORT = np.uint64(0xFFFFFFFFFFFF)
 
 
 def _rolling(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -40,12 +42,12 @@ def _rolling(values: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the smallest of some string of `length` bytes."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that are the smallest of some string of `length` bytes, and every string's smallest."""
     gram = min(GRAM, length)
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = window_hashes(data, gram)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    hashes = window_hashes(data, gram) & _SHORT
     # grams across the end of a row count for nothing
     for k in range(1, gram):
         over = offsets[1:-1] - k
@@ -55,7 +57,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     # a gram is an anchor if it equals the largest of the minima of the windows that hold it
     padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     chosen = np.flatnonzero((hashes == _rolling(padded, width, np.maximum)) & (hashes != _NONE))
-    return chosen, hashes[chosen]
+    return chosen, hashes[chosen], least
+
+
+def spans(pos: np.ndarray, h: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings whose smallest gram is at pos."""
+    reach = length - min(GRAM, length)
+    first, last = pos.copy(), pos - reach
+    for back in range(reach, -1, -1):
+        start = pos - back
+        own = (start >= 0) & (start < len(least))
+        own[own] = least[start[own]] == h[own]
+        first = np.where(own, np.minimum(first, start), first)
+        last = np.where(own, start, last)
+    return first, last
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
@@ -69,7 +84,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     head = np.ones(n, bool)
     head[1:] = ranked[1:] != ranked[:-1]
@@ -86,7 +101,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         pos = order[at]
         nxt = np.where(pos + ahead < n, rank[np.minimum(pos + ahead, n - 1)] + 1, 0)
         compound = rank[pos] * (n + 1) + nxt
-        inner = np.argsort(compound, kind="stable")
+        inner = np.argsort(compound)
         order[at] = pos[inner]
         compound = compound[inner]
         head[at[1:]] = (compound[1:] != compound[:-1]) | head[at[1:]]
@@ -124,7 +139,7 @@ def _starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     for batch in batches:
         ids = column_array(batch, "doc_id")
         for a, b, data, offsets in text_chunks(batch.column(1)):
-            pos, h = anchors(data, offsets, length)
+            pos, h, _ = anchors(data, offsets, length)
             row = np.searchsorted(offsets, pos, "right") - 1
             order = np.lexsort((row, h))
             h, row = h[order], row[order]
@@ -147,15 +162,14 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes in which a string around a shared anchor can lie."""
-    gram = min(GRAM, length)
+    """The bytes of the strings that a shared anchor stands for."""
     for batch in batches:
         ids = column_array(batch, "doc_id")
         names = batch.schema.names
         wanted = batch.column(names.index("hs"))
         ends, flat = wanted.offsets.to_numpy(), wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
         for a, b, data, offsets in text_chunks(batch.column(names.index("text"))):
-            pos, h = anchors(data, offsets, length)
+            pos, h, least = anchors(data, offsets, length)
             row = np.searchsorted(offsets, pos, "right") - 1
             cuts = np.searchsorted(row, np.arange(b - a + 1))
             keep = np.zeros(len(pos), bool)
@@ -164,8 +178,9 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 if i < j:
                     keep[i:j] = np.isin(h[i:j], flat[ends[a + k] : ends[a + k + 1]])
             pos, h, row = pos[keep], h[keep], row[keep]
-            low = np.maximum(pos - (length - gram), offsets[row])
-            high = np.minimum(pos + length, offsets[row + 1])
+            first, last = spans(pos, h, least, length)
+            low = np.maximum(first, offsets[row])
+            high = np.minimum(last + length, offsets[row + 1])
             fits = high - low >= length
             low, high, row, h = low[fits], high[fits], row[fits], h[fits]
             raw = data.tobytes()
@@ -184,47 +199,68 @@ def _equal_strings(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[n
     return order[whole], group[whole]
 
 
-def _marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, stop) of byte runs that an earlier document has."""
+def _marks(batches: Iterator[pa.RecordBatch], length: int, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, stop) of byte runs that an earlier document has; rows are sorted by (h, doc_id)."""
     seen: tuple[np.ndarray, np.ndarray] | None = None
-    for cols, continues, unfinished in whole_groups(batches, ["h"], PIECE):
-        ids, start = cols["doc_id"], cols["start"]
-        sizes = np.array([len(x) for x in cols["bytes"]], np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        data = np.frombuffer(b"".join(cols["bytes"]), np.uint8)
-        pos, group = _equal_strings(data, begins, length)
-        if not len(pos):
-            continue
-        row = np.searchsorted(begins, pos, "right") - 1
-        doc = ids[row]
-        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.minimum.reduceat(doc, heads)
-        if continues or unfinished:
-            # distinct strings of this piece in order; the last byte keeps zeros at the end apart
-            strings = np.empty((len(heads), length + 1), np.uint8)
-            strings[:, :length] = data[pos[heads][:, None] + np.arange(length)]
-            strings[:, length] = 1
-            strings = strings.view(f"S{length + 1}").ravel()
-            if continues and seen is not None:
-                there = np.minimum(np.searchsorted(seen[0], strings), len(seen[0]) - 1)
-                least = np.where(seen[0][there] == strings, np.minimum(least, seen[1][there]), least)
-                strings_all = np.concatenate([seen[0], strings])
-                first = np.argsort(strings_all, kind="stable")
-                strings_all, docs = strings_all[first], np.concatenate([seen[1], least])[first]
-                fresh = np.concatenate([[True], strings_all[1:] != strings_all[:-1]])
-                seen = strings_all[fresh], docs[fresh]
-            else:
-                by = np.argsort(strings, kind="stable")
-                seen = strings[by], least[by]
-            if not unfinished:
-                seen = None
-        sizes_of = np.diff(np.concatenate([heads, [len(pos)]]))
-        later = doc > np.repeat(least, sizes_of)
-        doc, begin = doc[later], (start[row] + pos - begins[row])[later]
-        if not len(doc):
-            continue
-        by = np.lexsort((begin, doc))
-        yield pa.record_batch(dict(zip(("doc_id", "start", "stop"), map(pa.array, _merged(doc[by], begin[by], begin[by] + length)))))
+    for cols, continues, unfinished in whole_groups(batches, ["h"], piece):
+        ids, start, h = cols["doc_id"], cols["start"], cols["h"]
+        # equal segments of an anchor stand once in the array, for their smallest document
+        number: dict[tuple[int, bytes], int] = {}
+        kind = np.array([number.setdefault(x, len(number)) for x in zip(h.tolist(), cols["bytes"])], np.int64)
+        texts = [x for _, x in number]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        rep = np.unique(kind, return_index=True)[1]
+        whole = continues or unfinished
+        several = np.ones(len(texts), bool)
+        if not whole:
+            # an anchor with one segment needs no sorting: its strings are equal throughout
+            groups, of = np.unique(h[rep], return_inverse=True)
+            several = np.bincount(of, minlength=len(groups))[of] > 1
+        own_doc = ids[rep]
+        strings_of = sizes - length + 1
+        at = np.concatenate([[0], np.cumsum(strings_of)])
+        least = np.repeat(own_doc, strings_of)
+        if several.any():
+            chosen = np.flatnonzero(several)
+            begins = np.concatenate([[0], np.cumsum(sizes[chosen])])
+            data = np.frombuffer(b"".join(texts[k] for k in chosen), np.uint8)
+            pos, group = _equal_strings(data, begins, length)
+            row = np.searchsorted(begins, pos, "right") - 1
+            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            lowest = np.minimum.reduceat(own_doc[chosen[row]], heads)
+            if whole:
+                seen, lowest = _against_seen(data, pos[heads], lowest, length, seen if continues else None)
+                if not unfinished:
+                    seen = None
+            least[at[chosen[row]] + pos - begins[row]] = np.repeat(lowest, np.diff(np.append(heads, len(pos))))
+        # every row's strings, against the smallest document that has them
+        count = strings_of[kind]
+        row = np.repeat(np.arange(len(ids)), count)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        later = ids[row] > least[at[kind[row]] + inner]
+        doc, begin = ids[row][later], (start[row] + inner)[later]
+        if len(doc):
+            by = np.lexsort((begin, doc))
+            yield pa.record_batch(dict(zip(("doc_id", "start", "stop"), map(pa.array, _merged(doc[by], begin[by], begin[by] + length)))))
+
+
+def _against_seen(data: np.ndarray, heads: np.ndarray, lowest: np.ndarray, length: int, seen: tuple[np.ndarray, np.ndarray] | None) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Merges a piece's distinct strings, in suffix order, with those of the pieces before it, by binary search."""
+    # the last byte keeps zeros at the end apart
+    strings = np.empty((len(heads), length + 1), np.uint8)
+    strings[:, :length] = data[heads[:, None] + np.arange(length)]
+    strings[:, length] = 1
+    strings = strings.view(f"S{length + 1}").ravel()
+    if seen is None:
+        by = np.argsort(strings, kind="stable")
+        return (strings[by], lowest[by]), lowest
+    there = np.minimum(np.searchsorted(seen[0], strings), len(seen[0]) - 1)
+    known = seen[0][there] == strings
+    lowest = np.where(known, np.minimum(lowest, seen[1][there]), lowest)
+    fresh = np.flatnonzero(~known)
+    fresh = fresh[np.argsort(strings[fresh], kind="stable")]
+    places = np.searchsorted(seen[0], strings[fresh])
+    return (np.insert(seen[0], places, strings[fresh]), np.insert(seen[1], places, lowest[fresh])), lowest
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,11 +323,15 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_
     met = starts.repartition(n, "h").sortWithinPartitions("h", "doc_id").mapInArrow(_met, "h long, doc_id long")
     wanted = cut(met.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("h").alias("hs")))
 
+    del starts, met
+    release(docs.sparkSession)
     near = probable_members(texts, wanted, "doc_id").join(wanted, "doc_id")
     segments = near.select("doc_id", "text", "hs").mapInArrow(lambda b: _segments(b, length), "h long, doc_id long, start long, bytes binary")
     marks = segments.repartition(n, "h").sortWithinPartitions("h", "doc_id").mapInArrow(lambda b: _marks(b, length), "doc_id long, start long, stop long")
     runs = cut(marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
 
+    del near, segments, marks
+    release(docs.sparkSession)
     more = ", kept_text string" if with_text else ""
     cleaned = probable_members(texts, runs, "doc_id").join(runs, "doc_id").mapInArrow(lambda b: _kept(b, with_text), "doc_id long, n_removed long, n_spans long, kept_sha256 string" + more).distinct()
     whole = F.sha2(F.lit(""), 256)
