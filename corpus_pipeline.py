@@ -27,11 +27,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that earlier documents hold; texts that are empty then go (op 2)."""
-    cleaned = suffix.suffix_dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", F.coalesce("kept_text", F.lit("")).alias("kept_text")).distinct()
-    out = docs.join(cleaned, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text")).drop("kept_text")
-    emptied = F.col("changed") & (F.btrim("text") == "")
-    marked = out.join(cleaned.select("doc_id", F.lit(True).alias("changed")), "doc_id", "left").where(~F.coalesce(emptied, F.lit(False)))
-    return marked.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cleaned = suffix.suffix_dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", F.coalesce("kept_text", F.lit("")).alias("kept_text")).dropDuplicates(["doc_id"])
+    out = docs.join(cleaned, "doc_id", "left")
+    changed = F.col("kept_text").isNotNull()
+    out = out.where(~changed | (F.btrim("kept_text") != ""))
+    return out.withColumn("n_chars", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

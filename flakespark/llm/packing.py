@@ -155,7 +155,8 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, tokens: int, segments:
             "doc_tokens": pa.array(size, pa.int64()), "sequence_id": pa.array([base + s for s in sequence], pa.int64()), "offset": pa.array(offset, pa.int64()),
         }
         if with_ids:
-            cols["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
+            flat = np.concatenate(ids).astype(np.int32)
+            cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(flat))
         return pa.record_batch(cols)
 
     for batch in batches:

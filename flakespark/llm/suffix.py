@@ -308,7 +308,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_
     bytes left, one row for each input row; with_text adds kept_text, the bytes left
     as text (parts of cut characters go).  Null text is empty; strings never cross
     documents and are judged on the input.  Rows that repeat a doc_id are the same
-    document and do not clean each other by that; a row without an id is kept whole
+    document (and have its text) and do not clean each other by that; a row without an id is kept whole
     and cleans nothing.  Shorter texts than length stay.  Other columns are ignored.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
@@ -333,7 +333,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_
     del near, segments, marks
     release(docs.sparkSession)
     more = ", kept_text string" if with_text else ""
-    cleaned = probable_members(texts, runs, "doc_id").join(runs, "doc_id").mapInArrow(lambda b: _kept(b, with_text), "doc_id long, n_removed long, n_spans long, kept_sha256 string" + more).distinct()
+    cleaned = probable_members(texts, runs, "doc_id").join(runs, "doc_id").mapInArrow(lambda b: _kept(b, with_text), "doc_id long, n_removed long, n_spans long, kept_sha256 string" + more).dropDuplicates(["doc_id"])
     whole = F.sha2(F.lit(""), 256)
     gone = copies.withColumn("gone", F.lit(True))
     out = facts.join(gone, "doc_id", "left").join(cleaned, "doc_id", "left").select(
