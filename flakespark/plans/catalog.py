@@ -483,9 +483,9 @@ def method_extract(spark, sf_dir):
     return p.select("id", javacode.extract_method("generated", "name").alias("method"))
 
 
-@query(f"WITH {duck('calls')}, {D.PRICES} SELECT time_bucket(INTERVAL '1 hour', ts) AS start, model, component, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, round(sum((tokens_in * coalesce(a, 0) + tokens_out * coalesce(b, 0)) / 1e6), 6) AS cost FROM calls LEFT JOIN prices USING (model) GROUP BY ALL")
+@query(f"WITH {duck('calls')}, {D.PRICES} SELECT time_bucket(INTERVAL '1 hour', ts) AS start, model, component, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, round(sum((tokens_in * coalesce(a, 0) + tokens_out * coalesce(b, 0)) / 1e6), 8) AS cost FROM calls LEFT JOIN prices USING (model) GROUP BY ALL")
 def windowed_ledger(spark, sf_dir):
-    return rounded(streaming.windowed_costs(view(spark, sf_dir, "calls")).select("start", "model", "component", "calls", "tokens_in", "cost"))
+    return rounded(streaming.windowed_costs(view(spark, sf_dir, "calls")).select("start", "model", "component", "calls", "tokens_in", "cost"), 8)
 
 
 @query()
