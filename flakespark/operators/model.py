@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def with_retry(client: Client, attempts: int = 3, base: float = 1.0, interval: f
 def generate(requests: DataFrame, client: Client = offline_client, cache: DataFrame | None = None, model: str = "offline", system: str = "", prompt: str = "prompt", parallelism: int | None = None) -> DataFrame:
     """Adds cache_key and response.  Equal prompts are asked once; the cache's answers are not asked again.
 
-    parallelism bounds the calls in flight.  Row order and repeats do not matter.
+    parallelism bounds the calls in flight.  Replies are persisted on disk.  Row order and repeats do not matter.
     """
     keyed = requests.withColumn("cache_key", cache_key(F.lit(model), F.lit(system), prompt))
     asked = keyed.select("cache_key", F.col(prompt).alias("__prompt")).dropDuplicates(["cache_key"])
@@ -75,7 +76,8 @@ def generate(requests: DataFrame, client: Client = offline_client, cache: DataFr
         for pdf in batches:
             yield pd.DataFrame({"cache_key": pdf["cache_key"], "response": [client(p or "", system) for p in pdf["__prompt"]]})
 
-    answers = asked.mapInPandas(run, "cache_key string, response string")
+    # kept, so that later steps reuse the replies and do not call again
+    answers = asked.mapInPandas(run, "cache_key string, response string").persist(StorageLevel.DISK_ONLY)
     if known is not None:
         answers = answers.unionByName(known)
     return keyed.join(answers, "cache_key", "left")

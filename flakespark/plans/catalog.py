@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flakespark.functions import cascade, code, names, replies, signatures
-from flakespark.operators import agreement, classify, grouping, javacode, ledger, model, partition_metrics, sampling, stats, textmetrics, vectors
+from flakespark.operators import agreement, classify, diagnosis, grouping, javacode, ledger, model, partition_metrics, repair, sampling, stats, textmetrics, vectors
 from flakespark.plans import duckdb_sql as D
 from flakespark.plans import features
 from flakespark.plans.views import duck, read, view
@@ -464,6 +464,41 @@ def diagnose(spark, sf_dir):
     return model.diagnose(rows).select("cluster_id", "n_tests", "diagnosis")
 
 
+@query()
+def diagnosis_summary(spark, sf_dir):
+    """Diagnoses of both methods for each signature group, judged by the offline model against the group's category."""
+    rows = grouping.first_seen_groups(_features(spark, sf_dir), signatures.default_signature())
+    causes = rows.groupBy("cluster_id").agg(F.concat(F.lit("cause: "), F.min_by("category", "ord")).alias("cause"))
+    single = model.diagnose(rows).select("cluster_id", F.lit("individual").alias("method"), "diagnosis")
+    shared = model.generate(model.collective_prompts(rows), model.offline_client).select("cluster_id", F.lit("collective").alias("method"), F.col("response").alias("diagnosis"))
+    return rounded(diagnosis.summary(diagnosis.evaluate(single.unionByName(shared), causes, ["cluster_id"])))
+
+
+@query()
+def repair_methods(spark, sf_dir):
+    """BLEU, CodeBLEU and edit similarity of three repair methods on parts as samples, brands as clusters."""
+    p = view(spark, sf_dir, "pairs")
+    samples = p.select(F.format_string("s_%06d", "id").alias("sample_id"), F.concat(F.lit("org.T#t"), F.col("id").cast("string")).alias("test_name"), F.lit("ID").alias("category"), F.col("generated").alias("code"), F.col("truth").alias("ground_truth"))
+    members = repair.members_of(p.select(F.format_string("s_%06d", "id").alias("sample_id"), F.regexp_extract("generated", "Brand#[0-9]+", 0).alias("cluster")), samples)
+    return rounded(repair.compare_methods(samples, members))
+
+
+@query(f"WITH {D.FEATURES}, ok AS (SELECT project FROM feat GROUP BY project HAVING count(DISTINCT true_label) >= 2 AND count(*) >= 2), own AS (SELECT project, class_name AS signature, true_label FROM feat SEMI JOIN ok USING (project)), {D.partition_scores('own', ['project'], 'signature', 'true_label')} SELECT project, n, ari, purity FROM scores")
+def intra_project_scores(spark, sf_dir):
+    """Scores of projects with at least two true clusters and two tests."""
+    f = _failures(spark, sf_dir).withColumn("class_name", names.class_name("test_name"))
+    enough = f.groupBy("project").agg(F.count_distinct("true_label").alias("c"), F.count("*").alias("k")).where("c >= 2 and k >= 2").select("project")
+    s = partition_metrics.partition_scores(f.join(enough, "project", "left_semi"), ["project"], "class_name", "true_label")
+    return rounded(s.select("project", "n", "ari", "purity"))
+
+
+@query("SELECT p_brand AS cluster, p_partkey AS sample_id, (SELECT list(q.p_partkey ORDER BY q.p_partkey)[1:5] FROM (SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM part x WHERE x.p_brand = part.p_brand) WHERE k <= 6) q WHERE q.p_partkey <> part.p_partkey)::VARCHAR AS others FROM part")
+def other_tests(spark, sf_dir):
+    """The first other members of each sample's cluster."""
+    m = read(spark, sf_dir, "part").select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("sample_id"))
+    return repair.other_tests(m).select("cluster", "sample_id", F.concat(F.lit("["), F.array_join("others", ", "), F.lit("]")).alias("others"))
+
+
 @query()
 def ast_features(spark, sf_dir):
     rows = _failures(spark, sf_dir).where("source is not null").select("test_name", javacode.ast_features("source").alias("f"))
