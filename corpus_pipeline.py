@@ -9,6 +9,8 @@ from flakespark.llm import jaccard, mixing, nearest, packing, suffix
 from flakespark.llm.common import ensure_checkpoint_dir, table
 from flakespark.llm.queries import tokenizer_path
 
+#: Shares of expected tokens after the toxicity stage.
+MIXTURE = {"prose": 0.92, "junk": 0.08, "toxic": 0.0}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,7 +38,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents taken as often as their rates say, most once (op 1)."""
-    rated = mixing.mix(docs, mixing.fit_domains(docs, table(spark, sf_dir, "labels")), mixing.TARGETS).select("doc_id", mixing.draw(F.col("rate"), F.col("doc_id")).alias("copies")).groupBy("doc_id").agg(F.first("copies").alias("copies"))
+    rated = mixing.mix(docs, mixing.fit_domains(docs, table(spark, sf_dir, "labels")), MIXTURE).select("doc_id", mixing.draw(F.col("rate"), F.col("doc_id")).alias("copies")).groupBy("doc_id").agg(F.first("copies").alias("copies"))
     taken = docs.join(rated, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return taken.withColumn("copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
 
