@@ -49,7 +49,7 @@ def sample_id(source: str, position: Column | str) -> Column:
 
 
 #: Fix states that are told apart.
-STATUSES = ["Accepted", "Opened", "Rejected", "DeveloperFixed", "Deleted", "Deprecated", "RepoArchived", "RepoDeleted", "MovedOrRenamed", "InspiredAFix", "DeveloperWontFix", "Skipped", "Unmaintained"]
+STATUSES = ["Accepted", "Opened", "Rejected"]
 
 
 def status(x: Column | str) -> Column:

@@ -14,13 +14,28 @@ def append_cache(answers: DataFrame, path: str) -> None:
     answers.select("cache_key", "response").write.mode("append").parquet(path)
 
 
+#: Heads of the comparison table.
+HEADS = ["Project", "Cluster", "Method", "Sim", "Cosine", "BERT-F1", "Cat", "Correct"]
+
+
 def comparison_table(rows: DataFrame) -> DataFrame:
-    """line_no, line: a fixed-width table by project, cluster and method; names cut to 15, marks for correct."""
-    cells = rows.select("project", "cluster_id", "method", F.substring("project", 1, 15).alias("a"), F.col("cluster_id").cast("string").alias("b"), F.col("method").alias("c"), F.col("category").alias("d"), F.when(F.col("is_correct"), "✓").otherwise("✗").alias("e"), F.format_string("%.3f", F.col("score")).alias("f"))
-    widths = cells.agg(*[F.max(F.length(x)).alias(f"w_{x}") for x in "abcdef"])
-    wide = cells.join(F.broadcast(widths), F.lit(True))  # one row
-    padded = [F.rpad(F.col(x), F.coalesce(F.col(f"w_{x}"), F.lit(0)), F.lit(" ")) for x in "abcdef"]
-    return wide.select("project", "cluster_id", "method", F.concat_ws(" | ", *padded).alias("line")).orderBy("project", "cluster_id", "method")
+    """place, project, cluster_id, method, line: a fixed-width table with head and rule, by project, cluster and method.
+
+    rows has project, cluster_id, method, similarity, cosine, bert_f1, category_match,
+    correctness.  Project names are cut to 15 characters, methods to 4, correctness to
+    1.  One aggregation finds the widths; lines are padded where the rows are.
+    """
+    two = lambda c: F.format_string("%.2f", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    cells = [F.substring("project", 1, 15), F.col("cluster_id").cast("string"), F.substring("method", 1, 4), F.col("similarity").cast("string"), two("cosine"), two("bert_f1"), F.when(F.col("category_match"), "✓").otherwise("✗"), F.substring("correctness", 1, 1)]
+    shown = rows.select("project", "cluster_id", "method", *[F.coalesce(c, F.lit("")).alias(f"c{k}") for k, c in enumerate(cells)])
+    widths = shown.agg(*[F.greatest(F.lit(len(h)), F.coalesce(F.max(F.length(f"c{k}")), F.lit(0))).alias(f"w{k}") for k, h in enumerate(HEADS)])
+    pad = lambda c, k: F.rpad(c, F.col(f"w{k}"), F.lit(" "))
+    body = shown.join(F.broadcast(widths), F.lit(True))  # one row of widths
+    lines = body.select(F.lit(2).alias("place"), "project", "cluster_id", "method", F.concat_ws(" | ", *[pad(F.col(f"c{k}"), k) for k in range(len(HEADS))]).alias("line"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in rows.select("project", "cluster_id", "method").dtypes]
+    top = widths.select(F.lit(0).alias("place"), *none, F.concat_ws(" | ", *[pad(F.lit(h), k) for k, h in enumerate(HEADS)]).alias("line"))
+    rule = widths.select(F.lit(1).alias("place"), *none, F.concat_ws("-+-", *[F.repeat(F.lit("-"), F.col(f"w{k}")) for k in range(len(HEADS))]).alias("line"))
+    return top.unionByName(rule).unionByName(lines).orderBy("place", "project", "cluster_id", "method")
 
 
 def markdown_metrics(scores: DataFrame, columns: list[str], by: str = "method") -> DataFrame:

@@ -88,12 +88,13 @@ def test_model_seam(spark, tmp_path):
 
 
 def test_reports(spark):
-    rows = spark.createDataFrame([("project-with-a-long-name", 1, "B1", "Networking", True, 0.5), ("a", 2, "B2", "x", False, 0.25)], "project string, cluster_id int, method string, category string, is_correct boolean, score double")
+    rows = spark.createDataFrame([("project-with-a-long-name", 1, "individual", 4, 0.5, None, True, "Yes", 0.5), ("a", 2, "collective", 3, 0.256, 0.1, False, "Partial", 0.25)], "project string, cluster_id int, method string, similarity int, cosine double, bert_f1 double, category_match boolean, correctness string, score double")
     lines = [r.line for r in sinks.comparison_table(rows).collect()]
-    assert len(set(map(len, lines))) == 1 and lines[1].startswith("project-with-a-") and "✓" in lines[1]
+    assert len(set(map(len, lines))) == 1 and len(lines) == 4 and lines[0].startswith("Project         | Cluster | Method | Sim | Cosine | BERT-F1 | Cat | Correct")
+    assert lines[1].startswith("----------------+-") and lines[2].startswith("a               | 2       | coll   | 3   | 0.26   | 0.10    | ✗   | P") and lines[3].startswith("project-with-a- | 1 ")
     summary = stats.method_summary(rows, ["method"], "score")
-    assert sinks.latex_summary(summary).first().line == "B1 & 0.50 & 0.00 & 0.50 \\\\"
-    assert sinks.markdown_metrics(summary, ["mean"]).first().line == "| B1 | 0.500 |"
+    assert sinks.latex_summary(summary).first().line == "collective & 0.25 & 0.00 & 0.25 \\\\"
+    assert sinks.markdown_metrics(summary, ["mean"]).first().line == "| collective | 0.250 |"
 
 
 def test_stream_equals_batch(spark, tmp_path):
