@@ -12,25 +12,35 @@ STANDARD_PREFIXES = ["java.", "javax.", "sun.", "com.sun.", "jdk.", "org.junit",
 FRAME = r"(?U)at\s+([\w.]+)\.[^(]+\("
 
 
-def _head(trace: Column) -> tuple[Column, Column]:
-    line = F.substring_index(strip(F.coalesce(trace, F.lit(""))), "\n", 1)
-    colon = F.contains(line, F.lit(":"))
-    kind = strip(F.when(colon, F.substring_index(line, ":", 1)).otherwise(line))
-    message = F.when(colon, strip(F.regexp_replace(line, "^[^:]*:", ""))).otherwise("")
-    return kind, message
+def first_line(trace: Column | str) -> Column:
+    """The first line of the stripped trace; its own end is stripped by what is made of it."""
+    return F.regexp_extract(F.coalesce(col(trace), F.lit("")), r"(?U)^\s*([^\n]*)", 1)
+
+
+def line_type(line: Column | str) -> Column:
+    """What a line has before its first ':'."""
+    return strip(F.substring_index(col(line), ":", 1))
+
+
+def line_message(line: Column | str) -> Column:
+    x = col(line)
+    return F.when(F.contains(x, F.lit(":")), strip(F.regexp_replace(x, "^[^:]*:", ""))).otherwise("")
+
+
+def unwrapped(kind: Column | str) -> Column:
+    """A type without a leading 'caused by' and its colon."""
+    x = col(kind)
+    rest = F.regexp_replace(strip(F.substring(x, 10, 1 << 30)), "^:", "")
+    return F.when(F.startswith(F.lower(x), F.lit("caused by")), strip(rest)).otherwise(x)
 
 
 def exception_type(trace: Column | str, unwrap_cause: bool = True) -> Column:
-    """What the first line has before its first ':'; a leading 'caused by' is dropped with its colon."""
-    kind, _ = _head(col(trace))
-    if not unwrap_cause:
-        return kind
-    rest = F.regexp_replace(strip(F.substring(kind, 10, 1 << 30)), "^:", "")
-    return F.when(F.startswith(F.lower(kind), F.lit("caused by")), strip(rest)).otherwise(kind)
+    kind = line_type(first_line(trace))
+    return unwrapped(kind) if unwrap_cause else kind
 
 
 def exception_message(trace: Column | str) -> Column:
-    return _head(col(trace))[1]
+    return line_message(first_line(trace))
 
 
 def key_classes(trace: Column | str, most: int = 5) -> Column:

@@ -38,8 +38,8 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "failures")
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.extract(_failures(spark, sf_dir))
+def _features(spark: SparkSession, sf_dir: str, frames: bool = False) -> DataFrame:
+    return features.extract(_failures(spark, sf_dir), frames=frames)
 
 
 # ---- scalar functions --------------------------------------------------------------
@@ -52,7 +52,7 @@ def parse_exception(spark, sf_dir):
 
 @query(f"WITH {D.FEATURES} SELECT test_name, entry_point, len(keys) AS n_keys, array_to_string(keys, ',') AS key_list FROM feat")
 def key_classes(spark, sf_dir):
-    return rounded(_features(spark, sf_dir).select("test_name", "entry_point", F.size("key_classes").alias("n_keys"), F.array_join("key_classes", ",").alias("key_list")))
+    return rounded(_features(spark, sf_dir, frames=True).select("test_name", "entry_point", F.size("key_classes").alias("n_keys"), F.array_join("key_classes", ",").alias("key_list")))
 
 
 @query(f"WITH {D.FEATURES} SELECT test_name, split_part(test_name, '#', 1) AS class_name, split_part(test_name, '#', 2) AS method_name, split_part(test_name, '#', 1) || '-' || split_part(test_name, '#', 2) || '.java' AS file FROM feat")
@@ -205,7 +205,7 @@ def signature_groups(spark, sf_dir):
 
 @query(f"WITH {D.FEATURES}, {D.STRATEGIES} SELECT strategy, signature, count(*) AS n, min(ord) AS first FROM strategies GROUP BY ALL")
 def signature_strategies(spark, sf_dir):
-    rows = _features(spark, sf_dir).select("ord", F.explode(signatures.all_signatures()).alias("s")).select("ord", "s.*")
+    rows = _features(spark, sf_dir, frames=True).select("ord", F.explode(signatures.all_signatures()).alias("s")).select("ord", "s.*")
     return rows.groupBy("strategy", "signature").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 
@@ -278,7 +278,7 @@ def cosine_pairs(spark, sf_dir):
 
 
 def _scored_partitions(spark, sf_dir) -> DataFrame:
-    rows = _features(spark, sf_dir).select("project", "true_label", F.explode(signatures.all_signatures()).alias("s")).select("project", "true_label", "s.*")
+    rows = _features(spark, sf_dir, frames=True).select("project", "true_label", F.explode(signatures.all_signatures()).alias("s")).select("project", "true_label", "s.*")
     return rows
 
 
