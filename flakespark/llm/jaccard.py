@@ -71,7 +71,7 @@ def _measured(batches: Iterator[pa.RecordBatch], width: int, percent: int, emit:
                 yield pa.record_batch({"h": pa.array(np.concatenate(low).view(np.int64) if low else np.zeros(0, np.int64)), "sig": pa.array(keep)})
             else:
                 # a set joins the next level too if a linked set can be large enough to be there
-                high = [int(((s & np.uint64((2 << k) - 1)) == 0).sum()) if len(s) * 100 > percent * (SAMPLE << k) else -1 for s, k in zip(low, levels)]
+                high = [int(((x & np.uint64((2 << k) - 1)) == 0).sum()) if len(s) * 100 > percent * (SAMPLE << k) else -1 for s, x, k in zip(sets, low, levels)]
                 yield pa.record_batch(
                     {"doc_id": ids.slice(a, b - a), "sig": pa.array(signs), "n": pa.array([len(s) for s in sets], pa.int64()), "p0": pa.array([len(x) for x in low], pa.int32()), "p1": pa.array(high, pa.int32())}
                 )
@@ -264,7 +264,8 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     groups = components(cut(stars)).select(F.col("node").alias("sig"), F.col("label").alias("grp"))
     nodes = cut(groups.join(classes.select("sig", "rep", "copies", "n"), "sig"))
     reps = nodes.select(F.col("rep").alias("doc_id")).distinct()
-    texts = probable_members(source, reps, "doc_id").join(reps, "doc_id", "left_semi")
+    # an inner join: a semi join would be moved below the filter
+    texts = probable_members(source, reps, "doc_id").join(reps, "doc_id")
     found = measured("sets", "doc_id long, sig long, shingles binary", texts).select("sig", "shingles")
     blocks = _blocks(nodes)
     products = blocks.join(found.dropDuplicates(["sig"]), "sig")
