@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     collected but one checksum a round; labels only fall, so an equal sum means done.
     Edges may repeat and may be self-links; an empty table gives an empty table.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    thin = _thinned(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = cut(thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     total = _checksum(labels)
     while total is not None:
@@ -31,5 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Each node's links to smaller ones replaced by one to the smallest of them, and by links from that to the others.
+
+    Nodes that share many neighbours keep about one link each, so later rounds, which
+    join all links, have few.
+    """
+    edges = cut(edges)
+    low = edges.groupBy("b").agg(F.min("a").alias("low"))
+    kept = low.select(F.col("low").alias("a"), "b")
+    moved = edges.join(low, "b").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    return kept.unionByName(moved).distinct()
+
+
 def _checksum(labels: DataFrame):
     return labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
