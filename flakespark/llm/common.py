@@ -44,6 +44,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.6)
 
 
+#: Rows of text in an Arrow batch between the JVM and Python; Spark's own 10,000 may be hundreds of MB of long texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of texts at a time; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, small_batches
 from .kernels import mix
 
 BUCKETS = 256
@@ -93,6 +93,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and fingerprint of every row; null text counts as empty, equal texts get equal fingerprints."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fingerprint string")
 
 
@@ -105,6 +106,7 @@ def neighbour_digests(docs: DataFrame, id_column: str = "doc_id", text_column: s
     gets the first row of the range below it, so the texts move once and no task
     needs more than two of them at a time.  A single row is its own next one.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     n = partitions(docs)
     steps = [k / n for k in range(1, n)]

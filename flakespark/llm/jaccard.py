@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_array, cut, group_bounds, partitions, probable_members, text_chunks, whole_groups
+from .common import column_array, cut, group_bounds, partitions, probable_members, small_batches, text_chunks, whole_groups
 from .components import components
 from .kernels import set_signatures, shingle_sets
 
@@ -247,6 +247,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     included.  A row without an id is compared with nothing: its component_id is null
     and it has no links; repeated rows are copies of each other; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     n = partitions(docs)
 

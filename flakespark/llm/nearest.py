@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_array, cut, text_chunks
+from .common import column_array, cut, small_batches, text_chunks
 from .kernels import LOWER, span_hashes, word_spans
 
 #: Bounds of the model: labelled rows that are read, terms that are kept, rows that a term needs.
@@ -167,6 +167,7 @@ class Model:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators fit of y on x, as points to interpolate between; ends stay off 0 and 1."""
+    small_batches(docs.sparkSession)
     by = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
     for a, b in zip(x[by], y[by]):
@@ -190,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     id that is labelled twice takes the larger label.  Without rows to learn from every
     text scores 0.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)  # a bounded sample, see SAMPLE_ROWS
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))

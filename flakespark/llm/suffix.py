@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_array, cut, group_bounds, partitions, probable_members, release, text_chunks, whole_groups
+from .common import column_array, cut, group_bounds, partitions, probable_members, release, small_batches, text_chunks, whole_groups
 from .kernels import window_hashes
 
 #: Width of the hashed grams of which the smallest in a string is its anchor.
@@ -311,6 +311,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_
     document (and have its text) and do not clean each other by that; a row without an id is kept whole
     and cleans nothing.  Shorter texts than length stay.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     n = partitions(docs)
     facts = cut(source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
