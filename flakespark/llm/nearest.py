@@ -1,14 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first bytes (PREFIXES), as hashes.  The labelled sample
-names the terms that mark the label; document frequencies come from all documents.
-The index holds the sample's vectors in blocks; a query visits blocks in the order of
-the best cosine that they could hold and stops when no block can beat its k-th hit.
+Terms are words and their first bytes (PREFIXES), as hashes, with weights
+(1 + log count) * log(1 + rows / (1 + rows with the term)) * log2(2 + labelled / other
+sampled texts with the term): TF-IDF times the relevance frequency, whose factor is 1
+at least, so that the label raises terms but leaves none out.  The vocabulary is every
+term of at least TERM_ROWS sampled texts, whatever their labels; document frequencies
+come from all documents.  The index holds the vectors of all sampled texts in blocks;
+rare terms are summed from postings, common ones only in blocks whose best possible
+cosine can still beat a query's k-th hit.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +24,14 @@ from pyspark.sql import functions as F
 from .common import column_array, cut, small_batches, text_chunks
 from .kernels import LOWER, span_hashes, word_spans
 
-#: Bounds of the model: labelled rows that are read, terms that are kept, rows that a term needs.
-SAMPLE_ROWS, TERMS, TERM_ROWS = 20000, 4096, 4
-#: A term's rate of the label is at least LIFT times the base rate, and by chance no term
-#: in CHANCE such samples would have as many labelled rows.
-LIFT, CHANCE = 3.0, 20
+#: Bounds of the model: labelled rows that are read, terms that are kept (those of most rows), rows that a term needs.
+SAMPLE_ROWS, TERMS, TERM_ROWS = 20000, 1 << 19, 4
 PREFIXES = (4, 5, 6, 7)
 #: Neighbours that vote, examples in a block, weight of the base rate in a vote.
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 2.0
+#: Terms whose weights stand in a dense float32 table, queries that are searched together,
+#: blocks that are visited before the k-th hit is known anew, and what float32 sums may be off by.
+COMMON, QUERIES, ROUNDS, SLACK = 512, 64, (4, 24), 1e-4
 
 
 def row_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,97 +77,191 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> I
         rows += batch.num_rows
         for _, _, data, offsets in text_chunks(batch.column(1)):
             total += np.bincount(_counted(data, offsets, vocabulary)[1], minlength=len(vocabulary))
-    yield pa.record_batch({"t": pa.array(np.append(np.arange(len(vocabulary)), -1).astype(np.int32)), "n": pa.array(np.append(total, rows))})
+    seen = np.flatnonzero(total)
+    yield pa.record_batch({"t": pa.array(np.append(seen, -1).astype(np.int32)), "n": pa.array(np.append(total[seen], rows))})
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """The differences of whole numbers, byte by byte of their places, compressed."""
+    return zlib.compress(np.diff(x.astype(np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel(), dtype=np.int32)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row a chunk of texts, its columns the bytes of arrays."""
     for batch in batches:
         ids, label = column_array(batch, "doc_id"), column_array(batch, "label")
         for a, b, data, offsets in text_chunks(batch.column(1)):
             row, term, count = _counted(data, offsets, vocabulary)
-            cuts = np.searchsorted(row, np.arange(b - a + 1))
-            yield pa.record_batch(
-                {"doc_id": pa.array(ids[a:b]), "label": pa.array(label[a:b]), "terms": pa.array([term[i:j].tolist() for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int32())), "counts": pa.array([count[i:j].tolist() for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int32()))}
-            )
+            arrays = [ids[a:b].astype(np.int64).tobytes(), label[a:b].astype(np.int8).tobytes(), *map(_packed, (np.bincount(row, minlength=b - a), term, count))]
+            yield pa.record_batch({name: pa.array([x], pa.binary()) for name, x in zip(("ids", "labels", "sizes", "terms", "counts"), arrays)})
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of size numbers from start, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 class BlockMaxIndex:
-    """Unit vectors as postings by block of examples, with each term's largest weight in a block."""
+    """Unit vectors of weights over 0 by block of examples: postings of rare terms, a dense table of common ones with their largest weight in a block."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         # examples of one leading term stand together, so that few blocks can score high
         lead = [int(t[np.argmax(w)]) for t, w in vectors]
         by = np.lexsort((ids, lead))
-        self.ids, self.labels = ids[by], labels[by].astype(float)
-        blocks = -(-len(by) // BLOCK)
-        self.most = np.zeros((terms, blocks), np.float64)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(blocks):
-            own: dict[int, list[tuple[int, float]]] = {}
-            for place, k in enumerate(by[b * BLOCK : (b + 1) * BLOCK]):
-                for t, w in zip(*vectors[k]):
-                    own.setdefault(int(t), []).append((place, w))
-                    self.most[t, b] = max(self.most[t, b], w)
-            self.postings.append({t: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for t, v in own.items()})
+        self.ids, self.labels, self.size = ids[by], labels[by].astype(float), terms
+        self.blocks = -(-len(by) // BLOCK)
+        sizes = np.array([len(vectors[k][0]) for k in by])
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.terms = np.concatenate([vectors[k][0] for k in by]).astype(np.int32)
+        self.weights = np.concatenate([vectors[k][1] for k in by])
+        place = np.repeat(np.arange(len(by), dtype=np.int32), sizes)
+        common = np.argsort(-np.bincount(self.terms, minlength=terms), kind="stable")[:COMMON]
+        self.slot = np.full(terms, -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        slot = self.slot[self.terms]
+        rare = slot < 0
+        self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.dense[place[~rare] // BLOCK, slot[~rare], place[~rare] % BLOCK] = self.weights[~rare]
+        self.most = np.ascontiguousarray(self.dense.max(2).T)
+        rare = np.flatnonzero(rare)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.posted = np.searchsorted(self.terms[rare], np.arange(terms + 1))
+        self.places, self.posting_weights = place[rare], self.weights[rare].astype(np.float32)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; ties go to the smaller id."""
-        bound = weights @ self.most[terms] if len(terms) else np.zeros(0)
-        places, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(scores) == k and bound[b] < least - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            postings = self.postings[b]
-            for t, w in zip(terms, weights):
-                if (hit := postings.get(int(t))) is not None:
-                    acc[hit[0]] += w * hit[1]
-            found = np.flatnonzero(acc > 0)
+        return self.search_all([(terms, weights)], k, None if without is None else [without])[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for a in range(0, len(queries), QUERIES):
+            out += self._search(queries[a : a + QUERIES], k, without and without[a : a + QUERIES])
+        return out
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, width = len(queries), self.blocks * BLOCK
+        common, score = np.zeros((m, self.dense.shape[1]), np.float32), np.zeros((m, width), np.float32)
+        for r, (terms, weights) in enumerate(queries):
+            slot = self.slot[terms]
+            rare = slot < 0
+            common[r, slot[~rare]] = weights[~rare]
+            start = self.posted[terms[rare]]
+            size = self.posted[terms[rare] + 1] - start
+            at = _ranges(start, size)
+            score[r] = np.bincount(self.places[at], self.posting_weights[at] * np.repeat(weights[rare].astype(np.float32), size), width)
+        # an example that has to be left out may be among the hits that a bound is taken from
+        need = k if without is None else k + max(int((self.ids == i).sum()) for i in without)
+        blocks = score.reshape(m, self.blocks, BLOCK)
+        bound = common @ self.most + blocks.max(2) + np.float32(SLACK)
+        order, done, least = np.argsort(-bound, axis=1, kind="stable"), np.zeros((m, self.blocks), bool), np.zeros(m, np.float32)
+        for upto in (*(n for n in ROUNDS if n < self.blocks), self.blocks):
+            wanted = np.zeros_like(done)
+            np.put_along_axis(wanted, order[:, :upto], True, 1)
+            wanted &= ~done & (bound >= least[:, None] - SLACK)
+            for b in np.flatnonzero(wanted.any(0)):
+                rows = np.flatnonzero(wanted[:, b])
+                blocks[rows, b] += common[rows] @ self.dense[b]
+            done |= wanted
+            # sums that are not finished are lower bounds too, as no weight is below 0
+            if need <= upto * BLOCK and upto < self.blocks:
+                seen = np.take_along_axis(blocks, order[:, :upto, None], 1).reshape(m, -1)
+                least = np.partition(seen, seen.shape[1] - need, axis=1)[:, -need]
+        out, query = [], np.zeros(self.size)
+        for r, (terms, weights) in enumerate(queries):
+            found = np.flatnonzero((score[r] > 0) & (score[r] >= least[r] - SLACK))
+            if len(found) > need:
+                found = found[score[r, found] >= np.partition(score[r, found], len(found) - need)[len(found) - need] - 2 * SLACK]
             if without is not None:
-                found = found[self.ids[b * BLOCK + found] != without]
-            places = np.concatenate([places, b * BLOCK + found])
-            scores = np.concatenate([scores, np.round(acc[found], 12)])
-            by = np.lexsort((self.ids[places], -scores))[:k]
-            places, scores = places[by], scores[by]
-            if len(scores) == k:
-                least = scores[-1]
-        return places, scores
+                found = found[self.ids[found] != without[r]]
+            if not len(found):
+                out.append((np.zeros(0, np.int64), np.zeros(0)))
+                continue
+            query[terms] = weights
+            size = self.start[found + 1] - self.start[found]
+            at = _ranges(self.start[found], size)
+            exact = np.round(np.add.reduceat(query[self.terms[at]] * self.weights[at], np.cumsum(size) - size), 12)
+            query[terms] = 0
+            by = np.lexsort((self.ids[found], -exact))[:k]
+            out.append((found[by], exact[by]))
+        return out
 
 
-class Model:
-    """A fitted index with its calibration; small whatever the corpus (see SAMPLE_ROWS, TERMS)."""
-
-    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, examples: list, base: float):
-        self.vocabulary, self.weight, self.base = vocabulary, weight, base
-        filled = [(i, y, self.unit(np.array(t), np.array(c))) for i, y, t, c in examples if len(t)]
-        bare = [y for _, y, t, _ in examples if not len(t)]
-        self.empty = (sum(bare) + base) / (len(bare) + 1)
-        self.index = BlockMaxIndex(np.array([x[0] for x in filled], np.int64), np.array([x[1] for x in filled]), [x[2] for x in filled], len(vocabulary)) if filled else None
-        votes = [self.vote(*v, without=i)[0] for i, _, v in filled]
-        self.curve = isotonic(np.array(votes), np.array([y for _, y, _ in filled], float)) if filled else None
-        self.cache: dict[bytes, tuple[float, list[int]]] = {}
+class Examples:
+    """The sampled rows' term counts; the index over them is made where it is first searched and is not sent along."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, base: float):
+        self.ids, self.labels, self.sizes, self.terms, self.counts, self.weight, self.base = ids, labels, sizes, terms, counts, weight, base
+        self._index: BlockMaxIndex | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_index": None, "terms": _packed(self.terms), "counts": _packed(self.counts)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {k: _unpacked(state[k]) for k in ("terms", "counts")})
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = counts * self.weight[terms]
+        w = (1 + np.log(counts)) * self.weight[terms]
         norm = float(np.sqrt((w * w).sum()))
         return terms, w / norm if norm else w
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, list[int]]:
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        ends = np.cumsum(self.sizes)
+        return [self.unit(self.terms[b - n : b], self.counts[b - n : b]) for b, n in zip(ends, self.sizes)]
+
+    def index(self) -> BlockMaxIndex:
+        if self._index is None:
+            self._index = BlockMaxIndex(self.ids, self.labels, self.vectors(), len(self.weight))
+        return self._index
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, list[int]]]:
         """Share of the label among the neighbours by squared cosine, drawn towards the base rate."""
-        places, near = self.index.search(terms, weights, NEIGHBOURS, without)
-        near = near * near
-        return float(((near * self.index.labels[places]).sum() + PRIOR * self.base) / (near.sum() + PRIOR)), self.index.ids[places].tolist()
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        if not len(terms) or self.index is None:
-            return self.empty, []
-        key = terms.tobytes() + counts.tobytes()
-        if (known := self.cache.get(key)) is None:
-            raw, ids = self.vote(*self.unit(terms, counts))
-            known = float(np.interp(raw, *self.curve)), ids
-            if len(self.cache) < 1 << 16:
-                self.cache[key] = known
-        return known
+        index, out = self.index(), []
+        for places, near in index.search_all(vectors, NEIGHBOURS, without):
+            near = near * near
+            out.append((float(((near * index.labels[places]).sum() + PRIOR * self.base) / (near.sum() + PRIOR)), index.ids[places].tolist()))
+        return out
+
+
+def _left_out_votes(batches: Iterator[pa.RecordBatch], examples: Examples) -> Iterator[pa.RecordBatch]:
+    """The vote of each numbered example's neighbours, itself not among them."""
+    ends = np.cumsum(examples.sizes)
+    for batch in batches:
+        rows = column_array(batch, "id")
+        vectors = [examples.unit(examples.terms[ends[k] - examples.sizes[k] : ends[k]], examples.counts[ends[k] - examples.sizes[k] : ends[k]]) for k in rows]
+        votes = examples.votes(vectors, [int(i) for i in examples.ids[rows]])
+        yield pa.record_batch({"id": pa.array(rows), "vote": pa.array([v for v, _ in votes], pa.float64())})
+
+
+class Model:
+    """A vocabulary with its weights and a calibration; the examples are broadcast on their own (shared).  Bounded whatever the corpus (see SAMPLE_ROWS, TERMS)."""
+
+    def __init__(self, vocabulary: np.ndarray, base: float, empty: float = 0.0, curve: tuple | None = None, shared=None):
+        self.vocabulary, self.base, self.empty, self.curve, self.shared = vocabulary, base, empty, curve, shared
+        self.cache: dict[bytes, tuple[float, list[int]]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shared": None, "cache": {}}
+
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], examples: Examples | None) -> list[tuple[float, list[int]]]:
+        """Score and neighbours of each (terms, counts)."""
+        keys = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() if len(t) and examples is not None else b"" for t, c in vectors]
+        own: dict[bytes, tuple[float, list[int]]] = {b"": (self.empty, [])}
+        fresh = {}
+        for key, v in zip(keys, vectors):
+            if key in self.cache:
+                own[key] = self.cache[key]
+            elif key:
+                fresh[key] = v
+        if fresh:
+            for key, (raw, ids) in zip(fresh, examples.votes([examples.unit(*v) for v in fresh.values()])):
+                own[key] = float(np.interp(raw, *self.curve)), ids
+                if len(self.cache) < 1 << 16:
+                    self.cache[key] = own[key]
+        return [own[key] for key in keys]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,31 +296,43 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     sums = sample.dropDuplicates(["text"]).agg(F.count("*").alias("n"), F.sum("label").alias("hits")).first()
     if not sums["n"] or not sums["hits"]:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), [], 0.0)
+        return Model(np.zeros(0, np.uint64), 0.0)
     base = sums["hits"] / sums["n"]
-    counts = sample.dropDuplicates(["text"]).mapInArrow(_distinct_terms, "term long, n long, hits long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    # binomial deviance of the rate against the base rate, with the number of terms tried
-    counts = cut(counts.where(F.col("n") >= TERM_ROWS))
-    tried = max(1, counts.count())
-    rate = F.col("hits") / F.col("n")
-    inner = F.when(rate < 1, (1 - rate) * F.log(F.nullif(1 - rate, F.lit(0.0)) / (1 - base))).otherwise(0.0)
-    deviance = F.col("n") * (rate * F.log(rate / base) + inner)
-    marked = counts.where((rate >= LIFT * base) | (rate == 1)).withColumn("deviance", deviance).where(F.col("deviance") >= math.log(CHANCE * tried))
-    top = marked.orderBy(F.desc("deviance"), "term").limit(TERMS).select("term").collect()
-    vocabulary = np.sort(np.array([r["term"] for r in top], np.int64).view(np.uint64))
-    df = {r["t"]: r["n"] for r in texts.select("doc_id", "text").mapInArrow(lambda b: _frequencies(b, vocabulary), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    weight = np.log(1 + df.get(-1, 0) / (1 + np.array([df.get(t, 0) for t in range(len(vocabulary))], float)))
-    examples = [(r["doc_id"], r["label"], r["terms"], r["counts"]) for r in sample.mapInArrow(lambda b: _vectors(b, vocabulary), "doc_id long, label int, terms array<int>, counts array<int>").collect()]
-    return Model(vocabulary, weight, sorted(examples), base)
-
-
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    counts = cut(sample.dropDuplicates(["text"]).mapInArrow(_distinct_terms, "term long, n long, hits long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= TERM_ROWS))
+    if counts.count() > TERMS:
+        counts = counts.orderBy(F.desc("n"), "term").limit(TERMS)
+    got = counts.toArrow()
+    vocabulary, n, hits = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy(), got.column(2).to_numpy()
+    by = np.argsort(vocabulary)
+    vocabulary, n, hits = vocabulary[by], n[by], hits[by]
+    found = texts.select("doc_id", "text").mapInArrow(lambda b: _frequencies(b, vocabulary), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)  # the last is that of all rows, t = -1
+    df[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    weight = np.log(1 + df[-1] / (1 + df[:-1])) * np.log2(2 + hits / np.maximum(1, n - hits))
+    got = sample.mapInArrow(lambda b: _vectors(b, vocabulary), "ids binary, labels binary, sizes binary, terms binary, counts binary").toArrow()
+    ids, marks = (np.frombuffer(b"".join(got.column(k).to_pylist()), kind) for k, kind in enumerate((np.int64, np.int8)))
+    sizes, terms, counts = (np.concatenate([_unpacked(x) for x in got.column(k).to_pylist()]) for k in (2, 3, 4))
+    by = np.lexsort((sizes, ids))
+    by, bare = by[sizes[by] > 0], marks[sizes == 0]
+    empty = (float(bare.sum()) + base) / (len(bare) + 1)
+    if not len(by):
+        return Model(vocabulary, base, empty)
+    at = _ranges((np.cumsum(sizes) - sizes)[by], sizes[by])
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(Examples(ids[by], marks[by], sizes[by], terms[at], counts[at], weight, base))
+    votes = spark.range(0, len(by), 1, max(1, min(len(by) // QUERIES, spark.sparkContext.defaultParallelism))).mapInArrow(lambda b: _left_out_votes(b, shared.value), "id long, vote double").toArrow()
+    vote = np.zeros(len(by))
+    vote[votes.column(0).to_numpy()] = votes.column(1).to_numpy()
+    return Model(vocabulary, base, empty, isotonic(vote, marks[by].astype(float)), shared)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, examples: Examples | None, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for a, b, data, offsets in text_chunks(batch.column(1)):
             row, term, count = _counted(data, offsets, model.vocabulary)
             cuts = np.searchsorted(row, np.arange(b - a + 1))
-            got = [model.score(term[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:])]
+            got = model.scores([(term[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:])], examples)
             if columns:
                 own = batch.slice(a, b - a)
                 yield pa.record_batch([*own.columns[2:], pa.array([s for s, _ in got], pa.float64())], names=[*columns, "__score"])
@@ -239,12 +350,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_column: str
     other columns are ignored.  The model is broadcast; its size is bounded.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, examples = docs.sparkSession.sparkContext.broadcast(model), model.shared
     if columns:
         carried = docs.select(F.lit(0).alias("__id"), F.col(text_column).cast("string").alias("__text"), *columns)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[2:])
-        out = carried.mapInArrow(lambda b: _scored(b, shared.value, columns), f"{schema}, `__score` double")
+        out = carried.mapInArrow(lambda b: _scored(b, shared.value, examples and examples.value, columns), f"{schema}, `__score` double")
         return out.withColumn("predicted", (F.col("__score") >= threshold).cast("int"))
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    out = source.mapInArrow(lambda b: _scored(b, shared.value), "doc_id long, score double, neighbours array<long>")
+    out = source.mapInArrow(lambda b: _scored(b, shared.value, examples and examples.value), "doc_id long, score double, neighbours array<long>")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours")

@@ -69,6 +69,43 @@ def test_toxicity(spark, docs):
     assert nearest.score(docs([]), model).count() == 0
 
 
+def test_toxicity_uses_all_terms(spark, docs):
+    """Cosines over every term of TERM_ROWS sampled texts, whatever the labels, by plain Python."""
+    d, labels = labelled(spark, docs, n=300)
+    rows = {r.doc_id: r for r in nearest.score(d, nearest.fit(d, labels)).collect()}
+    texts = {r.doc_id: r.text.lower() for r in d.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+
+    def count(text):
+        out = {}
+        for w in text.split():
+            for t in [(0, w)] + [(k, w[:k]) for k in nearest.PREFIXES if len(w) > k]:
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    counts = {k: count(t) for k, t in texts.items()}
+    train = [k for k in texts if not rows[k].held_out]
+    kept = {t for k in train for t in counts[k] if sum(t in counts[j] for j in train) >= nearest.TERM_ROWS}
+    idf = {t: np.log(1 + len(texts) / (1 + sum(t in c for c in counts.values()))) for t in kept}
+
+    distinct = list({texts[k]: k for k in train}.values())
+    for t in kept:
+        hits = [toxic[k] for k in distinct if t in counts[k]]
+        idf[t] *= np.log2(2 + sum(hits) / max(1, len(hits) - sum(hits)))
+
+    def unit(c):
+        v = {t: (1 + np.log(n)) * idf[t] for t, n in c.items() if t in kept}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {k: unit(c) for k, c in counts.items()}
+    assert all(vectors.values()) and len(train) > 200
+    for k in list(texts)[:60]:
+        near = sorted((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[k].items()), 9), j) for j in train)[: nearest.NEIGHBOURS]
+        assert rows[k].neighbours == [j for _, j in near], k
+    assert {toxic[j] for r in rows.values() for j in r.neighbours} == {0, 1}
+
+
 def test_isotonic():
     x, y = nearest.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 < y[0] and y[-1] < 1
