@@ -274,6 +274,12 @@ def cosine_pairs(spark, sf_dir):
     return rounded(vectors.cosine_pairs(e, ["label", "block"], "vec_id", "embedding").drop("block"))
 
 
+@query()
+def cosine_pairs_all(spark, sf_dir):
+    """All pairs of one label; cosine_pairs is the part inside blocks of ids that its SQL gives."""
+    return rounded(vectors.cosine_pairs(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding"))
+
+
 # ---- metrics -----------------------------------------------------------------------
 
 
