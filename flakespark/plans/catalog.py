@@ -263,9 +263,8 @@ def cluster_representatives(spark, sf_dir):
 
 @query()
 def average_linkage(spark, sf_dir):
-    """Average linkage inside blocks of a label and 50 ids."""
-    e = read(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 500))
-    return vectors.linkage_groups(e, ["label", "block"], "vec_id", "embedding", 0.5)
+    """Average linkage of all vectors of a label; a label over the operator's limit is an error."""
+    return vectors.linkage_groups(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 0.5)
 
 
 @query("SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 100 = b.vec_id // 100 AND a.vec_id < b.vec_id")

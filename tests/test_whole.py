@@ -25,3 +25,21 @@ def test_cosine_pairs_of_a_label(spark):
     for r in got[::50]:
         x, y = by[r.a], by[r.b]
         assert abs(r.cosine - x @ y / np.sqrt((x @ x) * (y @ y))) < 1e-5
+
+
+def test_linkage_of_a_label(spark):
+    # ids on both sides of 500 hold the same vectors
+    rows = [(k, k % 2, [1.0, 0.0] if k % 4 < 2 else [0.0, 1.0]) for k in range(490, 510)]
+
+    def read(*_):
+        return spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+
+    kept, catalog.read = catalog.read, read
+    try:
+        got = {r.vec_id: (r.label, r.cluster_id) for r in catalog.average_linkage(spark, FOLDER).collect()}
+    finally:
+        catalog.read = kept
+    assert len(got) == len(rows)
+    for k, label, v in rows:
+        for j, other, w in rows:
+            assert (got[k] == got[j]) == (label == other and v == w)
