@@ -96,6 +96,12 @@ def tokenize(spark, sf_dir):
     return rounded(ascii_only.select("doc_id", F.array_join(code.tokenize("text"), " ").alias("tokens"), F.size(code.tokenize("text")).alias("n")))
 
 
+@query()
+def tokenize_all(spark, sf_dir):
+    """The tokens of every document; tokenize is the ASCII part that its SQL gives."""
+    return rounded(read(spark, sf_dir, "documents").select("doc_id", F.array_join(code.tokenize("text"), " ").alias("tokens"), F.size(code.tokenize("text")).alias("n")))
+
+
 @query(f"WITH {duck('pairs')}, t AS (SELECT id, regexp_extract_all(generated, '{D.TOKEN}') AS w FROM pairs), g AS (SELECT unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) >= 3) SELECT array_to_string(w[i:i+2], ' ') AS gram, count(*) AS n FROM g GROUP BY gram")
 def ngram_counts(spark, sf_dir):
     grams = view(spark, sf_dir, "pairs").select(F.explode(code.ngrams(code.tokenize("generated"), 3)).alias("g"))

@@ -43,3 +43,21 @@ def test_linkage_of_a_label(spark):
     for k, label, v in rows:
         for j, other, w in rows:
             assert (got[k] == got[j]) == (label == other and v == w)
+
+
+def test_tokens_of_all_documents(spark):
+    def plain(text):
+        out, word = [], ""
+        for c in text or "":
+            if re.match(r"\s", c) or c in MARKS:
+                out += [word] if word else []
+                word = ""
+                out += [c] if c in MARKS else []
+            else:
+                word += c
+        return out + ([word] if word else [])
+
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()}
+    got = {r.doc_id: (r.tokens, r.n) for r in catalog.queries()["tokenize_all"](spark, FOLDER).collect()}
+    assert got == {k: (" ".join(plain(t)), len(plain(t))) for k, t in docs.items()}
+    assert any(t and not t.isascii() for t in docs.values())
