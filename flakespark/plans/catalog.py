@@ -461,6 +461,14 @@ def set_operations(spark, sf_dir):
     return kept.union(read(spark, sf_dir, "documents").where("doc_id % 97 = 0").select("doc_id")).distinct()
 
 
+@query(f"WITH {duck('scored')} SELECT doc_id FROM scored s WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id AND l.toxic = 1) UNION SELECT doc_id FROM documents WHERE lang = 'en'")
+def set_operations_all(spark, sf_dir):
+    """As set_operations, with all documents of a language in place of one id in 97."""
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1")
+    kept = view(spark, sf_dir, "scored").join(toxic, "doc_id", "left_semi").select("doc_id")
+    return kept.union(read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")).distinct()
+
+
 @query()
 def model_calls(spark, sf_dir):
     """Verdicts of the offline model on each signature group."""

@@ -61,3 +61,9 @@ def test_tokens_of_all_documents(spark):
     got = {r.doc_id: (r.tokens, r.n) for r in catalog.queries()["tokenize_all"](spark, FOLDER).collect()}
     assert got == {k: (" ".join(plain(t)), len(plain(t))) for k, t in docs.items()}
     assert any(t and not t.isascii() for t in docs.values())
+
+
+def test_union_of_whole_sets(spark):
+    docs = pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()
+    got = {r.doc_id for r in catalog.queries()["set_operations_all"](spark, FOLDER).collect()}
+    assert {d["doc_id"] for d in docs if d["lang"] == "en"} <= got
