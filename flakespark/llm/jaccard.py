@@ -246,7 +246,10 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     by links, the document itself included; n_links counts linked documents, copies
     included.  A row without an id is compared with nothing: its component_id is null
     and it has no links; repeated rows are copies of each other; other columns are ignored.
+    Size classes and samples reach as far as 75 percent needs; a lower percent is an error.
     """
+    if percent < 75:
+        raise ValueError(f"percent {percent} is under 75, for which links of sets of unlike sizes would be lost")
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     n = partitions(docs)

@@ -187,3 +187,8 @@ def test_pieces_of_a_hot_anchor(piece, size):
                     first[b[k : k + 12]] = min(first.get(b[k : k + 12], 99), d)
             want |= {(d, p) for _, d, s, b in own for k in range(len(b) - 11) if first[b[k : k + 12]] < d for p in range(s + k, s + k + 12)}
         assert got == want
+
+
+def test_jaccard_rejects_what_its_classes_do_not_cover(docs):
+    with pytest.raises(ValueError):
+        jaccard.jaccard_join(docs([(1, "a b c")]), percent=74)
