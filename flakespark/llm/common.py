@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,43 +15,35 @@ from pyspark.sql import functions as F
 WORD_GAP = " \t\n\x0b\f\r"
 
 
+#: Setting by which Spark drops a query's own shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set one only where it is unset (tests)."""
+    """Use the folder the cluster names in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; the result has no lineage to recompute."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are no longer held.
+    """Materialise df in the shared checkpoint folder; the result has no lineage to recompute.
 
-    It learns of them when the driver collects its garbage, which on its own may be
-    long after a step that a table in the checkpoint folder has replaced.
+    The shuffle files behind it are of no more use, so Spark is told to drop those of
+    this one query; the session's setting is as before afterwards.
     """
-    for _ in range(4):  # early rounds free the plans, later ones what only they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.6)
-
-
-#: Rows of text in an Arrow batch between the JVM and Python; Spark's own 10,000 may be hundreds of MB of long texts.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a task holds of texts at a time; a smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new frame, as a frame keeps the settings it was made with
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +73,21 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         row = end
 
 
+def text_pieces(column: pa.Array, overlap: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, place in the row, bytes, offsets) as text_chunks; a row over limit comes in pieces.
+
+    Each piece begins overlap bytes before the end of the one before it, so every run
+    of overlap + 1 bytes lies in exactly one piece.
+    """
+    for a, b, data, offsets in text_chunks(column, limit):
+        if len(data) <= 2 * limit:
+            yield a, b, 0, data, offsets
+            continue
+        for place in range(0, max(1, len(data) - overlap), limit):
+            piece = data[place : place + limit + overlap]
+            yield a, b, place, piece, np.array([0, len(piece)], np.int64)
+
+
 def column_array(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 

@@ -6,10 +6,11 @@ two linked sets share at least the fraction t of either one, so of any sample th
 is drawn by hash alone they share so many that fewer would be seen in one case of
 10^12; only the rarest shingles beyond that number need to be compared.  (A set of
 at most SAMPLE shingles is not sampled, there the bound is the exact prefix bound.)
-Classes that meet this way are gathered in groups, large groups are cut into blocks
-by set size and salt, and for every pair of blocks whose sizes may match a task
-accumulates the exact overlap counts of all their pairs as a matrix product over
-the shingles that occur twice in it.  Only links that join something are emitted.
+Classes that share such a shingle meet in its bucket.  Small groups that meet are one
+block; large ones are dealt into blocks by set size, least bucket and salt, and two
+blocks are paired only if members of both are in one bucket.  For every pair of blocks
+a task accumulates the exact overlap counts of all their pairs as a matrix product
+over the shingles that occur twice in it.  Only links that join something are emitted.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_array, cut, group_bounds, partitions, probable_members, small_batches, text_chunks, whole_groups
+from .common import column_array, cut, group_bounds, partitions, probable_members, text_chunks, whole_groups
 from .components import components
 from .kernels import set_signatures, shingle_sets
 
@@ -31,8 +32,10 @@ from .kernels import set_signatures, shingle_sets
 SAMPLE = 160
 #: Chance that a sample hides a linked pair is below exp(-RISK), about 10^-12.
 RISK = 27.7
-#: Documents in a block of the product, and shingles in a slice of it.
-BLOCK, SLICE = 256, 4096
+#: Sets in a block of the product, shingles in all its sets, and shingles in a slice of it.
+BLOCK, BLOCK_SHINGLES, SLICE = 256, 1 << 22, 4096
+#: Set sizes of one class differ by less than this factor, so linked sets are in one class or in neighbouring ones.
+RATIO = 1.34
 #: Rows of one shingle that are held to count it; longer lists all rank as this long.
 LONG_LIST = 1 << 16
 
@@ -56,50 +59,51 @@ def least_shared(size: int, sampled: bool, percent: int) -> int:
 
 def _measured(batches: Iterator[pa.RecordBatch], width: int, percent: int, emit: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        text = batch.column(1)
-        for a, b, data, offsets in text_chunks(text):
+        for a, b, data, offsets in text_chunks(batch.column(1)):
             sets = shingle_sets(data, offsets, width)
-            signs = set_signatures(sets).view(np.int64)
+            signs = set_signatures(sets)
+            own = batch.slice(a, b - a)
             if emit == "sets":
-                yield pa.record_batch({"doc_id": ids.slice(a, b - a), "sig": pa.array(signs), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+                # of rows that repeat an id only those that have the class's set
+                keep = np.flatnonzero(column_array(own, "key") == signs[:, 0].view(np.int64))
+                yield pa.record_batch({"rep": own.column(0).take(pa.array(keep)), "key": pa.array(signs[keep, 0].view(np.int64)), "shingles": pa.array([sets[k].tobytes() for k in keep], pa.binary())})
                 continue
             levels = [_level(len(s)) for s in sets]
             low = [s if not k else s[(s & np.uint64((1 << k) - 1)) == 0] for s, k in zip(sets, levels)]
             if emit == "samples":
-                keep = np.repeat(signs, [len(x) for x in low])
-                yield pa.record_batch({"h": pa.array(np.concatenate(low).view(np.int64) if low else np.zeros(0, np.int64)), "sig": pa.array(keep)})
+                keep = np.repeat(signs[:, 0].view(np.int64), [len(x) for x in low])
+                yield pa.record_batch({"h": pa.array(np.concatenate(low).view(np.int64) if low else np.zeros(0, np.int64)), "key": pa.array(keep)})
             else:
                 # a set joins the next level too if a linked set can be large enough to be there
                 high = [int(((x & np.uint64((2 << k) - 1)) == 0).sum()) if len(s) * 100 > percent * (SAMPLE << k) else -1 for s, x, k in zip(sets, low, levels)]
                 yield pa.record_batch(
-                    {"doc_id": ids.slice(a, b - a), "sig": pa.array(signs), "n": pa.array([len(s) for s in sets], pa.int64()), "p0": pa.array([len(x) for x in low], pa.int32()), "p1": pa.array(high, pa.int32())}
+                    {"doc_id": own.column(0), "sig": pa.array([x.tobytes() for x in signs], pa.binary()), "key": pa.array(signs[:, 0].view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "p0": pa.array([len(x) for x in low], pa.int32()), "p1": pa.array(high, pa.int32())}
                 )
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, sig, s) of shingles that two classes have; s: in how many classes, LONG_LIST at most."""
+    """Rows (h, key, s) of shingles that two classes have; s: in how many classes, LONG_LIST at most."""
     for cols, continues, unfinished in whole_groups(batches, ["h"], LONG_LIST):
         fresh = np.ones(len(cols["h"]), bool)
-        fresh[1:] = (cols["sig"][1:] != cols["sig"][:-1]) | (cols["h"][1:] != cols["h"][:-1])
-        h, sig = cols["h"][fresh], cols["sig"][fresh]
+        fresh[1:] = (cols["key"][1:] != cols["key"][:-1]) | (cols["h"][1:] != cols["h"][:-1])
+        h, key = cols["h"][fresh], cols["key"][fresh]
         if continues or unfinished:
             # one hot shingle: it is long whatever the number of copies behind it
-            yield pa.record_batch({"h": pa.array(h), "sig": pa.array(sig), "s": pa.array(np.full(len(h), LONG_LIST, np.int32))})
+            yield pa.record_batch({"h": pa.array(h), "key": pa.array(key), "s": pa.array(np.full(len(h), LONG_LIST, np.int32))})
             continue
         at = group_bounds({"h": h}, ["h"])
         sizes = np.repeat(np.diff(at), np.diff(at))
         keep = sizes > 1
         if keep.any():
-            yield pa.record_batch({"h": pa.array(h[keep]), "sig": pa.array(sig[keep]), "s": pa.array(sizes[keep].astype(np.int32))})
+            yield pa.record_batch({"h": pa.array(h[keep]), "key": pa.array(key[keep]), "s": pa.array(sizes[keep].astype(np.int32))})
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of each class's shared sample, rarest first, what reaches beyond least_shared."""
-    for cols, _, _ in whole_groups(batches, ["sig"]):
+    for cols, _, _ in whole_groups(batches, ["rep", "key"]):
         h, level_of = cols["h"].view(np.uint64), {}
-        out_h, out_sig, out_level = [], [], []
-        at = group_bounds(cols, ["sig"])
+        out_h, out_row, out_level = [], [], []
+        at = group_bounds(cols, ["rep", "key"])
         for a, b in zip(at[:-1], at[1:]):
             n, own = int(cols["n"][a]), h[a:b]
             if n not in level_of:
@@ -110,28 +114,29 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                     reach = p - least_shared(p, level > 0, percent) + 1 - (p - len(hs))
                     if reach > 0:
                         out_h.append(hs[:reach])
-                        out_sig.append(np.full(min(reach, len(hs)), cols["sig"][a]))
+                        out_row.append(np.full(min(reach, len(hs)), a))
                         out_level.append(np.full(min(reach, len(hs)), level, np.int32))
         if out_h:
-            yield pa.record_batch({"h": pa.array(np.concatenate(out_h).view(np.int64)), "level": pa.array(np.concatenate(out_level)), "sig": pa.array(np.concatenate(out_sig))})
+            row = np.concatenate(out_row)
+            yield pa.record_batch({"h": pa.array(np.concatenate(out_h).view(np.int64)), "level": pa.array(np.concatenate(out_level)), "rep": pa.array(cols["rep"][row]), "key": pa.array(cols["key"][row])})
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from the first class of each list to its others."""
+    """Links from the first class of each bucket to its others."""
     first, key = None, None
     for batch in batches:
-        cols = {n: column_array(batch, n) for n in ("h", "level", "sig")}
+        cols = {n: column_array(batch, n) for n in ("h", "level", "rep")}
         if not len(cols["h"]):
             continue
         at = group_bounds(cols, ["h", "level"])
-        heads = cols["sig"][at[:-1]].copy()
+        heads = cols["rep"][at[:-1]].copy()
         if key == (cols["h"][0], cols["level"][0]):
             heads[0] = first
         key, first = (cols["h"][-1], cols["level"][-1]), heads[-1]
         a = np.repeat(heads, np.diff(at))
-        keep = a != cols["sig"]
+        keep = a != cols["rep"]
         if keep.any():
-            pairs = np.unique(np.stack([a[keep], cols["sig"][keep]], 1), axis=0)
+            pairs = np.unique(np.stack([a[keep], cols["rep"][keep]], 1), axis=0)
             yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
@@ -158,14 +163,16 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
 
 
 def _products(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    keys = ["grp", "ca", "sa", "cb", "sb"]
+    """(a, b, key, links): how many documents class (a, key) links with in a pair of blocks (b null), and links of classes a and b that join something."""
+    keys = ["one", "two"]
     for cols, _, _ in whole_groups(batches, keys):
         at = group_bounds(cols, keys)
-        links: list[tuple[int, int, int]] = []
+        reps, signs, copies = cols["rep"], cols["key"], cols["copies"]
+        counted, joined = [], []
         for a, b in zip(at[:-1], at[1:]):
-            side = cols["side"][a:b]
-            left, right = a + np.flatnonzero(side == 0), a + np.flatnonzero(side == 1)
-            same = cols["ca"][a] == cols["cb"][a] and cols["sa"][a] == cols["sb"][a]
+            same = cols["one"][a] == cols["two"][a]
+            side = cols["own"][a:b] == cols["one"][a]
+            left, right = a + np.flatnonzero(side), a + np.flatnonzero(~side)
             if not len(left) or not (len(right) or same):
                 continue
             sets = lambda rows: [np.frombuffer(cols["shingles"][r], np.uint64) for r in rows]
@@ -178,18 +185,17 @@ def _products(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 np.fill_diagonal(linked, False)
             if not linked.any():
                 continue
-            signs, copies = cols["sig"], cols["copies"]
-            for r, n in zip(left, linked @ copies[right]):
-                if n:
-                    links.append((signs[r], signs[r], int(n)))
+            counted += [(r, n) for r, n in zip(left, linked @ copies[right]) if n]
             if not same:
-                for r, n in zip(right, copies[left] @ linked):
-                    if n:
-                        links.append((signs[r], signs[r], int(n)))
-            links.extend((signs[left[i]], signs[right[j]], 0) for i, j in _forest(linked, same))
-        if links:
-            x = np.array(links, np.int64)
-            yield pa.record_batch({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1]), "links": pa.array(x[:, 2])})
+                counted += [(r, n) for r, n in zip(right, copies[left] @ linked) if n]
+            joined += [(left[i], right[j]) for i, j in _forest(linked, same)]
+        if counted:
+            row, n = np.array(counted, np.int64).T
+            x, y = np.array(joined, np.int64).T
+            none = np.concatenate([np.ones(len(row), bool), np.zeros(len(x), bool)])
+            yield pa.record_batch(
+                {"a": pa.array(np.concatenate([reps[row], reps[x]])), "b": pa.array(np.concatenate([reps[row], reps[y]]), mask=none), "key": pa.array(np.concatenate([signs[row], signs[x]])), "links": pa.array(np.concatenate([n, np.zeros(len(x), np.int64)]))}
+            )
 
 
 def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -220,20 +226,31 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """Each class once for every pair of blocks that it has to be in."""
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("members"))
-    sized = nodes.join(sizes, "grp").withColumn("c", F.when(F.col("members") > BLOCK, F.floor(F.log("n") / math.log(1.34))).otherwise(0).cast("int"))
-    salts = cut(sized.groupBy("grp", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")))
-    for name, shift in (("below", 1), ("above", -1)):
-        salts_there = salts.select("grp", (F.col("c") + shift).alias("c"), F.col("salts").alias(name))
-        sized = sized.join(salts_there, ["grp", "c"], "left")
-    sized = sized.join(salts, ["grp", "c"]).withColumn("s", F.expr("cast(pmod(xxhash64(sig), salts) as int)"))
-    pair = "named_struct('ca', {0}, 'sa', {1}, 'cb', {2}, 'sb', {3}, 'side', {4})"
-    own = f"transform(sequence(0, salts - 1), x -> {pair.format('c', 'least(s, x)', 'c', 'greatest(s, x)', 'if(s <= x, 0, 1)')})"
-    above = f"if(above is null, array(), transform(sequence(0, above - 1), x -> {pair.format('c', 's', 'c + 1', 'x', '0')}))"
-    below = f"if(below is null, array(), transform(sequence(0, below - 1), x -> {pair.format('c - 1', 'x', 'c', 's', '1')}))"
-    return sized.select("sig", "grp", "n", "copies", F.expr(f"inline(concat({own}, {above}, {below}))"))
+def _blocks(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Each class once for every pair of blocks that it has to be in: (rep, key, n, copies, own, one, two).
+
+    A group of classes that met is one block if it is small.  A large one is dealt by
+    size class, by the least bucket of a class, so that like sets stand together, and
+    by a salt; its blocks are paired if they share a bucket and their sizes may match.
+    """
+    sizes = nodes.groupBy("grp").agg(((F.count("*") > BLOCK) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"))
+    size_class = F.floor(F.log("n") / math.log(RATIO)).cast("int")
+    sized = nodes.join(sizes, "grp").withColumn("c", F.when(F.col("large"), size_class).otherwise(-9))
+    # sets of a class hold up to RATIO^(c + 1) shingles
+    room = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.pow(F.lit(RATIO), F.col("c") + 1)))).cast("int")
+    parts = sized.where("large").groupBy("grp", "c").agg(F.ceil(F.count("*") / room).cast("long").alias("bins"))
+    binned = sized.where("large").join(parts, ["grp", "c"]).withColumn("bin", F.pmod(F.xxhash64("home"), F.col("bins")))
+    salts = binned.groupBy("grp", "c", "bin").agg(F.ceil(F.count("*") / room).cast("long").alias("salts"))
+    dealt = binned.join(salts, ["grp", "c", "bin"]).withColumn("own", F.xxhash64("grp", "c", "bin", F.pmod(F.xxhash64("rep", "key"), F.col("salts"))))
+    columns = ["rep", "key", "n", "copies", "own"]
+    dealt = cut(dealt.select(*columns, "c"))
+    met = prefixes.join(dealt.select("rep", "key", "own", "c"), ["rep", "key"]).select("h", "level", "own", "c").distinct()
+    other = met.select("h", "level", F.col("own").alias("two"), F.col("c").alias("d"))
+    near = met.join(other, ["h", "level"]).where((F.col("own") <= F.col("two")) & (F.abs(F.col("c") - F.col("d")) <= 1)).select(F.col("own").alias("one"), "two").distinct()
+    pairs = cut(near)
+    sides = pairs.select("one", "two", F.col("one").alias("own")).unionByName(pairs.where("one <> two").select("one", "two", F.col("two").alias("own")))
+    small = sized.where("not large").select("rep", "key", "n", "copies", F.col("grp").alias("own"))
+    return small.select(*columns, F.col("own").alias("one"), F.col("own").alias("two")).unionByName(dealt.select(*columns).join(sides, "own").select(*columns, "one", "two"))
 
 
 def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -245,42 +262,40 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     union; empty sets link with nothing.  component_id is the smallest id reachable
     by links, the document itself included; n_links counts linked documents, copies
     included.  A row without an id is compared with nothing: its component_id is null
-    and it has no links; repeated rows are copies of each other; other columns are ignored.
+    and it has no links; repeated rows are copies of each other; rows with one id but
+    unlike texts are one document as far as reach goes; other columns are ignored.
     Size classes and samples reach as far as 75 percent needs; a lower percent is an error.
     """
     if percent < 75:
         raise ValueError(f"percent {percent} is under 75, for which links of sets of unlike sizes would be lost")
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     n = partitions(docs)
 
     def measured(emit: str, schema: str, of: DataFrame = source) -> DataFrame:
         return of.mapInArrow(lambda batches: _measured(batches, width, percent, emit), schema)
 
-    sets = cut(measured("sizes", "doc_id long, sig long, n long, p0 int, p1 int"))
-    classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("p0").alias("p0"), F.first("p1").alias("p1")))
+    sets = cut(measured("sizes", "doc_id long, sig binary, key long, n long, p0 int, p1 int"))
+    classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("key", "n", "p0", "p1")]))
 
-    samples = measured("samples", "h long, sig long").repartition(n, "h").sortWithinPartitions("h", "sig")
-    shared = samples.mapInArrow(_shared, "h long, sig long, s int")
-    prefixes = shared.join(classes.select("sig", "n", "p0", "p1"), "sig").repartition(n, "sig").sortWithinPartitions("sig", "s", "h").mapInArrow(lambda b: _prefixes(b, percent), "h long, level int, sig long")
-    stars = prefixes.repartition(n, "h", "level").sortWithinPartitions("h", "level", "sig").mapInArrow(_stars, "a long, b long").distinct()
+    samples = measured("samples", "h long, key long").repartition(n, "h").sortWithinPartitions("h", "key")
+    shared = samples.mapInArrow(_shared, "h long, key long, s int")
+    ranked = shared.join(classes.select("key", "rep", "n", "p0", "p1"), "key").repartition(n, "rep", "key").sortWithinPartitions("rep", "key", "s", "h")
+    prefixes = cut(ranked.mapInArrow(lambda b: _prefixes(b, percent), "h long, level int, rep long, key long"))
+    stars = prefixes.repartition(n, "h", "level").sortWithinPartitions("h", "level", "rep").mapInArrow(_stars, "a long, b long").distinct()
 
-    groups = components(cut(stars)).select(F.col("node").alias("sig"), F.col("label").alias("grp"))
-    nodes = cut(groups.join(classes.select("sig", "rep", "copies", "n"), "sig"))
-    reps = nodes.select(F.col("rep").alias("doc_id")).distinct()
+    groups = components(cut(stars)).select(F.col("node").alias("rep"), F.col("label").alias("grp"))
+    homes = prefixes.groupBy("rep", "key").agg(F.min(F.struct("level", "h")).alias("home"))
+    nodes = cut(groups.join(classes.select("rep", "key", "copies", "n"), "rep").join(homes, ["rep", "key"]))
+    reps = nodes.select(F.col("rep").alias("doc_id"), "key")
     # an inner join: a semi join would be moved below the filter
     texts = probable_members(source, reps, "doc_id").join(reps, "doc_id")
-    found = measured("sets", "doc_id long, sig long, shingles binary", texts).select("sig", "shingles")
-    blocks = _blocks(nodes)
-    products = blocks.join(found.dropDuplicates(["sig"]), "sig")
-    keys = ["grp", "ca", "sa", "cb", "sb"]
-    links = cut(products.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _products(b, percent), "a long, b long, links long"))
-
-    joined = components(links.where("a <> b").select("a", "b")).select(F.col("node").alias("sig"), F.col("label").alias("joined"))
-    placed = classes.join(joined, "sig", "left").withColumn("joined", F.coalesce("joined", "sig"))
-    smallest = placed.groupBy("joined").agg(F.min("rep").alias("component_id"))
-    partners = links.groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("links"))
-    by_class = placed.join(smallest, "joined").join(partners, "sig", "left").select("sig", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = measured("sets", "rep long, key long, shingles binary", texts).dropDuplicates(["rep", "key"])
+    products = _blocks(nodes, prefixes).join(found, ["rep", "key"])
+    links = cut(products.repartition(n, "one", "two").sortWithinPartitions("one", "two").mapInArrow(lambda b: _products(b, percent), "a long, b long, key long, links long"))
+
+    joined = components(links.where("b is not null and a <> b").select("a", "b")).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
+    partners = links.where("b is null").groupBy(F.col("a").alias("rep"), "key").agg(F.sum("links").alias("links"))
+    by_class = classes.join(joined, "rep", "left").join(partners, ["rep", "key"], "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return sets.join(by_class, (sets.sig == by_class.sig) & sets.doc_id.isNotNull(), "left").select(
         F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

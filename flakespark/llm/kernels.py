@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
@@ -60,12 +62,50 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Bytes whose words are hashed together.
+SLICE = 1 << 22
+#: What is left of eight bytes by the number of bytes that count.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-independent hashes of byte spans, by a polynomial prefix sum."""
-    power, inverse = _power_tables(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(_LENGTH))
+    """64-bit hashes of byte spans, wherever they stand.
+
+    Eight bytes at a time are mixed in, after the length, so no algebraic identity of
+    the bytes carries over; long spans go through BLAKE2.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(size.astype(_U) * _U(_LENGTH))
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    live, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        left = size[live] - done
+        out[live] = mix(out[live] ^ (lanes[starts[live] + done] & _LEFT[np.minimum(left, 8)]))
+        live, done = live[left > 8], done + 8
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the index of each row's first word (rows + 1); long rows are worked off in slices that end at gaps."""
+    if len(data) <= 2 * SLICE:
+        starts, ends, first = word_spans(data, offsets)
+        return span_hashes(data, starts, ends), first
+    gaps, hashes, begins, at = np.flatnonzero(GAP[data]), [], [], 0
+    while at < len(data):
+        k = int(np.searchsorted(gaps, at + SLICE))
+        end = int(gaps[k]) if k < len(gaps) else len(data)
+        inner = offsets[(offsets > at) & (offsets < end)]
+        starts, ends, _ = word_spans(data[at:end], np.concatenate([[at], inner, [end]]) - at)
+        hashes.append(span_hashes(data[at:end], starts, ends))
+        begins.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
 
 
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -100,12 +140,18 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tupl
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every row; A-Z is folded to a-z."""
-    data = LOWER[data]
-    starts, ends, first = word_spans(data, offsets)
-    shingles, at = shingle_hashes(span_hashes(data, starts, ends), first, width)
+    words, first = word_hashes(LOWER[data], offsets)
+    shingles, at = shingle_hashes(words, first, width)
     return [np.unique(shingles[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
 def set_signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One order-free 64-bit signature for each set; 0 only for the empty set."""
-    return np.array([int(mix(np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) + _U(len(s))], _U))[0]) | 1 if len(s) else 0 for s in sets], _U)
+    """One order-free 128-bit signature for each set, as two numbers a row; zeros for the empty set alone."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), 2), _U)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        flat, heads = np.concatenate([sets[k] for k in filled]), np.cumsum(sizes[filled]) - sizes[filled]
+        for column, salt in enumerate((0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)):
+            out[filled, column] = mix(np.add.reduceat(mix(flat ^ _U(salt)), heads) + sizes[filled].astype(_U)) | _U(1)
+    return out

@@ -20,7 +20,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Fixed value: how this vocabulary splits a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -186,7 +185,6 @@ def pack(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, segments: int
     power of two.  A null id and repeated rows are packed like any others; other
     columns are ignored; an empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
     columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")]
     if loss_flag:
         columns.append(F.coalesce(F.col(loss_flag), F.lit(False)).alias("bears_loss"))

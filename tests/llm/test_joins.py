@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from flakespark.llm import jaccard, suffix
+from flakespark.llm import jaccard, kernels, suffix
 from flakespark.llm.components import components
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -51,8 +51,10 @@ def near_copies(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_brute(spark, docs, seed, monkeypatch):
+@pytest.mark.parametrize("seed, block", [(1, 256), (2, 256), (3, 8), (4, 4)])
+def test_jaccard_brute(spark, docs, seed, block, monkeypatch):
+    # small blocks: groups are dealt by size, bucket and salt, and blocks are paired by their buckets
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = near_copies(seed, 150) + [(1, None), (2, ""), (4, " \t\n"), (5, "Aa bB"), (7, "aA Bb")]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_join(docs(rows)).collect()}
     assert got == brute_jaccard(rows)
@@ -65,7 +67,40 @@ def test_jaccard_edges(spark, docs):
     assert got == [(False, 4, 4, 2), (False, 9, 4, 2), (False, 9, 4, 2), (True, 0, None, 0)]
 
 
-def test_blocks_of_a_large_group(spark, monkeypatch):
+def test_jaccard_large_sets_are_small_blocks(spark, docs, monkeypatch):
+    # one family of near copies, whose sets fill a block by twos
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) for _ in range(300)]
+    rows = [(k, " ".join(w if rng.random() > 0.01 else rng.choice(WORDS) for w in base)) for k in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_join(docs(rows)).collect()}
+    assert got == brute_jaccard(rows)
+
+
+def test_words_of_an_algebraic_pattern_differ(spark, docs):
+    # the two words of Thue and Morse agree in every polynomial hash modulo a power of two
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = [f"x{k}" for k in range(11)]
+    rows = [(1, " ".join([word, *tail])), (2, " ".join([other, *tail])), (3, word), (4, other), (5, " ".join([word, other, word, other, word, other]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_join(docs(rows)).collect()}
+    assert got == brute_jaccard(rows)
+
+
+def test_word_hashes_in_slices(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(WORDS) * rng.choice([1, 1, 40]) for _ in range(n)) for n in (300, 0, 1, 5, 700)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    whole = kernels.word_hashes(data, offsets)
+    monkeypatch.setattr(kernels, "SLICE", 100)
+    parts = kernels.word_hashes(data, offsets)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(set(whole[0].tolist())) == len({w for t in texts for w in t.split()})
+
+
+def test_blocks_of_a_large_group():
     # the product of blocks equals the product of the whole
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(30)]
