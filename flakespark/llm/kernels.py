@@ -70,8 +70,8 @@ SLICE = 1 << 22
 _LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, wherever they stand.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, wherever they stand; another salt gives independent ones.
 
     Eight bytes at a time are mixed in, after the length, so no algebraic identity of
     the bytes carries over; long spans go through BLAKE2.
@@ -80,9 +80,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    out = mix(size.astype(_U) * _U(_LENGTH))
+    out = mix(size.astype(_U) * _U(_LENGTH) + _U(salt))
     for k in np.flatnonzero(size > LONG_WORD):
-        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=salt.to_bytes(8, "little")).digest(), "little")
     live, done = np.flatnonzero(size <= LONG_WORD), 0
     while len(live):
         left = size[live] - done

@@ -5,9 +5,10 @@ stands (winnowing), so every repeat shares an anchor at the same place in the st
 Anchors that two documents have send the bytes around them to a shard of their own.
 In a shard a suffix array is refined by Larsson and Sadakane's doubling, Kasai's
 predecessors give the common prefixes, and runs of equal strings mark all but those
-of the smallest document.  A hot anchor's shard is cut into pieces in the order of
-doc_id; later pieces look their strings up in the sorted strings of the earlier ones
-by binary search.
+of the smallest document.  A hot anchor is dealt to many shards, by chunks of
+documents and then by pieces; each shard marks what it can, and the strings of its own
+smallest documents go on to be merged with those of the other shards, sorted by a
+128-bit key, in which every string finds its smallest document by binary search.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_array, cut, group_bounds, partitions, probable_members, text_chunks, whole_groups
-from .kernels import window_hashes
+from .common import column_array, cut, group_bounds, partitions, probable_members, text_pieces, whole_groups
+from .kernels import mix, span_hashes, window_hashes
 
 #: Width of the hashed grams of which the smallest in a string is its anchor.
 GRAM = 20
 #: Segments of one anchor in a piece of its shard.
 PIECE = 8192
+#: An anchor that so many documents of one chunk of text have is hot: the chunk's go to one of SHARDS shards.
+HOT, SHARDS = 32, 1024
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: 48 bits of a gram's hash travel; two grams that share them only cost a comparison.
 _SHORT = np.uint64(0xFFFFFFFFFFFF)
@@ -134,31 +137,57 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     return shared[order]
 
 
-def _starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(h, doc_id) of the anchors of every document, once each."""
+def _starts(batches: Iterator[pa.RecordBatch], length: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
+    """(h, shard, doc_id, mark) of the anchors of every document, once each.
+
+    Shard 0 is that of all documents.  The documents of a chunk in which the anchor is
+    hot go to another one together; one marked row tells shard 0 of them.
+    """
     for batch in batches:
         ids = column_array(batch, "doc_id")
-        for a, b, data, offsets in text_chunks(batch.column(1)):
+        for a, b, _, data, offsets in text_pieces(batch.column(1), length - 1):
             pos, h, _ = anchors(data, offsets, length)
             row = np.searchsorted(offsets, pos, "right") - 1
             order = np.lexsort((row, h))
             h, row = h[order], row[order]
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            yield pa.record_batch({"h": pa.array(h[fresh].view(np.int64)), "doc_id": pa.array(ids[a:b][row[fresh]], pa.int64())})
+            h, row = h[fresh], row[fresh]
+            at = group_bounds({"h": h}, ["h"]) if len(h) else np.zeros(1, np.int64)
+            count = np.diff(at)
+            many = count >= hot
+            shard = 1 + int(mix(ids[a : a + 1].astype(np.int64).view(np.uint64))[0] % np.uint64(SHARDS))
+            marked = h[at[:-1][many]]
+            none = np.zeros(len(marked), np.int64)
+            yield pa.record_batch(
+                {
+                    "h": pa.array(np.concatenate([h, marked]).view(np.int64)),
+                    "shard": pa.array(np.concatenate([np.repeat(many * shard, count), none]).astype(np.int32)),
+                    "doc_id": pa.array(np.concatenate([ids[a:b][row], none]), pa.int64()),
+                    "mark": pa.array(np.concatenate([np.zeros(len(h), bool), np.ones(len(marked), bool)])),
+                }
+            )
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, sorted by (h, doc_id), whose anchor at least two documents have."""
-    for cols, continues, unfinished in whole_groups(batches, ["h"], PIECE * 8):
-        h, ids = cols["h"], cols["doc_id"]
+def _met(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    """(h, part, doc_id) of the rows, sorted by (h, shard, doc_id), whose anchor at least two documents have.
+
+    Part 0 holds all of an anchor's documents; other parts, of up to piece rows, do not.
+    """
+    number = 0
+    for cols, continues, unfinished in whole_groups(batches, ["h", "shard"], piece):
+        h, ids, part = cols["h"], cols["doc_id"], cols["shard"].astype(np.int64) << 32
         if continues or unfinished:
-            keep = np.ones(len(h), bool)
+            number = number + 1 if continues else 1
+            keep, part = ~cols["mark"], part + number
         else:
-            at = group_bounds(cols, ["h"])
-            keep = np.repeat(ids[at[:-1]] != ids[at[1:] - 1], np.diff(at))
+            at = group_bounds(cols, ["h", "shard"])
+            sizes = np.diff(at)
+            marked = np.repeat(np.maximum.reduceat(cols["mark"], at[:-1]), sizes)
+            part = part + marked
+            keep = (np.repeat(ids[at[:-1]] != ids[at[1:] - 1], sizes) | marked | (part != 0)) & ~cols["mark"]
         if keep.any():
-            yield pa.record_batch({"h": pa.array(h[keep]), "doc_id": pa.array(ids[keep])})
+            yield pa.record_batch({"h": pa.array(h[keep]), "part": pa.array(part[keep]), "doc_id": pa.array(ids[keep], pa.int64())})
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -166,26 +195,32 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     for batch in batches:
         ids = column_array(batch, "doc_id")
         names = batch.schema.names
-        wanted = batch.column(names.index("hs"))
-        ends, flat = wanted.offsets.to_numpy(), wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        for a, b, data, offsets in text_chunks(batch.column(names.index("text"))):
+        wanted = batch.column(names.index("wanted"))
+        ends = wanted.offsets.to_numpy()
+        hashes, parts = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for a, b, place, data, offsets in text_pieces(batch.column(names.index("text")), length - 1):
             pos, h, least = anchors(data, offsets, length)
             row = np.searchsorted(offsets, pos, "right") - 1
             cuts = np.searchsorted(row, np.arange(b - a + 1))
-            keep = np.zeros(len(pos), bool)
+            part = np.full(len(pos), -1, np.int64)
             for k in range(b - a):
                 i, j = cuts[k], cuts[k + 1]
                 if i < j:
-                    keep[i:j] = np.isin(h[i:j], flat[ends[a + k] : ends[a + k + 1]])
-            pos, h, row = pos[keep], h[keep], row[keep]
+                    own = hashes[ends[a + k] : ends[a + k + 1]]
+                    by = np.argsort(own, kind="stable")
+                    mine = h[i:j].view(np.int64)
+                    there = by[np.minimum(np.searchsorted(own[by], mine), len(by) - 1)]
+                    part[i:j] = np.where(own[there] == mine, parts[ends[a + k] + there], -1)
+            keep = part >= 0
+            pos, h, row, part = pos[keep], h[keep], row[keep], part[keep]
             first, last = spans(pos, h, least, length)
             low = np.maximum(first, offsets[row])
             high = np.minimum(last + length, offsets[row + 1])
             fits = high - low >= length
-            low, high, row, h = low[fits], high[fits], row[fits], h[fits]
+            low, high, row, h, part = low[fits], high[fits], row[fits], h[fits], part[fits]
             raw = data.tobytes()
             yield pa.record_batch(
-                {"h": pa.array(h.view(np.int64)), "doc_id": pa.array(ids[a:b][row], pa.int64()), "start": pa.array(low - offsets[row]), "bytes": pa.array([raw[i:j] for i, j in zip(low, high)], pa.binary())}
+                {"h": pa.array(h.view(np.int64)), "part": pa.array(part), "doc_id": pa.array(ids[a:b][row], pa.int64()), "start": pa.array(low - offsets[row] + place), "bytes": pa.array([raw[i:j] for i, j in zip(low, high)], pa.binary())}
             )
 
 
@@ -199,23 +234,29 @@ def _equal_strings(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[n
     return order[whole], group[whole]
 
 
+#: Salts of the two halves of a string's key.
+_HALVES = (0x3C6EF372FE94F82B, 0x1F83D9ABFB41BD6B)
+
+
 def _marks(batches: Iterator[pa.RecordBatch], length: int, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, stop) of byte runs that an earlier document has; rows are sorted by (h, doc_id)."""
-    seen: tuple[np.ndarray, np.ndarray] | None = None
-    for cols, continues, unfinished in whole_groups(batches, ["h"], piece):
+    """(doc_id, start, stop) of byte runs that an earlier document has; rows are sorted by (h, part, doc_id).
+
+    Of a hot anchor's piece, the strings of the piece's own smallest documents come
+    too, each with its key: whether another piece has a smaller document is left open.
+    """
+    for cols, continues, unfinished in whole_groups(batches, ["h", "part"], piece):
         ids, start, h = cols["doc_id"], cols["start"], cols["h"]
-        # equal segments of an anchor stand once in the array, for their smallest document
-        number: dict[tuple[int, bytes], int] = {}
-        kind = np.array([number.setdefault(x, len(number)) for x in zip(h.tolist(), cols["bytes"])], np.int64)
-        texts = [x for _, x in number]
+        # equal segments of an anchor's part stand once in the array, for their smallest document
+        number: dict[tuple[int, int, bytes], int] = {}
+        kind = np.array([number.setdefault(x, len(number)) for x in zip(h.tolist(), cols["part"].tolist(), cols["bytes"])], np.int64)
+        texts = [x for *_, x in number]
         sizes = np.array([len(x) for x in texts], np.int64)
         rep = np.unique(kind, return_index=True)[1]
-        whole = continues or unfinished
-        several = np.ones(len(texts), bool)
-        if not whole:
-            # an anchor with one segment needs no sorting: its strings are equal throughout
-            groups, of = np.unique(h[rep], return_inverse=True)
-            several = np.bincount(of, minlength=len(groups))[of] > 1
+        open_end = (cols["part"] != 0) | continues | unfinished
+        # a part with one segment needs no sorting: its strings are equal throughout
+        bounds = group_bounds(cols, ["h", "part"])
+        of = np.searchsorted(bounds, rep, "right") - 1
+        several = np.bincount(of)[of] > 1
         own_doc = ids[rep]
         strings_of = sizes - length + 1
         at = np.concatenate([[0], np.cumsum(strings_of)])
@@ -226,41 +267,52 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int, piece: int = PIECE) -
             data = np.frombuffer(b"".join(texts[k] for k in chosen), np.uint8)
             pos, group = _equal_strings(data, begins, length)
             row = np.searchsorted(begins, pos, "right") - 1
-            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            # strings of unlike anchors are unlike, those of unlike parts of one anchor are kept apart
+            by = np.lexsort((of[chosen[row]], group))
+            pos, row, group = pos[by], row[by], group[by]
+            owner = of[chosen[row]]
+            heads = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])]))
             lowest = np.minimum.reduceat(own_doc[chosen[row]], heads)
-            if whole:
-                seen, lowest = _against_seen(data, pos[heads], lowest, length, seen if continues else None)
-                if not unfinished:
-                    seen = None
             least[at[chosen[row]] + pos - begins[row]] = np.repeat(lowest, np.diff(np.append(heads, len(pos))))
         # every row's strings, against the smallest document that has them
         count = strings_of[kind]
         row = np.repeat(np.arange(len(ids)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        later = ids[row] > least[at[kind[row]] + inner]
+        smallest = least[at[kind[row]] + inner]
+        later = ids[row] > smallest
         doc, begin = ids[row][later], (start[row] + inner)[later]
         if len(doc):
             by = np.lexsort((begin, doc))
-            yield pa.record_batch(dict(zip(("doc_id", "start", "stop"), map(pa.array, _merged(doc[by], begin[by], begin[by] + length)))))
-
-
-def _against_seen(data: np.ndarray, heads: np.ndarray, lowest: np.ndarray, length: int, seen: tuple[np.ndarray, np.ndarray] | None) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Merges a piece's distinct strings, in suffix order, with those of the pieces before it, by binary search."""
-    # the last byte keeps zeros at the end apart
-    strings = np.empty((len(heads), length + 1), np.uint8)
-    strings[:, :length] = data[heads[:, None] + np.arange(length)]
-    strings[:, length] = 1
-    strings = strings.view(f"S{length + 1}").ravel()
-    if seen is None:
-        by = np.argsort(strings, kind="stable")
-        return (strings[by], lowest[by]), lowest
-    there = np.minimum(np.searchsorted(seen[0], strings), len(seen[0]) - 1)
-    known = seen[0][there] == strings
-    lowest = np.where(known, np.minimum(lowest, seen[1][there]), lowest)
-    fresh = np.flatnonzero(~known)
-    fresh = fresh[np.argsort(strings[fresh], kind="stable")]
-    places = np.searchsorted(seen[0], strings[fresh])
-    return (np.insert(seen[0], places, strings[fresh]), np.insert(seen[1], places, lowest[fresh])), lowest
+            doc, begin, stop = _merged(doc[by], begin[by], begin[by] + length)
+            none = pa.nulls(len(doc), pa.int64())
+            yield pa.record_batch([pa.array(doc), pa.array(begin), pa.array(stop), none, none], names=_MARK_NAMES)
+        undecided = np.flatnonzero(~later & open_end[row])
+        if len(undecided):
+            begins = np.concatenate([[0], np.cumsum(sizes)])
+            data, pos = np.frombuffer(b"".join(texts), np.uint8), begins[kind[row[undecided]]] + inner[undecided]
+            halves = [span_hashes(data, pos, pos + length, salt).view(np.int64) for salt in _HALVES]
+            begin = (start[row] + inner)[undecided]
+            yield pa.record_batch([pa.array(x) for x in (ids[row[undecided]], begin, begin + length, *halves)], names=_MARK_NAMES)
+
+
+_MARK_NAMES = ["doc_id", "start", "stop", "k1", "k2"]
+
+
+def _across_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of strings sorted by (key, doc_id), those that a smaller document of another shard has."""
+    key, smallest = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {n: column_array(batch, n) for n in _MARK_NAMES}
+        at = group_bounds(cols, ["k1", "k2"])
+        lowest = cols["doc_id"][at[:-1]].copy()
+        if key == (cols["k1"][0], cols["k2"][0]):
+            lowest[0] = smallest
+        key, smallest = (cols["k1"][-1], cols["k2"][-1]), lowest[-1]
+        later = cols["doc_id"] > lowest[np.searchsorted(at, np.arange(batch.num_rows), "right") - 1]
+        if later.any():
+            yield pa.record_batch({n: pa.array(cols[n][later]) for n in _MARK_NAMES[:3]})
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,7 +353,7 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
         yield pa.record_batch(out)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text", piece: int = PIECE, hot: int = HOT) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that starts in a smaller document too.
 
     Returns id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the
@@ -310,36 +362,38 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_
     documents and are judged on the input.  Rows that repeat a doc_id are the same
     document (and have its text) and do not clean each other by that; a row without an id is kept whole
     and cleans nothing.  Shorter texts than length stay.  Other columns are ignored.
+    Of an anchor's segments no task holds more than piece, and hot (documents of a
+    chunk) tells when they are dealt to shards; neither changes the result.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     n = partitions(docs)
-    facts = cut(source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
+    facts = cut(source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")))
     # copies of a whole text: all but the smallest doc_id lose every byte, and need no search
     least = facts.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     copies = cut(facts.join(least.where("least < most"), "sha").where(f"doc_id > least and n_bytes >= {length}").select("doc_id").distinct())
 
     texts = source.where("doc_id is not null").select("doc_id", "text")
-    starts = texts.mapInArrow(lambda b: _starts(b, length), "h long, doc_id long")
-    met = starts.repartition(n, "h").sortWithinPartitions("h", "doc_id").mapInArrow(_met, "h long, doc_id long")
-    wanted = cut(met.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("h").alias("hs")))
+    starts = texts.mapInArrow(lambda b: _starts(b, length, hot), "h long, shard int, doc_id long, mark boolean")
+    met = starts.repartition(n, "h", "shard").sortWithinPartitions("h", "shard", "doc_id").mapInArrow(lambda b: _met(b, 8 * piece), "h long, part long, doc_id long")
+    wanted = cut(met.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("h", "part")).alias("wanted")))
 
-    del starts, met
     near = probable_members(texts, wanted, "doc_id").join(wanted, "doc_id")
-    segments = near.select("doc_id", "text", "hs").mapInArrow(lambda b: _segments(b, length), "h long, doc_id long, start long, bytes binary")
-    marks = segments.repartition(n, "h").sortWithinPartitions("h", "doc_id").mapInArrow(lambda b: _marks(b, length), "doc_id long, start long, stop long")
-    runs = cut(marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
+    segments = near.select("doc_id", "text", "wanted").mapInArrow(lambda b: _segments(b, length), "h long, part long, doc_id long, start long, bytes binary")
+    marks = cut(segments.repartition(n, "h", "part").sortWithinPartitions("h", "part", "doc_id").mapInArrow(lambda b: _marks(b, length, piece), "doc_id long, start long, stop long, k1 long, k2 long"))
+    open_strings = marks.where("k1 is not null").repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "doc_id")
+    across = open_strings.mapInArrow(_across_shards, "doc_id long, start long, stop long")
+    runs = cut(marks.where("k1 is null").select("doc_id", "start", "stop").unionByName(across).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
 
-    del near, segments, marks
     more = ", kept_text string" if with_text else ""
     cleaned = probable_members(texts, runs, "doc_id").join(runs, "doc_id").mapInArrow(lambda b: _kept(b, with_text), "doc_id long, n_removed long, n_spans long, kept_sha256 string" + more).dropDuplicates(["doc_id"])
-    whole = F.sha2(F.lit(""), 256)
+    whole, sha = F.sha2(F.lit(""), 256), F.lower(F.hex("sha"))
     gone = copies.withColumn("gone", F.lit(True))
     out = facts.join(gone, "doc_id", "left").join(cleaned, "doc_id", "left").select(
         F.col("doc_id").alias(id_column),
         "n_bytes",
         F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("gone"), whole).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("gone"), whole).otherwise(F.coalesce("kept_sha256", sha)).alias("kept_sha256"),
         *(["kept_text"] if with_text else []),
     )
     return out

@@ -156,8 +156,8 @@ def brute_suffix(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_brute(spark, docs, seed):
+@pytest.mark.parametrize("seed, piece, hot", [(1, suffix.PIECE, suffix.HOT), (2, 3, 1000), (3, 5, 2)])
+def test_suffix_brute(spark, docs, seed, piece, hot):
     rng = random.Random(seed)
     rows = []
     passage = "ünï " * 20 + "the shared passage of this corpus, longer than the limit, is here. "
@@ -168,7 +168,7 @@ def test_suffix_brute(spark, docs, seed):
             t = t[:cut] + rng.choice([passage, passage[: rng.randint(10, 120)], "x" * 130, rows[rng.randrange(len(rows))][1] or "" if rows else ""]) + t[cut:]
         rows.append((k * 2, t))
     rows += [(1, None), (3, ""), (5, "short"), (7, "short"), (9, rows[0][1]), (11, "y" * 49), (13, "y" * 49), (15, "z" * 50), (17, "z" * 50)]
-    got = {r.doc_id: tuple(r)[1:] for r in suffix.suffix_dedup(docs(rows)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.suffix_dedup(docs(rows), piece=piece, hot=hot).collect()}
     assert got == brute_suffix(rows)
 
 
@@ -206,13 +206,20 @@ def test_pieces_of_a_hot_anchor(piece, size):
             b = bytearray(base[: rng.randint(12, 30)])
             if rng.random() < 0.5:
                 b[rng.randrange(len(b))] = rng.choice(b"abc\0")
-            rows.append((rng.choice([7, 7, 7, 9]), rng.randint(0, 6), rng.randint(0, 5), bytes(b)))
+            g = rng.choice([7, 7, 7, 9])
+            rows.append((g, rng.randint(0, 6), rng.randint(0, 5), bytes(b) if g == 7 else bytes(b).upper()))
         rows.sort(key=lambda r: r[:2])
         batches = []
         for k in range(0, len(rows), size):
             h, d, s, b = zip(*rows[k : k + size])
-            batches.append(pa.record_batch({"h": pa.array(h), "doc_id": pa.array(d), "start": pa.array(s), "bytes": pa.array(b, pa.binary())}))
-        got = {(x["doc_id"], p) for b in suffix._marks(iter(batches), 12, piece) for x in b.to_pylist() for p in range(x["start"], x["stop"])}
+            batches.append(pa.record_batch({"h": pa.array(h), "part": pa.array([0] * len(h)), "doc_id": pa.array(d), "start": pa.array(s), "bytes": pa.array(b, pa.binary())}))
+        found = [x for b in suffix._marks(iter(batches), 12, piece) for x in b.to_pylist()]
+        got = {(x["doc_id"], p) for x in found if x["k1"] is None for p in range(x["start"], x["stop"])}
+        undecided = sorted((x["k1"], x["k2"], x["doc_id"], x["start"], x["stop"]) for x in found if x["k1"] is not None)
+        merged = []
+        for k in range(0, len(undecided), size):
+            merged.append(pa.record_batch(dict(zip(("k1", "k2", "doc_id", "start", "stop"), map(pa.array, zip(*undecided[k : k + size]))))))
+        got |= {(x["doc_id"], p) for b in suffix._across_shards(iter(merged)) for x in b.to_pylist() for p in range(x["start"], x["stop"])}
         want = set()
         for g in (7, 9):
             own = [r for r in rows if r[0] == g]
@@ -227,3 +234,33 @@ def test_pieces_of_a_hot_anchor(piece, size):
 def test_jaccard_rejects_what_its_classes_do_not_cover(docs):
     with pytest.raises(ValueError):
         jaccard.jaccard_join(docs([(1, "a b c")]), percent=74)
+
+
+def test_a_hot_anchor_of_unlike_segments_needs_bounded_memory():
+    # 200,000 distinct segments of one anchor: what is held does not grow with their number
+    import tracemalloc
+
+    def batches(n):
+        rng = np.random.default_rng(1)
+        for k in range(0, n, 1000):
+            noise = rng.integers(97, 123, (1000, 30)).astype(np.uint8)
+            texts = [x[:15].tobytes() + b"the anchor of them all" + x[15:].tobytes() for x in noise]
+            yield pa.record_batch({"h": pa.array([7] * 1000), "part": pa.array([1] * 1000), "doc_id": pa.array(np.arange(k, k + 1000)), "start": pa.array([0] * 1000), "bytes": pa.array(texts, pa.binary())})
+
+    peaks = []
+    for n in (20_000, 200_000):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in suffix._marks(batches(n), 50, 2000)) == 3 * n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] < 200e6
+
+
+def test_long_rows_come_in_pieces(spark, docs):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_500_000))
+    rows = [(1, "x" + long[1_040_000:1_060_000]), (2, long), (3, long[2_400_000:] + "end")]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.suffix_dedup(docs(rows)).collect()}
+    left = long[:1_040_000] + long[1_060_000:]
+    assert got[2] == (len(long), 20_000, 1, hashlib.sha256(left.encode()).hexdigest())
+    assert got[3] == (100_003, 100_000, 1, hashlib.sha256(b"end").hexdigest())
