@@ -55,6 +55,37 @@ def test_packing(spark, docs):
     assert packing.pack(docs([]), tokenizer_path()).count() == 0
 
 
+def test_packing_of_very_long_runs(spark, docs):
+    texts = {1: " " * 2_000_000, 2: "\n" * 2_000_000, 3: "a" * 5_000_000, 4: "x" + " \t" * 700_000 + "y", 5: "fine"}
+    rows = packing.pack(docs(list(texts.items())).coalesce(1), tokenizer_path()).collect()
+    check_packing(rows, texts)
+
+
+def test_encoder_follows_the_file(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    want = Tokenizer.from_file(str(tmp_path / "other.json"))
+    encode = packing.encoder(str(tmp_path / "other.json"))
+    assert encode("hello there").tolist() == want.encode("hello there", add_special_tokens=False).ids != packing.encoder(tokenizer_path())("hello there").tolist()
+
+
+def test_packing_masks_of_tokens(spark):
+    rows = [(k, "word " * (10 + k), [bool((j + k) % 3) for j in range(6 + k)]) for k in range(60)] + [(90, "no list", None), (91, "", [True])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bears array<boolean>").coalesce(1)
+    got = packing.pack(df, tokenizer_path(), tokens=64, segments=8, loss=20, loss_mask="bears").collect()
+    check_packing(got, {k: t for k, t, _ in rows}, 64, 8)
+    masks, use = {k: m or [] for k, _, m in rows}, collections.Counter()
+    for r in got:
+        use[r.sequence_id] += sum(masks[r.doc_id][r.start : r.start + r.length])
+    # the limit on loss-bearing tokens binds
+    assert max(use.values()) == 20
+
+
 def test_packing_loss_limit():
     p = packing.Packer(tokens=100, segments=10, loss=30, pool=8)
     rng = np.random.default_rng(1)
