@@ -293,11 +293,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)  # a bounded sample, see SAMPLE_ROWS
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    sums = sample.dropDuplicates(["text"]).agg(F.count("*").alias("n"), F.sum("label").alias("hits")).first()
+    # equal texts count once; if their labels differ, with the larger
+    distinct = cut(sample.groupBy("text").agg(F.max("label").alias("label")).select(F.lit(0).alias("doc_id"), "text", "label"))
+    sums = distinct.agg(F.count("*").alias("n"), F.sum("label").alias("hits")).first()
     if not sums["n"] or not sums["hits"]:
         return Model(np.zeros(0, np.uint64), 0.0)
     base = sums["hits"] / sums["n"]
-    counts = cut(sample.dropDuplicates(["text"]).mapInArrow(_distinct_terms, "term long, n long, hits long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= TERM_ROWS))
+    counts = cut(distinct.mapInArrow(_distinct_terms, "term long, n long, hits long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= TERM_ROWS))
     if counts.count() > TERMS:
         counts = counts.orderBy(F.desc("n"), "term").limit(TERMS)
     got = counts.toArrow()

@@ -100,12 +100,30 @@ def test_toxicity_uses_all_terms(spark, docs):
 
     vectors = {k: unit(c) for k, c in counts.items()}
     assert all(vectors.values()) and len(train) > 200
-    for k in list(texts)[:60]:
-        near = sorted((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[k].items()), 9), j) for j in train)[: nearest.NEIGHBOURS]
-        assert rows[k].neighbours == [j for _, j in near], k
+    base = sum(toxic[k] for k in distinct) / len(distinct)
+
+    def vote(k, others):
+        near = sorted((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[k].items()), 12), j) for j in others)[: nearest.NEIGHBOURS]
+        near = [(-c, j) for c, j in near if c]
+        return (sum(c * c * toxic[j] for c, j in near) + nearest.PRIOR * base) / (sum(c * c for c, _ in near) + nearest.PRIOR), [j for _, j in near]
+
+    left_out = [vote(k, [j for j in train if j != k])[0] for k in train]
+    curve = nearest.isotonic(np.array(left_out), np.array([float(toxic[k]) for k in train]))
+    for k in texts:
+        raw, near = vote(k, train)
+        assert rows[k].neighbours == near, k
+        assert rows[k].score == pytest.approx(float(np.interp(raw, *curve)), abs=1e-6), k
     assert {toxic[j] for r in rows.values() for j in r.neighbours} == {0, 1}
 
 
+def test_equal_texts_with_unlike_labels(spark, docs):
+    d, labels = labelled(spark, docs, n=200)
+    twice = d.unionByName(d.withColumn("doc_id", F.col("doc_id") + 1000))
+    other = labels.unionByName(labels.select((F.col("doc_id") + 1000).alias("doc_id"), "quality", F.lit(0).alias("toxic")))
+    one, two = (nearest.fit(twice.repartition(n), other.repartition(n)) for n in (1, 3))
+    assert one.base == two.base and (one.vocabulary == two.vocabulary).all() and (one.curve[1] == two.curve[1]).all()
+
+
 def test_isotonic():
     x, y = nearest.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 < y[0] and y[-1] < 1
