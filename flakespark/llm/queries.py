@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, digest, jaccard, mixing, nearest, packing, rules, sites, suffix, urlrules
 from .common import table
@@ -29,7 +30,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    rows = chat.rotate(table(spark, sf_dir, "conversations"))
+    # the mask as text, as SQL engines show lists unlike each other
+    mask = F.array_join(F.transform("targets", lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    return rows.withColumn("targets", mask)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,25 +9,25 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 _GAP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-CHAT = """
+CHAT = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM rows WHERE speaker <> 'system'),
 seen AS (
   SELECT r.conv_id, p.perspective, r.turn, r.speaker, r.text, r.speaker = p.perspective AS is_target,
-    CASE WHEN r.speaker = p.perspective THEN 'assistant' WHEN r.speaker = 'system' THEN 'system' ELSE 'user' END AS role,
-    CASE WHEN r.speaker <> p.perspective AND r.speaker <> 'system' THEN r.speaker END AS name
+    CASE WHEN r.speaker = p.perspective THEN 'assistant' WHEN r.speaker = 'system' THEN 'system'
+      ELSE 'user name=' || replace(replace(replace(replace(replace(replace(replace(r.speaker, '%', '%25'), ' ', '%20'), chr(9), '%09'), chr(10), '%0A'), chr(13), '%0D'), '<\', '<\\'), '<|', '<\|') END AS who,
+    replace(replace(r.text, '<\', '<\\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS body
   FROM rows r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
-headed AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM seen),
-shown AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM headed),
+shown AS (SELECT *, '<|im_start|>' || who || chr(10) AS head FROM seen),
 placed AS (
-  SELECT *, length(segment)::BIGINT AS n_chars,
-    (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) - length(segment))::BIGINT AS start
-  FROM shown)
-SELECT conv_id, perspective, turn, role, name, segment, is_target, n_chars, start,
-  CASE WHEN is_target THEN start + length(head) END::BIGINT AS target_start,
-  CASE WHEN is_target THEN start + n_chars END::BIGINT AS target_stop
-FROM placed
+  SELECT *, (sum(length(head || body)) OVER own - length(head || body))::BIGINT AS start, row_number() OVER own AS k
+  FROM shown WINDOW own AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, md5(speaker || chr(10) || text), speaker, text ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, start // 1048576 AS part, min(start) OVER (PARTITION BY conv_id, perspective, start // 1048576) AS begin FROM placed)
+SELECT conv_id, perspective, part::BIGINT AS part, min(start) AS start, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY k) AS dialogue,
+  coalesce(string_agg((start - begin + length(head))::BIGINT || '-' || (start - begin + length(head || body))::BIGINT, ',' ORDER BY k) FILTER (is_target), '') AS targets,
+  sum(length(head || body))::BIGINT AS n_chars
+FROM cut GROUP BY conv_id, perspective, part
 """
 
 QUALITY = f"""
@@ -43,14 +43,17 @@ lines AS (
     translate(array_to_string(regexp_extract_all(line, '{_WORD}'), ' '), '{_UP}', '{_LOW}') AS norm
   FROM raw WHERE trim(line, {_GAP}) <> ''),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT text) AS texts FROM w WHERE len(ws) > 0 GROUP BY host),
-freq AS (SELECT host, norm, count(DISTINCT text) AS n FROM lines GROUP BY host, norm),
-gone AS (SELECT host, norm FROM freq JOIN hosts USING (host) WHERE n > {LINE_DOCS} AND n * 100 > texts * {LINE_PERCENT}),
-lost AS (SELECT rid, sum(words) AS n FROM lines JOIN gone USING (host, norm) GROUP BY rid),
+documents_of AS (SELECT DISTINCT host, doc_id, text FROM w WHERE len(ws) > 0),
+hosts AS (SELECT host, count(*) AS documents FROM documents_of GROUP BY host),
+held AS (SELECT DISTINCT host, doc_id, text, norm FROM lines JOIN d USING (rid, host, text)),
+gone AS (
+  SELECT host, norm FROM held GROUP BY host, norm
+  HAVING count(*) > {LINE_DOCS} AND 100 * count(*) > {LINE_PERCENT} * (SELECT h.documents FROM hosts h WHERE h.host = held.host)),
+lost AS (SELECT rid, count(*) AS removed, sum(words) AS n FROM lines WHERE (host, norm) IN (SELECT host, norm FROM gone) GROUP BY rid),
 m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(translate(text, {_GAP}, ''))::BIGINT AS word_chars,
     (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
-    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_lost_words
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_removed_lines, coalesce(lost.n, 0)::BIGINT AS n_lost_words
   FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN lost USING (rid))
 SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed,
   NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words) AND 100 * n_lost_words <= {LOST_PERCENT} * n_words AS kept
