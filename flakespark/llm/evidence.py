@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bounds of a fit: labelled rows read, words kept, rows that a word needs.
-SAMPLE_ROWS, WORDS, WORD_ROWS = 20000, 2048, 5
+#: Bound of a fit, labelled rows read; rows that a word needs.
+SAMPLE_ROWS, WORD_ROWS = 20000, 5
+#: Up to so many words (about 10 MB) the model is broadcast; a larger one is joined by a shuffle.
+BROADCAST_WORDS = 200_000
 #: Standard deviations by which a word must favour some class.
 TELLING = 4.0
 #: Least log-ratio of a word for its best class; many weak words would outvote a few telling ones.
@@ -37,10 +39,13 @@ def signed(texts: DataFrame, keys: list[F.Column]) -> DataFrame:
 
 
 class Evidence:
-    """Class priors, the bounded table (word, one weight a class) of a fit, and what a text without any of its words has."""
+    """Class priors, the table (word, one weight a class) of a fit's n words, and what a text without any of them has."""
 
-    def __init__(self, classes: list[str], priors: list[float], table: DataFrame, without: list[float]):
-        self.classes, self.priors, self.table, self.without = classes, priors, table, without
+    def __init__(self, classes: list[str], priors: list[float], table: DataFrame, without: list[float], n: int):
+        self.classes, self.priors, self.table, self.without, self.n = classes, priors, table, without, n
+
+    def sent(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.n <= BROADCAST_WORDS else table
 
 
 def fit_evidence(docs: DataFrame, labelled: DataFrame, classes: list[str], id_column: str = "doc_id", text_column: str = "text") -> Evidence:
@@ -68,15 +73,15 @@ def fit_evidence(docs: DataFrame, labelled: DataFrame, classes: list[str], id_co
     ks = range(len(classes))
     strong = counts.withColumn("z", z).where(F.col("z") > TELLING).select("key", "z", *told, *untold).where(F.greatest(*[F.col(f"p{k}") for k in ks]) >= LEAST_WEIGHT)
     # a word that is there takes back what its absence would have said
-    table = cut(strong.orderBy(F.desc("z"), "key").limit(WORDS).select("key", *[(F.col(f"p{k}") - F.col(f"a{k}")).alias(f"w{k}") for k in ks], *[f"a{k}" for k in ks]))
-    absent = table.agg(*[F.coalesce(F.sum(f"a{k}"), F.lit(0.0)).alias(f"a{k}") for k in ks]).first()
-    return Evidence(classes, share, table.select("key", *[f"w{k}" for k in ks]), list(absent))
+    table = cut(strong.select("key", *[(F.col(f"p{k}") - F.col(f"a{k}")).alias(f"w{k}") for k in ks], *[f"a{k}" for k in ks]))
+    *absent, n = table.agg(*[F.coalesce(F.sum(f"a{k}"), F.lit(0.0)).alias(f"a{k}") for k in ks], F.count("*").alias("n")).first()
+    return Evidence(classes, share, table.select("key", *[f"w{k}" for k in ks]), absent, n)
 
 
 def weigh(docs: DataFrame, model: Evidence, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns, n_tokens and e0..: evidence sums by class, of every row.
 
-    Sums are taken once for each distinct text; the model is broadcast, at most WORDS rows.
+    Sums are taken once for each distinct text; the model is broadcast if it is small.
     Null and empty texts have no evidence.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -87,9 +92,9 @@ def weigh(docs: DataFrame, model: Evidence, id_column: str = "doc_id", text_colu
     # words are exploded and looked up in generated code; only known ones go on
     own = ["text_hash", "n_chars", "n_tokens", "sign"]
     exploded = signed(texts, key).select(*own, F.explode("words").alias("word")).select(*own, F.xxhash64("word").alias("key"))
-    known = exploded.join(F.broadcast(model.table.unionByName(every)), "key").groupBy(*own, "key").agg(*[F.first(f"w{k}").alias(f"w{k}") for k in ks])
+    known = exploded.join(model.sent(model.table.unionByName(every)), "key").groupBy(*own, "key").agg(*[F.first(f"w{k}").alias(f"w{k}") for k in ks])
     by_word = known.groupBy(*own).agg(*[F.sum(f"w{k}").alias(f"s{k}") for k in ks])
-    told = by_word.join(F.broadcast(model.table), by_word.sign == model.table.key, "left").select("text_hash", "n_chars", "n_tokens", *[(F.col(f"s{k}") + F.coalesce(f"w{k}", F.lit(0.0))).alias(f"e{k}") for k in ks])
+    told = by_word.join(model.sent(model.table), by_word.sign == model.table.key, "left").select("text_hash", "n_chars", "n_tokens", *[(F.col(f"s{k}") + F.coalesce(f"w{k}", F.lit(0.0))).alias(f"e{k}") for k in ks])
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *keep, text.alias("text")).select("doc_id", *keep, *key)
     return rows.join(told, ["text_hash", "n_chars"]).select("doc_id", *keep, "n_tokens", *[F.when(F.col("n_tokens") > 0, F.coalesce(f"e{k}", F.lit(0.0)) + x).otherwise(0.0).alias(f"e{k}") for k, x in enumerate(model.without)])
 

@@ -29,12 +29,13 @@ class QualityModel:
     shift: float
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> QualityModel:
     """Fits the words, then the curve, both on the bounded labelled sample; without labels every text scores by its site."""
-    known = labels.select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("cls")).where("cls is not null")
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("cls")).where("cls is not null")
     model = fit_evidence(docs, known, CLASSES)
     chosen = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("cls")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    weighed = weigh(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), model, keep=("cls",))
+    weighed = weigh(docs.join(F.broadcast(chosen), "doc_id"), model, keep=("cls",))
     # whole steps of log-odds within a bound: a few hundred rows, whatever the sample
     step = F.round(F.least(F.greatest(F.col("e0") - F.col("e1"), F.lit(-REACH)), F.lit(REACH))).alias("x")
     bins = weighed.groupBy(step).agg(F.count("*").alias("n"), F.count_if(F.col("cls") == "good").alias("good")).collect()
