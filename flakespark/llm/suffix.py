@@ -28,8 +28,8 @@ from .kernels import mix, span_hashes, window_hashes
 GRAM = 20
 #: Segments of one anchor in a piece of its shard.
 PIECE = 8192
-#: An anchor that so many documents of one chunk of text have is hot: the chunk's go to one of SHARDS shards.
-HOT, SHARDS = 32, 1024
+#: An anchor that so many documents of one chunk of text have is hot: the chunk's go to one of several shards, SHARDS at least.
+HOT, SHARDS = 32, 16
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: 48 bits of a gram's hash travel; two grams that share them only cost a comparison.
 _SHORT = np.uint64(0xFFFFFFFFFFFF)
@@ -137,7 +137,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     return shared[order]
 
 
-def _starts(batches: Iterator[pa.RecordBatch], length: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
+def _starts(batches: Iterator[pa.RecordBatch], length: int, hot: int = HOT, shards: int = SHARDS) -> Iterator[pa.RecordBatch]:
     """(h, shard, doc_id, mark) of the anchors of every document, once each.
 
     Shard 0 is that of all documents.  The documents of a chunk in which the anchor is
@@ -156,7 +156,7 @@ def _starts(batches: Iterator[pa.RecordBatch], length: int, hot: int = HOT) -> I
             at = group_bounds({"h": h}, ["h"]) if len(h) else np.zeros(1, np.int64)
             count = np.diff(at)
             many = count >= hot
-            shard = 1 + int(mix(ids[a : a + 1].astype(np.int64).view(np.uint64))[0] % np.uint64(SHARDS))
+            shard = 1 + int(mix(ids[a : a + 1].astype(np.int64).view(np.uint64))[0] % np.uint64(shards))
             marked = h[at[:-1][many]]
             none = np.zeros(len(marked), np.int64)
             yield pa.record_batch(
@@ -191,7 +191,7 @@ def _met(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBat
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the strings that a shared anchor stands for."""
+    """The bytes of the strings that a shared anchor stands for; what repeats in a document comes once, with its further starts in `more`."""
     for batch in batches:
         ids = column_array(batch, "doc_id")
         names = batch.schema.names
@@ -219,11 +219,26 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             fits = high - low >= length
             low, high, row, h, part = low[fits], high[fits], row[fits], h[fits], part[fits]
             raw = data.tobytes()
+            texts, start = [raw[i:j] for i, j in zip(low, high)], low - offsets[row] + place
+            once, more = _once(row, h, start, texts)
             yield pa.record_batch(
-                {"h": pa.array(h.view(np.int64)), "part": pa.array(part), "doc_id": pa.array(ids[a:b][row], pa.int64()), "start": pa.array(low - offsets[row] + place), "bytes": pa.array([raw[i:j] for i, j in zip(low, high)], pa.binary())}
+                {"h": pa.array(h[once].view(np.int64)), "part": pa.array(part[once]), "doc_id": pa.array(ids[a:b][row[once]], pa.int64()), "start": pa.array(start[once]), "bytes": pa.array([texts[k] for k in once], pa.binary()), "more": pa.array([more.get(k) for k in once.tolist()], pa.binary())}
             )
 
 
+def _once(row: np.ndarray, h: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, dict[int, bytes]]:
+    """The places of segments that are the first of their kind in a row, and, as bytes, the starts of the later ones."""
+    by = np.lexsort((h, row))
+    equal = np.zeros(len(by) + 1, bool)
+    equal[1:-1] = (row[by][1:] == row[by][:-1]) & (h[by][1:] == h[by][:-1])
+    keep, groups = np.ones(len(by), bool), {}
+    for k in np.sort(by[equal[:-1] | equal[1:]]).tolist():
+        own = groups.setdefault((int(row[k]), texts[k]), [])
+        own.append(k)
+        keep[k] = len(own) == 1
+    return np.flatnonzero(keep), {own[0]: start[own[1:]].astype(np.int64).tobytes() for own in groups.values() if len(own) > 1}
+
+
 def _equal_strings(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions with `length` bytes left in their segment, in suffix order, and the group of equal strings of each."""
     order = suffix_array(data, length)
@@ -280,22 +295,36 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int, piece: int = PIECE) -
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         smallest = least[at[kind[row]] + inner]
         later = ids[row] > smallest
-        doc, begin = ids[row][later], (start[row] + inner)[later]
-        if len(doc):
-            by = np.lexsort((begin, doc))
-            doc, begin, stop = _merged(doc[by], begin[by], begin[by] + length)
-            none = pa.nulls(len(doc), pa.int64())
-            yield pa.record_batch([pa.array(doc), pa.array(begin), pa.array(stop), none, none], names=_MARK_NAMES)
+        further = {k: np.frombuffer(cols["more"][k], np.int64) for k in np.flatnonzero(cols["more"] != None)}  # noqa: E711  in each place
+        if later.any():
+            # runs of such strings in a row, for each of the row's starts
+            edge = np.concatenate([[True], row[1:] != row[:-1]])
+            first = np.flatnonzero(later & (edge | ~np.concatenate([[False], later[:-1]])))
+            last = np.flatnonzero(later & np.concatenate([edge[1:] | ~later[1:], [True]]))
+            at_run, begins = _at_all_starts(row[first], inner[first], start, further)
+            doc, stops = ids[row[first]][at_run], begins + (inner[last] - inner[first] + length)[at_run]
+            by = np.lexsort((begins, doc))
+            doc, begin, stop = _merged(doc[by], begins[by], stops[by])
+            none = [pa.nulls(len(doc), pa.int64())] * 2 + [pa.nulls(len(doc), pa.binary())]
+            yield pa.record_batch([pa.array(doc), pa.array(begin), pa.array(stop), *none], names=_MARK_NAMES)
         undecided = np.flatnonzero(~later & open_end[row])
         if len(undecided):
-            begins = np.concatenate([[0], np.cumsum(sizes)])
-            data, pos = np.frombuffer(b"".join(texts), np.uint8), begins[kind[row[undecided]]] + inner[undecided]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            own, shift = row[undecided], inner[undecided]
+            data, pos = np.frombuffer(b"".join(texts), np.uint8), ends[kind[own]] + shift
             halves = [span_hashes(data, pos, pos + length, salt).view(np.int64) for salt in _HALVES]
-            begin = (start[row] + inner)[undecided]
-            yield pa.record_batch([pa.array(x) for x in (ids[row[undecided]], begin, begin + length, *halves)], names=_MARK_NAMES)
+            more = pa.array([(further[r] + k).tobytes() if r in further else None for r, k in zip(own.tolist(), shift.tolist())], pa.binary())
+            yield pa.record_batch([*[pa.array(x) for x in (ids[own], start[own] + shift, start[own] + shift + length, *halves)], more], names=_MARK_NAMES)
 
 
-_MARK_NAMES = ["doc_id", "start", "stop", "k1", "k2"]
+def _at_all_starts(row: np.ndarray, shift: np.ndarray, start: np.ndarray, further: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each (row, shift) at every start of the row: its number and the place."""
+    more = [k for k, r in enumerate(row.tolist()) if r in further] if further else []
+    parts = [further[row[k]] + shift[k] for k in more]
+    return np.concatenate([np.arange(len(row)), np.repeat(np.array(more, np.int64), [len(x) for x in parts])]), np.concatenate([start[row] + shift, *parts])
+
+
+_MARK_NAMES = ["doc_id", "start", "stop", "k1", "k2", "more"]
 
 
 def _across_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,16 +341,24 @@ def _across_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         key, smallest = (cols["k1"][-1], cols["k2"][-1]), lowest[-1]
         later = cols["doc_id"] > lowest[np.searchsorted(at, np.arange(batch.num_rows), "right") - 1]
         if later.any():
-            yield pa.record_batch({n: pa.array(cols[n][later]) for n in _MARK_NAMES[:3]})
+            width = int(cols["stop"][0] - cols["start"][0])
+            starts = [np.concatenate([cols["start"][k : k + 1], np.frombuffer(cols["more"][k] or b"", np.int64)]) for k in np.flatnonzero(later)]
+            begin, doc = np.concatenate(starts), np.repeat(cols["doc_id"][later], [len(x) for x in starts])
+            by = np.lexsort((begin, doc))
+            yield pa.record_batch(dict(zip(_MARK_NAMES, map(pa.array, _merged(doc[by], begin[by], begin[by] + width)))))
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unions of touching runs of one width, sorted by (doc, start)."""
-    head = np.ones(len(doc), bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+    """Unions of touching runs, sorted by (doc, start)."""
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = doc[1:] != doc[:-1]
+    # places of unlike documents are set apart, so that one running maximum serves all
+    apart = np.cumsum(fresh) * (int(stop.max()) + 1 if len(stop) else 1)
+    reach = np.maximum.accumulate(stop + apart) - apart
+    head = fresh.copy()
+    head[1:] |= start[1:] > reach[:-1]
     at = np.flatnonzero(head)
-    last = np.concatenate([at[1:], [len(doc)]]) - 1
-    return doc[at], start[at], stop[last]
+    return doc[at], start[at], reach[np.concatenate([at[1:], [len(doc)]]) - 1]
 
 
 def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -367,19 +404,20 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     n = partitions(docs)
+    shards = max(SHARDS, n // 4)
     facts = cut(source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")))
     # copies of a whole text: all but the smallest doc_id lose every byte, and need no search
     least = facts.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     copies = cut(facts.join(least.where("least < most"), "sha").where(f"doc_id > least and n_bytes >= {length}").select("doc_id").distinct())
 
     texts = source.where("doc_id is not null").select("doc_id", "text")
-    starts = texts.mapInArrow(lambda b: _starts(b, length, hot), "h long, shard int, doc_id long, mark boolean")
+    starts = texts.mapInArrow(lambda b: _starts(b, length, hot, shards), "h long, shard int, doc_id long, mark boolean")
     met = starts.repartition(n, "h", "shard").sortWithinPartitions("h", "shard", "doc_id").mapInArrow(lambda b: _met(b, 8 * piece), "h long, part long, doc_id long")
     wanted = cut(met.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("h", "part")).alias("wanted")))
 
     near = probable_members(texts, wanted, "doc_id").join(wanted, "doc_id")
-    segments = near.select("doc_id", "text", "wanted").mapInArrow(lambda b: _segments(b, length), "h long, part long, doc_id long, start long, bytes binary")
-    marks = cut(segments.repartition(n, "h", "part").sortWithinPartitions("h", "part", "doc_id").mapInArrow(lambda b: _marks(b, length, piece), "doc_id long, start long, stop long, k1 long, k2 long"))
+    segments = near.select("doc_id", "text", "wanted").mapInArrow(lambda b: _segments(b, length), "h long, part long, doc_id long, start long, bytes binary, more binary")
+    marks = cut(segments.repartition(n, "h", "part").sortWithinPartitions("h", "part", "doc_id").mapInArrow(lambda b: _marks(b, length, piece), "doc_id long, start long, stop long, k1 long, k2 long, more binary"))
     open_strings = marks.where("k1 is not null").repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "doc_id")
     across = open_strings.mapInArrow(_across_shards, "doc_id long, start long, stop long")
     runs = cut(marks.where("k1 is null").select("doc_id", "start", "stop").unionByName(across).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs")))

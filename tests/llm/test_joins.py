@@ -165,7 +165,7 @@ def test_suffix_brute(spark, docs, seed, piece, hot):
         t = "".join(rng.choice("ab cdé") for _ in range(rng.randint(0, 200)))
         for _ in range(rng.randint(0, 2)):
             cut = rng.randint(0, len(t))
-            t = t[:cut] + rng.choice([passage, passage[: rng.randint(10, 120)], "x" * 130, rows[rng.randrange(len(rows))][1] or "" if rows else ""]) + t[cut:]
+            t = t[:cut] + rng.choice([passage, passage[: rng.randint(10, 120)], "x" * 130, "pair of words. " * rng.randint(4, 30), rows[rng.randrange(len(rows))][1] or "" if rows else ""]) + t[cut:]
         rows.append((k * 2, t))
     rows += [(1, None), (3, ""), (5, "short"), (7, "short"), (9, rows[0][1]), (11, "y" * 49), (13, "y" * 49), (15, "z" * 50), (17, "z" * 50)]
     got = {r.doc_id: tuple(r)[1:] for r in suffix.suffix_dedup(docs(rows), piece=piece, hot=hot).collect()}
@@ -212,17 +212,17 @@ def test_pieces_of_a_hot_anchor(piece, size):
         batches = []
         for k in range(0, len(rows), size):
             h, d, s, b = zip(*rows[k : k + size])
-            batches.append(pa.record_batch({"h": pa.array(h), "part": pa.array([0] * len(h)), "doc_id": pa.array(d), "start": pa.array(s), "bytes": pa.array(b, pa.binary())}))
+            batches.append(pa.record_batch({"h": pa.array(h), "part": pa.array([0] * len(h)), "doc_id": pa.array(d), "start": pa.array(s), "bytes": pa.array(b, pa.binary()), "more": pa.array([None if x % 2 else np.array([x + 40, x + 45]).tobytes() for x in s], pa.binary())}))
         found = [x for b in suffix._marks(iter(batches), 12, piece) for x in b.to_pylist()]
         got = {(x["doc_id"], p) for x in found if x["k1"] is None for p in range(x["start"], x["stop"])}
-        undecided = sorted((x["k1"], x["k2"], x["doc_id"], x["start"], x["stop"]) for x in found if x["k1"] is not None)
-        merged = []
+        undecided = sorted(((x["k1"], x["k2"], x["doc_id"], x["start"], x["stop"], x["more"]) for x in found if x["k1"] is not None), key=lambda x: x[:4])
+        merged, names = [], ["k1", "k2", "doc_id", "start", "stop", "more"]
         for k in range(0, len(undecided), size):
-            merged.append(pa.record_batch(dict(zip(("k1", "k2", "doc_id", "start", "stop"), map(pa.array, zip(*undecided[k : k + size]))))))
+            merged.append(pa.record_batch([pa.array(c, pa.binary() if n == "more" else pa.int64()) for n, c in zip(names, zip(*undecided[k : k + size]))], names=names))
         got |= {(x["doc_id"], p) for b in suffix._across_shards(iter(merged)) for x in b.to_pylist() for p in range(x["start"], x["stop"])}
         want = set()
         for g in (7, 9):
-            own = [r for r in rows if r[0] == g]
+            own = [(a, d, x, b) for a, d, s, b in rows if a == g for x in ([s] if s % 2 else [s, s + 40, s + 45])]
             first = {}
             for _, d, _, b in own:
                 for k in range(len(b) - 11):
@@ -245,7 +245,7 @@ def test_a_hot_anchor_of_unlike_segments_needs_bounded_memory():
         for k in range(0, n, 1000):
             noise = rng.integers(97, 123, (1000, 30)).astype(np.uint8)
             texts = [x[:15].tobytes() + b"the anchor of them all" + x[15:].tobytes() for x in noise]
-            yield pa.record_batch({"h": pa.array([7] * 1000), "part": pa.array([1] * 1000), "doc_id": pa.array(np.arange(k, k + 1000)), "start": pa.array([0] * 1000), "bytes": pa.array(texts, pa.binary())})
+            yield pa.record_batch({"h": pa.array([7] * 1000), "part": pa.array([1] * 1000), "doc_id": pa.array(np.arange(k, k + 1000)), "start": pa.array([0] * 1000), "bytes": pa.array(texts, pa.binary()), "more": pa.nulls(1000, pa.binary())})
 
     peaks = []
     for n in (20_000, 200_000):
