@@ -407,8 +407,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False, id_
     shards = max(SHARDS, n // 4)
     facts = cut(source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")))
     # copies of a whole text: all but the smallest doc_id lose every byte, and need no search
-    least = facts.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    copies = cut(facts.join(least.where("least < most"), "sha").where(f"doc_id > least and n_bytes >= {length}").select("doc_id").distinct())
+    # fixed before the join, which can then split the rows of one text
+    least = cut(facts.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"))
+    copies = cut(facts.join(least, "sha").where(f"doc_id > least and n_bytes >= {length}").select("doc_id").distinct())
 
     texts = source.where("doc_id is not null").select("doc_id", "text")
     starts = texts.mapInArrow(lambda b: _starts(b, length, hot, shards), "h long, shard int, doc_id long, mark boolean")
