@@ -31,7 +31,7 @@ PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 2.0
 #: Terms whose weights stand in a dense float32 table, queries that are searched together,
 #: blocks that are visited before the k-th hit is known anew, and what float32 sums may be off by.
-COMMON, QUERIES, ROUNDS, SLACK = 512, 64, (4, 24), 1e-4
+COMMON, QUERIES, ROUNDS, SLACK = 2048, 64, (4, 24), 1e-4
 
 
 def row_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +62,43 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.record_batch({"term": pa.array(term[head].view(np.int64)), "n": pa.array(np.diff(np.append(head, len(term)))), "hits": pa.array(np.add.reduceat(label[a:b][row].astype(np.int64), head))})
 
 
-def _counted(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Lookup:
+    """Numbers of a sorted vocabulary's terms: their leading bits name a bucket of less than one term on average."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, bits = vocabulary, max(1, len(vocabulary).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.append(np.searchsorted(vocabulary, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(vocabulary))
+
+    def find(self, term: np.ndarray) -> np.ndarray:
+        """-1 where the vocabulary has no such term."""
+        out, bucket = np.full(len(term), -1, np.int64), (term >> self.shift).astype(np.int64)
+        at, stop = self.starts[bucket], self.starts[bucket + 1]
+        live = np.flatnonzero(at < stop)
+        while len(live):
+            hit = self.vocabulary[at[live]] == term[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < stop[live]]
+        return out
+
+
+def _counted(data: np.ndarray, offsets: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term number, count) of the vocabulary's terms, sorted."""
     row, term = row_terms(data, offsets)
-    at = np.minimum(np.searchsorted(vocabulary, term), max(0, len(vocabulary) - 1))
-    known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-    pair, count = np.unique(row[known] * np.int64(len(vocabulary) or 1) + at[known], return_counts=True)
-    return pair // (len(vocabulary) or 1), pair % (len(vocabulary) or 1), count
+    number = lookup.find(term)
+    known, size = number >= 0, np.int64(len(lookup.vocabulary) or 1)
+    pair, count = np.unique(row[known] * size + number[known], return_counts=True)
+    return pair // size, pair % size, count
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
-    total, rows = np.zeros(len(vocabulary), np.int64), 0
+    total, rows, lookup = np.zeros(len(vocabulary), np.int64), 0, Lookup(vocabulary)
     for batch in batches:
         rows += batch.num_rows
         for _, _, data, offsets in text_chunks(batch.column(1)):
-            total += np.bincount(_counted(data, offsets, vocabulary)[1], minlength=len(vocabulary))
+            total += np.bincount(_counted(data, offsets, lookup)[1], minlength=len(vocabulary))
     seen = np.flatnonzero(total)
     yield pa.record_batch({"t": pa.array(np.append(seen, -1).astype(np.int32)), "n": pa.array(np.append(total[seen], rows))})
 
@@ -90,14 +112,19 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel(), dtype=np.int32)
 
 
+#: What the bytes of a chunk of examples hold.
+_PARTS = ("ids", "labels", "sizes", "terms", "counts")
+
+
 def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row a chunk of texts, its columns the bytes of arrays."""
+    lookup = Lookup(vocabulary)
     for batch in batches:
         ids, label = column_array(batch, "doc_id"), column_array(batch, "label")
         for a, b, data, offsets in text_chunks(batch.column(1)):
-            row, term, count = _counted(data, offsets, vocabulary)
+            row, term, count = _counted(data, offsets, lookup)
             arrays = [ids[a:b].astype(np.int64).tobytes(), label[a:b].astype(np.int8).tobytes(), *map(_packed, (np.bincount(row, minlength=b - a), term, count))]
-            yield pa.record_batch({name: pa.array([x], pa.binary()) for name, x in zip(("ids", "labels", "sizes", "terms", "counts"), arrays)})
+            yield pa.record_batch({name: pa.array([x], pa.binary()) for name, x in zip(_PARTS, arrays)})
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -106,31 +133,41 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors of weights over 0 by block of examples: postings of rare terms, a dense table of common ones with their largest weight in a block."""
+    """Unit vectors of weights over 0 by block of examples: postings of rare terms, a dense table of common ones with their largest weight in a block.
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+    sizes, terms and counts are those of the examples one after the other; weigh gives
+    the weight of (term, count) before a vector is brought to length 1.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, weigh, vocabulary: int):
+        start = np.cumsum(sizes) - sizes
+        raw = weigh(terms, counts)
+        norm = np.sqrt(np.add.reduceat(raw * raw, start))
+        raw /= np.repeat(np.where(norm > 0, norm, 1), sizes)
         # examples of one leading term stand together, so that few blocks can score high
-        lead = [int(t[np.argmax(w)]) for t, w in vectors]
+        heavy = np.flatnonzero(raw == np.repeat(np.maximum.reduceat(raw, start), sizes))
+        owner = np.searchsorted(start, heavy, "right") - 1
+        lead = terms[heavy[np.searchsorted(owner, np.arange(len(ids)))]]
         by = np.lexsort((ids, lead))
-        self.ids, self.labels, self.size = ids[by], labels[by].astype(float), terms
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by))
+        self.ids, self.labels = ids[by], labels[by].astype(float)
         self.blocks = -(-len(by) // BLOCK)
-        sizes = np.array([len(vectors[k][0]) for k in by])
-        self.start = np.concatenate([[0], np.cumsum(sizes)])
-        self.terms = np.concatenate([vectors[k][0] for k in by]).astype(np.int32)
-        self.weights = np.concatenate([vectors[k][1] for k in by])
-        place = np.repeat(np.arange(len(by), dtype=np.int32), sizes)
-        common = np.argsort(-np.bincount(self.terms, minlength=terms), kind="stable")[:COMMON]
-        self.slot = np.full(terms, -1, np.int32)
+        self.start, self.sizes, self.norm, self.terms, self.counts, self.weigh = start[by], sizes[by], norm[by], terms, counts, weigh
+        common = np.argsort(-np.bincount(terms, minlength=vocabulary), kind="stable")[:COMMON]
+        self.slot = np.full(vocabulary, -1, np.int32)
         self.slot[common] = np.arange(len(common))
-        slot = self.slot[self.terms]
+        slot, place = self.slot[terms], np.repeat(place, sizes)
         rare = slot < 0
         self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
-        self.dense[place[~rare] // BLOCK, slot[~rare], place[~rare] % BLOCK] = self.weights[~rare]
+        self.dense[place[~rare] // BLOCK, slot[~rare], place[~rare] % BLOCK] = raw[~rare]
         self.most = np.ascontiguousarray(self.dense.max(2).T)
         rare = np.flatnonzero(rare)
-        rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.posted = np.searchsorted(self.terms[rare], np.arange(terms + 1))
-        self.places, self.posting_weights = place[rare], self.weights[rare].astype(np.float32)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.posted = np.searchsorted(terms[rare], np.arange(vocabulary + 1))
+        self.places, self.posting_weights = place[rare].astype(np.uint16 if len(ids) < 1 << 16 else np.int32), raw[rare].astype(np.float32)
+        self.query = np.zeros(vocabulary)
+        self.buffers = np.zeros(1, np.int64), np.zeros(1)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; ties go to the smaller id."""
@@ -149,10 +186,17 @@ class BlockMaxIndex:
             slot = self.slot[terms]
             rare = slot < 0
             common[r, slot[~rare]] = weights[~rare]
-            start = self.posted[terms[rare]]
-            size = self.posted[terms[rare] + 1] - start
-            at = _ranges(start, size)
-            score[r] = np.bincount(self.places[at], self.posting_weights[at] * np.repeat(weights[rare].astype(np.float32), size), width)
+            start, stop = self.posted[terms[rare]], self.posted[terms[rare] + 1]
+            lists = [slice(a, b) for a, b in zip(start.tolist(), stop.tolist())]
+            if lists:
+                n = int((stop - start).sum())
+                if n > len(self.buffers[0]):
+                    self.buffers = np.zeros(2 * n, np.int64), np.zeros(2 * n)
+                places, found = (x[:n] for x in self.buffers)
+                np.concatenate([self.places[x] for x in lists], out=places)
+                np.concatenate([self.posting_weights[x] for x in lists], out=found)
+                found *= np.repeat(weights[rare], stop - start)
+                score[r] = np.bincount(places, found, width)
         # an example that has to be left out may be among the hits that a bound is taken from
         need = k if without is None else k + max(int((self.ids == i).sum()) for i in without)
         blocks = score.reshape(m, self.blocks, BLOCK)
@@ -170,7 +214,7 @@ class BlockMaxIndex:
             if need <= upto * BLOCK and upto < self.blocks:
                 seen = np.take_along_axis(blocks, order[:, :upto, None], 1).reshape(m, -1)
                 least = np.partition(seen, seen.shape[1] - need, axis=1)[:, -need]
-        out, query = [], np.zeros(self.size)
+        out, query = [], self.query
         for r, (terms, weights) in enumerate(queries):
             found = np.flatnonzero((score[r] > 0) & (score[r] >= least[r] - SLACK))
             if len(found) > need:
@@ -181,9 +225,9 @@ class BlockMaxIndex:
                 out.append((np.zeros(0, np.int64), np.zeros(0)))
                 continue
             query[terms] = weights
-            size = self.start[found + 1] - self.start[found]
+            size = self.sizes[found]
             at = _ranges(self.start[found], size)
-            exact = np.round(np.add.reduceat(query[self.terms[at]] * self.weights[at], np.cumsum(size) - size), 12)
+            exact = np.round(np.add.reduceat(query[self.terms[at]] * self.weigh(self.terms[at], self.counts[at]), np.cumsum(size) - size) / self.norm[found], 12)
             query[terms] = 0
             by = np.lexsort((self.ids[found], -exact))[:k]
             out.append((found[by], exact[by]))
@@ -191,30 +235,55 @@ class BlockMaxIndex:
 
 
 class Examples:
-    """The sampled rows' term counts; the index over them is made where it is first searched and is not sent along."""
+    """The sampled rows' term counts, as the bytes they came in; arrays and the index over them are made where they are first used and are not sent along."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray, base: float):
-        self.ids, self.labels, self.sizes, self.terms, self.counts, self.weight, self.base = ids, labels, sizes, terms, counts, weight, base
-        self._index: BlockMaxIndex | None = None
+    def __init__(self, chunks: list[tuple[bytes, ...]], weight: np.ndarray, base: float):
+        self.chunks, self.weight, self.base, self._arrays, self._index = chunks, weight, base, None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None, "terms": _packed(self.terms), "counts": _packed(self.counts)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state | {k: _unpacked(state[k]) for k in ("terms", "counts")})
+        return self.__dict__ | {"_arrays": None, "_index": None}
+
+    def _joined(self, part: str) -> np.ndarray:
+        k = _PARTS.index(part)
+        if k < 2:
+            return np.frombuffer(b"".join(c[k] for c in self.chunks), (np.int64, np.int8)[k])
+        return np.concatenate([_unpacked(c[k]) for c in self.chunks] or [np.zeros(0, np.int32)])
+
+    def labelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and labels of the rows with known terms, and the labels of those without."""
+        ids, labels, sizes = (self._joined(k) for k in ("ids", "labels", "sizes"))
+        return ids[sizes > 0], labels[sizes > 0], labels[sizes == 0]
+
+    def _unpack(self) -> None:
+        if self._arrays is None:
+            sizes, counts = self._joined("sizes"), self._joined("counts")
+            self._arrays = *self.labelled()[:2], sizes[sizes > 0].astype(np.int64), self._joined("terms"), counts
+            self._logs = 1 + np.log(np.arange(1, int(counts.max(initial=1)) + 1))
+            self.chunks = []  # the arrays have it all
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(1 + log count) times the term's weight."""
+        self._unpack()
+        if len(counts) and counts.max() > len(self._logs):
+            self._logs = 1 + np.log(np.arange(1, int(counts.max()) + 1))
+        return self._logs[counts - 1] * self.weight[terms]
+
+    def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Ids and vectors of examples by their numbers."""
+        self._unpack()
+        ids, _, sizes, terms, counts = self._arrays
+        ends = np.cumsum(sizes)
+        return ids[numbers], [self.unit(terms[ends[k] - sizes[k] : ends[k]], counts[ends[k] - sizes[k] : ends[k]]) for k in numbers]
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.weight[terms]
+        w = self.weigh(terms, counts)
         norm = float(np.sqrt((w * w).sum()))
         return terms, w / norm if norm else w
 
-    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        ends = np.cumsum(self.sizes)
-        return [self.unit(self.terms[b - n : b], self.counts[b - n : b]) for b, n in zip(ends, self.sizes)]
-
     def index(self) -> BlockMaxIndex:
         if self._index is None:
-            self._index = BlockMaxIndex(self.ids, self.labels, self.vectors(), len(self.weight))
+            self._unpack()
+            self._index = BlockMaxIndex(*self._arrays, self.weigh, len(self.weight))
         return self._index
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, list[int]]]:
@@ -228,12 +297,11 @@ class Examples:
 
 def _left_out_votes(batches: Iterator[pa.RecordBatch], examples: Examples) -> Iterator[pa.RecordBatch]:
     """The vote of each numbered example's neighbours, itself not among them."""
-    ends = np.cumsum(examples.sizes)
     for batch in batches:
-        rows = column_array(batch, "id")
-        vectors = [examples.unit(examples.terms[ends[k] - examples.sizes[k] : ends[k]], examples.counts[ends[k] - examples.sizes[k] : ends[k]]) for k in rows]
-        votes = examples.votes(vectors, [int(i) for i in examples.ids[rows]])
-        yield pa.record_batch({"id": pa.array(rows), "vote": pa.array([v for v, _ in votes], pa.float64())})
+        numbers = column_array(batch, "id")
+        ids, vectors = examples.rows(numbers)
+        votes = examples.votes(vectors, ids.tolist())
+        yield pa.record_batch({"id": pa.array(numbers), "vote": pa.array([v for v, _ in votes], pa.float64())})
 
 
 class Model:
@@ -241,10 +309,16 @@ class Model:
 
     def __init__(self, vocabulary: np.ndarray, base: float, empty: float = 0.0, curve: tuple | None = None, shared=None):
         self.vocabulary, self.base, self.empty, self.curve, self.shared = vocabulary, base, empty, curve, shared
+        self._lookup: Lookup | None = None
         self.cache: dict[bytes, tuple[float, list[int]]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"shared": None, "cache": {}}
+        return self.__dict__ | {"shared": None, "_lookup": None, "cache": {}}
+
+    def lookup(self) -> Lookup:
+        if self._lookup is None:
+            self._lookup = Lookup(self.vocabulary)
+        return self._lookup
 
     def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], examples: Examples | None) -> list[tuple[float, list[int]]]:
         """Score and neighbours of each (terms, counts)."""
@@ -310,28 +384,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     df = np.zeros(len(vocabulary) + 1)  # the last is that of all rows, t = -1
     df[found.column(0).to_numpy()] = found.column(1).to_numpy()
     weight = np.log(1 + df[-1] / (1 + df[:-1])) * np.log2(2 + hits / np.maximum(1, n - hits))
-    got = sample.mapInArrow(lambda b: _vectors(b, vocabulary), "ids binary, labels binary, sizes binary, terms binary, counts binary").toArrow()
-    ids, marks = (np.frombuffer(b"".join(got.column(k).to_pylist()), kind) for k, kind in enumerate((np.int64, np.int8)))
-    sizes, terms, counts = (np.concatenate([_unpacked(x) for x in got.column(k).to_pylist()]) for k in (2, 3, 4))
-    by = np.lexsort((sizes, ids))
-    by, bare = by[sizes[by] > 0], marks[sizes == 0]
+    # in the order of ids, so that every run has the same examples in the same places
+    got = sample.orderBy("doc_id", F.xxhash64("text")).mapInArrow(lambda b: _vectors(b, vocabulary), ", ".join(f"{k} binary" for k in _PARTS)).toArrow()
+    examples = Examples(list(zip(*(got.column(k).to_pylist() for k in range(len(_PARTS))))), weight, base)
+    del got
+    ids, marks, bare = examples.labelled()
     empty = (float(bare.sum()) + base) / (len(bare) + 1)
-    if not len(by):
+    if not len(ids):
         return Model(vocabulary, base, empty)
-    at = _ranges((np.cumsum(sizes) - sizes)[by], sizes[by])
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Examples(ids[by], marks[by], sizes[by], terms[at], counts[at], weight, base))
-    votes = spark.range(0, len(by), 1, max(1, min(len(by) // QUERIES, spark.sparkContext.defaultParallelism))).mapInArrow(lambda b: _left_out_votes(b, shared.value), "id long, vote double").toArrow()
-    vote = np.zeros(len(by))
+    shared = spark.sparkContext.broadcast(examples)
+    votes = spark.range(0, len(ids), 1, max(1, min(len(ids) // QUERIES, spark.sparkContext.defaultParallelism))).mapInArrow(lambda b: _left_out_votes(b, shared.value), "id long, vote double").toArrow()
+    vote = np.zeros(len(ids))
     vote[votes.column(0).to_numpy()] = votes.column(1).to_numpy()
-    return Model(vocabulary, base, empty, isotonic(vote, marks[by].astype(float)), shared)
+    return Model(vocabulary, base, empty, isotonic(vote, marks.astype(float)), shared)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, examples: Examples | None, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for a, b, data, offsets in text_chunks(batch.column(1)):
-            row, term, count = _counted(data, offsets, model.vocabulary)
+            row, term, count = _counted(data, offsets, model.lookup())
             cuts = np.searchsorted(row, np.arange(b - a + 1))
             got = model.scores([(term[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:])], examples)
             if columns:

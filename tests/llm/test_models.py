@@ -29,26 +29,34 @@ def labelled(spark, docs, n=600, seed=3):
     return docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
-def test_search_is_exact():
+@pytest.mark.parametrize("common", [8, 2048])
+def test_search_is_exact(common, monkeypatch):
+    monkeypatch.setattr(nearest, "COMMON", common)
     rng = np.random.default_rng(7)
     terms, k = 40, 5
-    vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(terms, rng.integers(1, 6), replace=False))
-        w = rng.random(len(t)) + 0.01
-        vectors.append((t, w / np.linalg.norm(w)))
-    ids = rng.permutation(500) + 1000
-    index = nearest.BlockMaxIndex(ids, rng.integers(0, 2, 500), vectors, terms)
+    vectors = [(np.sort(rng.choice(terms, n, replace=False)), rng.integers(1, 9, n)) for n in rng.integers(1, 6, 500)]
+    ids, weight = rng.permutation(500) + 1000, rng.random(terms) + 0.1
+    weigh = lambda t, c: (1 + np.log(c)) * weight[t]
+    unit = lambda t, c: weigh(t, c) / np.linalg.norm(weigh(t, c))
+    index = nearest.BlockMaxIndex(ids, rng.integers(0, 2, 500), np.array([len(t) for t, _ in vectors]), np.concatenate([t for t, _ in vectors]), np.concatenate([c for _, c in vectors]), weigh, terms)
     dense = np.zeros((500, terms))
-    for row, (t, w) in enumerate(vectors):
-        dense[row, t] = w
-    for t, w in vectors[:100]:
-        places, scores = index.search(t, w, k)
+    for row, (t, c) in enumerate(vectors):
+        dense[row, t] = unit(t, c)
+    for t, c in vectors[:100]:
+        places, scores = index.search(t, unit(t, c), k)
         q = np.zeros(terms)
-        q[t] = w
+        q[t] = unit(t, c)
         every = sorted(((-round(float(s), 12), int(i)) for s, i in zip(dense @ q, ids) if s > 0))[:k]
-        assert [int(i) for i in index.ids[places]] == [i for _, i in every]
         assert [-s for s in scores] == pytest.approx([s for s, _ in every])
+        assert [int(i) for i in index.ids[places]] == [i for _, i in every]
+
+
+def test_lookup():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        known = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        asked = np.concatenate([known, known + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert nearest.Lookup(known).find(asked).tolist() == [known.tolist().index(x) if x in known else -1 for x in asked.tolist()]
 
 
 def test_toxicity(spark, docs):
