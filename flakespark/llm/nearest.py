@@ -31,7 +31,7 @@ PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 2.0
 #: Terms whose weights stand in a dense float32 table, queries that are searched together,
 #: blocks that are visited before the k-th hit is known anew, and what float32 sums may be off by.
-COMMON, QUERIES, ROUNDS, SLACK = 2048, 64, (4, 24), 1e-4
+COMMON, QUERIES, ROUNDS, SLACK = 512, 64, (4, 24), 1e-4
 
 
 def row_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,13 +141,17 @@ class BlockMaxIndex:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, weigh, vocabulary: int):
         start = np.cumsum(sizes) - sizes
-        raw = weigh(terms, counts)
-        norm = np.sqrt(np.add.reduceat(raw * raw, start))
-        raw /= np.repeat(np.where(norm > 0, norm, 1), sizes)
-        # examples of one leading term stand together, so that few blocks can score high
-        heavy = np.flatnonzero(raw == np.repeat(np.maximum.reduceat(raw, start), sizes))
-        owner = np.searchsorted(start, heavy, "right") - 1
-        lead = terms[heavy[np.searchsorted(owner, np.arange(len(ids)))]]
+        raw, norm, lead = np.empty(len(terms), np.float32), np.empty(len(ids)), np.empty(len(ids), np.int64)
+        for k in range(0, len(ids), 1024):  # a part at a time, as the whole in doubles would be the peak of a task's memory
+            own = slice(k, k + 1024)
+            i, j, first = start[k], start[own][-1] + sizes[own][-1], start[own] - start[k]
+            w = weigh(terms[i:j], counts[i:j])
+            norm[own] = np.sqrt(np.add.reduceat(w * w, first))
+            w /= np.repeat(np.where(norm[own] > 0, norm[own], 1), sizes[own])
+            raw[i:j] = w
+            # examples of one leading term stand together, so that few blocks can score high
+            heavy = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, first), sizes[own]))
+            lead[own] = terms[i:j][heavy[np.searchsorted(heavy, first)]]
         by = np.lexsort((ids, lead))
         place = np.empty(len(by), np.int32)
         place[by] = np.arange(len(by))
