@@ -226,30 +226,44 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
+def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(own, c, h, level): the buckets of the blocks' members, once for each block and batch."""
+    for batch in batches:
+        lists = batch.column(2)
+        at = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten()
+        level, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        own, c = column_array(batch, "own")[at], column_array(batch, "c")[at]
+        by = np.lexsort((level, h, own))
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (own[by][1:] != own[by][:-1]) | (h[by][1:] != h[by][:-1]) | (level[by][1:] != level[by][:-1])
+        by = by[fresh]
+        yield pa.record_batch({"own": pa.array(own[by]), "c": pa.array(c[by], pa.int32()), "h": pa.array(h[by]), "level": pa.array(level[by], pa.int32())})
+
+
+def _blocks(nodes: DataFrame, n: int) -> DataFrame:
     """Each class once for every pair of blocks that it has to be in: (rep, key, n, copies, own, one, two).
 
     A group of classes that met is one block if it is small.  A large one is dealt by
     size class, by the least bucket of a class, so that like sets stand together, and
     by a salt; its blocks are paired if they share a bucket and their sizes may match.
     """
-    sizes = nodes.groupBy("grp").agg(((F.count("*") > BLOCK) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"))
-    size_class = F.floor(F.log("n") / math.log(RATIO)).cast("int")
-    sized = nodes.join(sizes, "grp").withColumn("c", F.when(F.col("large"), size_class).otherwise(-9))
+    # small tables, fixed before they are joined, so that a hot group's rows can be split
+    large = cut(nodes.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).select("grp"))
+    sized = nodes.join(large, "grp").withColumn("c", F.floor(F.log("n") / math.log(RATIO)).cast("int"))
     # sets of a class hold up to RATIO^(c + 1) shingles
     room = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.pow(F.lit(RATIO), F.col("c") + 1)))).cast("int")
-    parts = sized.where("large").groupBy("grp", "c").agg(F.ceil(F.count("*") / room).cast("long").alias("bins"))
-    binned = sized.where("large").join(parts, ["grp", "c"]).withColumn("bin", F.pmod(F.xxhash64("home"), F.col("bins")))
-    salts = binned.groupBy("grp", "c", "bin").agg(F.ceil(F.count("*") / room).cast("long").alias("salts"))
-    dealt = binned.join(salts, ["grp", "c", "bin"]).withColumn("own", F.xxhash64("grp", "c", "bin", F.pmod(F.xxhash64("rep", "key"), F.col("salts"))))
+    parts = cut(sized.groupBy("grp", "c").agg(F.ceil(F.count("*") / room).cast("long").alias("bins")))
+    binned = sized.join(parts, ["grp", "c"]).withColumn("bin", F.pmod(F.xxhash64("home"), F.col("bins")))
+    salts = cut(binned.groupBy("grp", "c", "bin").agg(F.ceil(F.count("*") / room).cast("long").alias("salts")))
     columns = ["rep", "key", "n", "copies", "own"]
-    dealt = cut(dealt.select(*columns, "c"))
-    met = prefixes.join(dealt.select("rep", "key", "own", "c"), ["rep", "key"]).select("h", "level", "own", "c").distinct()
+    dealt = cut(binned.join(salts, ["grp", "c", "bin"]).withColumn("own", F.xxhash64("grp", "c", "bin", F.pmod(F.xxhash64("rep", "key"), F.col("salts")))).select(*columns, "c", "buckets"))
+    met = dealt.select("own", "c", "buckets").repartition(n, "own").mapInArrow(_buckets_of, "own long, c int, h long, level int").distinct()
     other = met.select("h", "level", F.col("own").alias("two"), F.col("c").alias("d"))
     near = met.join(other, ["h", "level"]).where((F.col("own") <= F.col("two")) & (F.abs(F.col("c") - F.col("d")) <= 1)).select(F.col("own").alias("one"), "two").distinct()
     pairs = cut(near)
     sides = pairs.select("one", "two", F.col("one").alias("own")).unionByName(pairs.where("one <> two").select("one", "two", F.col("two").alias("own")))
-    small = sized.where("not large").select("rep", "key", "n", "copies", F.col("grp").alias("own"))
+    small = nodes.join(large, "grp", "left_anti").select("rep", "key", "n", "copies", F.col("grp").alias("own"))
     return small.select(*columns, F.col("own").alias("one"), F.col("own").alias("two")).unionByName(dealt.select(*columns).join(sides, "own").select(*columns, "one", "two"))
 
 
@@ -284,13 +298,13 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     stars = prefixes.repartition(n, "h", "level").sortWithinPartitions("h", "level", "rep").mapInArrow(_stars, "a long, b long").distinct()
 
     groups = components(cut(stars)).select(F.col("node").alias("rep"), F.col("label").alias("grp"))
-    homes = prefixes.groupBy("rep", "key").agg(F.min(F.struct("level", "h")).alias("home"))
+    homes = prefixes.groupBy("rep", "key").agg(F.collect_list(F.struct("level", "h")).alias("buckets")).withColumn("home", F.array_min("buckets"))
     nodes = cut(groups.join(classes.select("rep", "key", "copies", "n"), "rep").join(homes, ["rep", "key"]))
     reps = nodes.select(F.col("rep").alias("doc_id"), "key")
     # an inner join: a semi join would be moved below the filter
     texts = probable_members(source, reps, "doc_id").join(reps, "doc_id")
     found = measured("sets", "rep long, key long, shingles binary", texts).dropDuplicates(["rep", "key"])
-    products = _blocks(nodes, prefixes).join(found, ["rep", "key"])
+    products = _blocks(nodes, n).join(found, ["rep", "key"])
     links = cut(products.repartition(n, "one", "two").sortWithinPartitions("one", "two").mapInArrow(lambda b: _products(b, percent), "a long, b long, key long, links long"))
 
     joined = components(links.where("b is not null and a <> b").select("a", "b")).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
