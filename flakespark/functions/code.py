@@ -9,7 +9,16 @@ from .text import col, filled, strip
 
 TOKEN = r"(?U)[{}()\[\];,.<>=!&|+\-*/^%@#]|[^\s{}()\[\];,.<>=!&|+\-*/^%@#]+"
 #: Java words that the keyword match looks at.
-JAVA_WORDS = ["@After", "@AfterEach", "@Before", "@BeforeEach", "@Test", "abstract", "assert", "assertEquals", "assertFalse", "assertNotNull", "assertTrue", "boolean", "break", "byte", "case", "catch", "char", "class", "continue", "do", "double", "else", "extends", "false", "final", "finally", "float", "for", "if", "implements", "import", "int", "interface", "long", "new", "null", "package", "private", "protected", "public", "return", "static", "super", "switch", "this", "throw", "throws", "true", "try", "void", "while"]
+JAVA_WORDS = [
+    "public", "private", "protected", "static", "final", "abstract",
+    "class", "interface", "extends", "implements", "import", "package",
+    "void", "int", "long", "double", "float", "boolean", "char", "byte",
+    "if", "else", "for", "while", "do", "switch", "case", "break",
+    "continue", "return", "try", "catch", "finally", "throw", "throws",
+    "new", "this", "super", "null", "true", "false",
+    "@Test", "@Before", "@After", "@BeforeEach", "@AfterEach",
+    "assert", "assertEquals", "assertTrue", "assertFalse", "assertNotNull",
+]
 
 
 def _lines(x: Column | str) -> Column:
@@ -125,5 +134,10 @@ def valid_syntax(code: Column | str) -> Column:
     return filled(strip(F.coalesce(col(code), F.lit("")))) & balanced(code) & col(code).rlike(r"(?U)\w+\s*\([^)]*\)\s*\{")
 
 
-def looks_like_diff(x: Column | str) -> Column:
-    return _begins(F.coalesce(col(x), F.lit("")), "diff --git", "---", "@@")
+def truth_is_diff(x: Column | str) -> Column:
+    return _begins(F.coalesce(col(x), F.lit("")), "@@", "---", "diff --git")
+
+
+def generated_is_diff(x: Column | str) -> Column:
+    """A generated text may also be added lines alone."""
+    return _begins(F.coalesce(col(x), F.lit("")), "@@", "+", "diff --git")

@@ -12,23 +12,36 @@ from pyspark.sql import functions as F
 
 from flakespark.functions.text import col
 
+#: Ranges that a whole table is cut into to number its rows.
+RANGES = 128
+
 
 def first_seen_groups(rows: DataFrame, signature: Column | str, keys: list[str] | None = None, min_size: int = 1, order: str = "ord", name: str = "test_name") -> DataFrame:
-    """Adds signature, cluster_id and representative category; groups under min_size become singletons.
+    """Adds signature, cluster_id and representative category.
 
-    The groups' first places are found by one aggregation and ranked there, among
-    groups only, so no window holds all rows; the ranks are joined back by key.
+    Groups of min_size and more come first, in the order of their first rows; the rows
+    of smaller ones follow as clusters of one, in their own order, with their signature
+    as it is.  The clusters' first places are found by one aggregation and ranked there;
+    without keys by dense_positions, so no window holds all rows or all clusters.
     """
     keys = keys or []
-    signed = rows.withColumn("signature", col(signature))
+    signed = rows.withColumn("signature", col(signature)).withColumn("__alone", F.lit(None).cast("string"))
     if min_size > 1:
         sizes = signed.groupBy(*keys, "signature").agg(F.count("*").alias("__size"))
-        signed = signed.join(sizes, [*keys, "signature"]).withColumn("__small", F.col("__size") < min_size)
-        signed = signed.withColumn("signature", F.when(F.col("__small"), F.concat_ws("|", "signature", name)).otherwise(F.col("signature"))).drop("__size", "__small")
-    groups = signed.groupBy(*keys, "signature").agg(F.min(order).alias("__first"), *([F.min_by("category", order).alias("group_category")] if "category" in rows.columns else []))
-    by = Window.partitionBy(*keys).orderBy("__first", "signature") if keys else Window.partitionBy(F.lit(0)).orderBy("__first", "signature")
-    ranked = groups.withColumn("cluster_id", F.row_number().over(by).cast("long") - 1).drop("__first")
-    return signed.join(ranked, [*keys, "signature"])
+        signed = signed.join(sizes, [*keys, "signature"]).withColumn("__alone", F.when(F.col("__size") < min_size, F.col(name))).drop("__size")
+    groups = signed.groupBy(*keys, "signature", "__alone").agg(F.min(order).alias("__first"), *([F.min_by("category", order).alias("group_category")] if "category" in rows.columns else []))
+    ranked = positions(groups, [F.col("__alone").isNotNull(), F.col("__first"), F.col("signature")], keys, "cluster_id").drop("__first")
+    same = [F.col(f"s.{k}") == F.col(f"r.{k}") for k in [*keys, "signature"]] + [F.col("s.__alone").eqNullSafe(F.col("r.__alone"))]
+    added = [c for c in ranked.columns if c not in (*keys, "signature", "__alone")]
+    return signed.alias("s").join(ranked.alias("r"), same).select("s.*", *[f"r.{c}" for c in added]).drop("__alone")
+
+
+def positions(rows: DataFrame, order: list[Column], keys: list[str], out: str) -> DataFrame:
+    """0-based places by order within keys; without keys over the whole table, by ranges of order's first numbers."""
+    if keys:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    names = [f"__o{k}" for k in range(len(order))]
+    return dense_positions(rows.select("*", *[c.alias(n) for c, n in zip(order, names)]), names, out).drop(*names)
 
 
 def random_groups(rows: DataFrame, k: int, seed: int = 42, name: str = "test_name") -> DataFrame:
@@ -46,25 +59,58 @@ def singletons(rows: DataFrame, order: str = "ord", keys: list[str] | None = Non
     return dense_positions(rows, order, "cluster_id")
 
 
-def dense_positions(rows: DataFrame, order: str, out: str) -> DataFrame:
-    """0-based positions by `order` over the whole table in two levels: ranges, then places inside one."""
-    cuts = sorted(set(rows.agg(F.percentile_approx(order, [k / 32 for k in range(1, 32)], 1000).alias("q")).first()["q"] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+def dense_positions(rows: DataFrame, order: str | list[str], out: str) -> DataFrame:
+    """0-based positions by `order` over the whole table in two levels: ranges, then places inside one.
+
+    The ranges are cut by percentiles of the first ordering column that is a number (after
+    flags, which have ranges of their own); the others break ties.  Only the ranges' sizes,
+    RANGES for each flag at most, are summed in one place.
+    """
+    order = [order] if isinstance(order, str) else order
+    kinds = dict(rows.dtypes)
+    flags = [c for c in order if kinds[c] == "boolean"][:1]
+    first = next(c for c in order if c not in flags)
+    cuts = sorted(set(rows.agg(F.percentile_approx(first, [k / RANGES for k in range(1, RANGES)], 10_000).alias("q")).first()["q"] or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(first))) if cuts else F.lit(0)
+    for flag in flags:
+        bucket = bucket + F.col(flag).cast("int") * (RANGES + 1)
     placed = rows.withColumn("__bucket", bucket)
     sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = sizes.select("__bucket", (F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))  # 32 rows
-    inner = F.row_number().over(Window.partitionBy("__bucket").orderBy(order)).cast("long") - 1
+    before = sizes.select("__bucket", (F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))  # a row for each range
+    inner = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)).cast("long") - 1
     return placed.withColumn("__at", inner).join(F.broadcast(before), "__bucket").withColumn(out, F.col("__before") + F.col("__at")).drop("__bucket", "__at", "__before")
 
 
-def apply_verdicts(assignments: DataFrame, verdicts: DataFrame, name: str = "test_name", order: str = "ord") -> DataFrame:
-    """Clusters that a verdict calls No fall apart; others, and clusters of one, stay."""
+def apply_verdicts(assignments: DataFrame, verdicts: DataFrame, name: str = "test_name", order: str = "ord", least: int = 2) -> DataFrame:
+    """Clusters of `least` and more that a verdict calls No fall apart, in place; the others stay.
+
+    New ids follow the old ones, and inside a cluster that fell apart the order of its
+    rows.  Adds original_cluster_id and verdict: that of the verdicts (a missing one is
+    Yes), Skipped for smaller clusters.
+    """
     sizes = assignments.groupBy("cluster_id").agg(F.count("*").alias("__size"))
-    judged = assignments.join(sizes, "cluster_id").join(verdicts.select("cluster_id", "verdict"), "cluster_id", "left")
-    apart = (F.coalesce(F.col("verdict"), F.lit("Yes")) == "No") & (F.col("__size") >= 2)
-    label = F.concat(F.col("cluster_id").cast("string"), F.when(apart, F.concat(F.lit("|"), F.col(name))).otherwise(F.lit("")))
-    labelled = judged.withColumn("__label", label).drop("cluster_id", "__size", "signature", "group_category", "verdict")
-    return first_seen_groups(labelled, "__label", order=order, name=name).drop("__label")
+    judged = assignments.join(sizes, "cluster_id").join(verdicts.select("cluster_id", F.col("verdict").alias("__verdict")), "cluster_id", "left")
+    verdict = F.when(F.col("__size") < least, "Skipped").otherwise(F.coalesce("__verdict", F.lit("Yes")))
+    labelled = judged.withColumn("verdict", verdict).withColumn("__alone", F.when(F.col("verdict") == "No", F.col(order))).drop("__size", "__verdict")
+    clusters = positions(labelled.select("cluster_id", "__alone").distinct(), [F.col("cluster_id"), F.col("__alone")], [], "__new")
+    same = (F.col("a.cluster_id") == F.col("c.cluster_id")) & F.col("a.__alone").eqNullSafe(F.col("c.__alone"))
+    out = labelled.alias("a").join(clusters.alias("c"), same).select("a.*", "c.__new")
+    return out.withColumnRenamed("cluster_id", "original_cluster_id").withColumnRenamed("__new", "cluster_id").drop("__alone")
+
+
+def verification_stats(verified: DataFrame, splits: str | None = None) -> DataFrame:
+    """total_clusters, verified_yes, verified_no, verified_partial, skipped_small, splits_performed.
+
+    verified is what apply_verdicts returns; splits names a column with the suggested
+    split of a partial verdict, which counts as one if it is there.
+    """
+    suggested = F.max(splits).alias("split") if splits else F.max(F.lit(None).cast("string")).alias("split")
+    clusters = verified.groupBy("original_cluster_id").agg(F.first("verdict").alias("verdict"), suggested)
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    return clusters.agg(
+        F.count("*").alias("total_clusters"), of("Yes").alias("verified_yes"), of("No").alias("verified_no"), of("Partial").alias("verified_partial"), of("Skipped").alias("skipped_small"),
+        (of("No") + F.count_if((F.col("verdict") == "Partial") & F.col("split").isNotNull())).alias("splits_performed"),
+    )
 
 
 def batches(rows: DataFrame, size: int, keys: list[str], order: str = "ord") -> DataFrame:

@@ -11,12 +11,42 @@ from pyspark.sql import functions as F
 from flakespark.functions.text import col
 
 #: Names that mark assertions and the APIs a test touches.
-ASSERTIONS = ["assertAll", "assertArrayEquals", "assertDoesNotThrow", "assertEquals", "assertFalse", "assertNotEquals", "assertNotNull", "assertNotSame", "assertNull", "assertSame", "assertThat", "assertThrows", "assertTrue", "contains", "containsString", "equalTo", "fail", "hasItem", "hasSize", "is", "isEqualTo", "isNotNull"]
-NETWORK = ["CloseableHttpClient", "DatagramSocket", "HttpClient", "HttpRequest", "HttpResponse", "HttpURLConnection", "InetAddress", "OkHttpClient", "RestTemplate", "ServerSocket", "Socket", "URL", "WebClient", "connect", "getInputStream", "getOutputStream", "openConnection"]
-FILES = ["BufferedReader", "BufferedWriter", "DirectoryStream", "File", "FileChannel", "FileInputStream", "FileOutputStream", "FileReader", "FileWriter", "Files", "Path", "RandomAccessFile", "createDirectory", "createFile", "delete", "exists", "readAllBytes"]
-THREADS = ["AtomicBoolean", "AtomicInteger", "Callable", "CompletableFuture", "ConcurrentHashMap", "CountDownLatch", "CyclicBarrier", "ExecutorService", "Executors", "Future", "Lock", "ReentrantLock", "Runnable", "Semaphore", "Thread", "ThreadPoolExecutor", "join", "notify", "notifyAll", "synchronized", "wait"]
-TIMES = ["Duration", "Instant", "LocalDateTime", "ScheduledExecutorService", "System.currentTimeMillis", "System.nanoTime", "Timeout", "Timer", "TimerTask", "ZonedDateTime", "awaitTermination", "awaitility", "sleep", "timeout", "wait"]
-NOT_AVAILABLE, CUT_MARK, FALLBACK = "// Source code not available", "\n// ... (truncated)", 3000
+ASSERTIONS = [
+    "assertEquals", "assertNotEquals", "assertTrue", "assertFalse",
+    "assertNull", "assertNotNull", "assertSame", "assertNotSame",
+    "assertArrayEquals", "assertThrows", "assertDoesNotThrow",
+    "assertThat", "assertAll", "fail",
+    "is", "equalTo", "hasItem", "containsString",
+    "isEqualTo", "isNotNull", "contains", "hasSize",
+]
+NETWORK = [
+    "HttpClient", "HttpURLConnection", "URL", "Socket", "ServerSocket",
+    "DatagramSocket", "InetAddress", "HttpRequest", "HttpResponse",
+    "RestTemplate", "WebClient", "OkHttpClient", "CloseableHttpClient",
+    "connect", "openConnection", "getInputStream", "getOutputStream",
+]
+FILES = [
+    "File", "Path", "Files", "FileInputStream", "FileOutputStream",
+    "BufferedReader", "BufferedWriter", "FileReader", "FileWriter",
+    "RandomAccessFile", "FileChannel", "DirectoryStream",
+    "createFile", "createDirectory", "delete", "exists", "readAllBytes",
+]
+THREADS = [
+    "Thread", "Runnable", "Callable", "Future", "CompletableFuture",
+    "ExecutorService", "Executors", "ThreadPoolExecutor",
+    "Lock", "ReentrantLock", "Semaphore", "CountDownLatch", "CyclicBarrier",
+    "synchronized", "wait", "notify", "notifyAll", "join",
+    "AtomicInteger", "AtomicBoolean", "ConcurrentHashMap",
+]
+TIMES = [
+    "sleep", "wait", "timeout", "Timeout", "Duration",
+    "System.currentTimeMillis", "System.nanoTime",
+    "Instant", "LocalDateTime", "ZonedDateTime",
+    "ScheduledExecutorService", "Timer", "TimerTask",
+    "awaitTermination", "awaitility",
+]
+#: What stands for missing code, and after code that was cut at so many characters.
+NOT_AVAILABLE, CUT_MARK, FALLBACK = "// Test code not available", "\n// ... (code truncated)", 3000
 
 _LEX = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|@\s*[A-Za-z_][\w.]*|[A-Za-z_$][\w$]*|\d[\w.]*|[{}()\[\];,.<>=!&|+\-*/^%?:~]', re.S)
 _KEYWORDS = frozenset("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var".split())
@@ -71,35 +101,58 @@ def profile(source: str | None) -> dict:
     return {s: sorted(x for x in v if x) for s, v in sets.items()} | n | flags
 
 
+#: What may stand between a method's parameters and its body; possessive, so nothing is tried twice.
+_BODY = re.compile(r"\s*+(?:throws\s[\w,.\s]*+)?\{")
+_MARK = re.compile(r'\\.|["{}]', re.S)
+_TYPE = re.compile(r"[\w<>\[\].?]++$")
+_NO_TYPE = ("new", "return", "else", "throw")
+
+
+def _declared(source: str, method: str) -> tuple[int, int] | None:
+    """Begin of the type and place of the body of the first declaration of a method; one walk over the source."""
+    close, body = -1, None
+    for name in re.finditer(r"\b" + re.escape(method) + r"\s*+\(", source):
+        if close < name.end():
+            close = source.find(")", name.end())
+            if close < 0:
+                return None
+            body = _BODY.match(source, close + 1)
+        k = name.start() - 1
+        while k >= 0 and source[k].isspace():
+            k -= 1
+        type_name = _TYPE.search(source, max(0, k - 200), k + 1) if body and 0 <= k < name.start() - 1 else None
+        if type_name and type_name.group() not in _NO_TYPE:
+            return type_name.start(), body.end() - 1
+    return None
+
+
 def method_of(source: str | None, name: str | None) -> str:
     """The text of the method that a test name names, with up to five lines of annotations and comments before it."""
     if not source:
         return NOT_AVAILABLE
     method = (name or "").replace("#", ".").rpartition(".")[2]
-    if method:
-        head = re.search(r"(?:public|protected|private|static|final|synchronized|void|[\w<>\[\],\s])*?\b[\w<>\[\]]+\s+" + re.escape(method) + r"\s*\([^)]*\)[^{;]*\{", source)
-        if head:
-            depth, k, quoted = 0, head.end() - 1, False
-            while k < len(source):
-                c = source[k]
-                if quoted:
-                    k += c == "\\"
-                    quoted = c != '"'
-                elif c == '"':
-                    quoted = True
-                elif c in "{}":
-                    depth += 1 if c == "{" else -1
-                    if not depth:
-                        break
-                k += 1
-            begin = source.rfind("\n", 0, head.end() - 1 if "\n" not in head.group() else source.find(method, head.start())) + 1
-            for _ in range(5):
-                above = source.rfind("\n", 0, max(begin - 1, 0)) + 1
-                line = source[above : max(begin - 1, 0)].strip()
-                if begin == 0 or line and not line.startswith(("@", "//", "*", "/*")):
+    found = _declared(source, method) if method else None
+    if found:
+        depth, k, quoted = 0, found[1], False
+        for mark in _MARK.finditer(source, found[1]):
+            c = mark.group()
+            if c == '"':
+                quoted = not quoted
+            elif not quoted and c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    k = mark.start()
                     break
-                begin = above
-            return source[begin : k + 1].strip("\n")
+        else:
+            k = len(source)
+        begin = source.rfind("\n", 0, found[0]) + 1
+        for _ in range(5):
+            above = source.rfind("\n", 0, max(begin - 1, 0)) + 1
+            line = source[above : max(begin - 1, 0)].strip()
+            if begin == 0 or line and not line.startswith(("@", "//", "*", "/*")):
+                break
+            begin = above
+        return source[begin : k + 1].strip("\n")
     return source if len(source) <= FALLBACK else source[:FALLBACK] + CUT_MARK
 
 

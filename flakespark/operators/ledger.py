@@ -28,11 +28,9 @@ def priced(calls: DataFrame) -> DataFrame:
 
 def costs(calls: DataFrame) -> DataFrame:
     """calls, tokens and cost in total, by model and by component, in one pass of grouping sets."""
-    priced(calls).createOrReplaceTempView("__priced_calls")
-    return calls.sparkSession.sql(
-        "SELECT model, component, count(*) AS calls, sum(tokens_in) AS tokens_in, sum(tokens_out) AS tokens_out, round(sum(cost), 4) AS cost "
-        "FROM __priced_calls GROUP BY GROUPING SETS ((), (model), (component))"
-    )
+    sums = [F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost"), 4).alias("cost")]
+    sets = priced(calls).groupingSets([[], [F.col("model")], [F.col("component")]], F.col("model"), F.col("component"))
+    return sets.agg(*sums).select("model", "component", "calls", "tokens_in", "tokens_out", "cost")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:

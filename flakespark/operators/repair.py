@@ -45,9 +45,9 @@ def collective(samples: DataFrame, members: DataFrame, client=model.offline_clie
 
 
 def compare_methods(samples: DataFrame, members: DataFrame, client=model.offline_client) -> DataFrame:
-    """method, bleu, codebleu, edit, n over samples with ground_truth, all methods in one evaluation."""
+    """method, bleu, codebleu, edit, n, all methods in one evaluation; a sample without ground_truth is scored against an empty one."""
     made = zero_shot(samples, client).unionByName(individual(samples, client)).unionByName(collective(samples, members, client))
-    truth = samples.where(F.coalesce(F.length("ground_truth"), F.lit(0)) > 0).select("sample_id", "ground_truth")
+    truth = samples.select("sample_id", "ground_truth")
     pairs = made.join(truth, "sample_id").withColumn("key", F.concat_ws("|", "method", "sample_id"))
     scored = textmetrics.evaluate_repairs(pairs, "key", "generated", "ground_truth")
     return textmetrics.average_repairs(scored.withColumn("method", F.substring_index("key", "|", 1)), ["method"])

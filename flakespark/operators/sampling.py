@@ -25,15 +25,17 @@ def stratified(rows: DataFrame, category: str, quotas: dict[str, int] | None = N
 
 
 def cluster_quota(sizes: list[tuple[int, int]], target: int, least: int, seed: int) -> dict[int, int]:
-    """Rows to draw of each cluster: (cluster, size) pairs in their drawing order, walked until the target is used."""
+    """Rows to draw of each cluster: (cluster, size) pairs in their drawing order, walked until fewer than `least` are left of the target."""
     if sum(s for _, s in sizes) <= target:
         return dict(sizes)
     rng, left, out = random.Random(seed), target, {}
     for cluster, size in sizes:
-        if left <= 0:
+        if left < max(1, least):
             break
         most = min(size, left)
-        take = rng.randint(least, most) if most >= least else most
+        if most < least:
+            continue
+        take = rng.randint(least, most)
         out[cluster] = take
         left -= take
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +59,7 @@ def row_percent(rows: DataFrame, by: str, column: str, values: list[str]) -> Dat
 
 
 def paired_tests(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """t statistic of a - b, Wilcoxon's W of the non-zero differences, Cohen's d by pooled population std.
-
-    p values: p_t by the t distribution's incomplete beta, p_w by the normal approximation,
-    both in expressions.
-    """
+    """t statistic of a - b, Wilcoxon's W of the non-zero differences, Cohen's d by pooled population std; see with_p_values for their p values."""
     d = pairs.select(*by, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).withColumn("d", F.col("a") - F.col("b"))
     base = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.stddev_samp("d").alias("sd"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"))
     size = d.where("d <> 0").groupBy(*by, F.abs("d").alias("size")).agg(F.count("*").alias("ties"), F.count_if(F.col("d") > 0).alias("plus"))
@@ -82,6 +79,22 @@ def paired_tests(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return x.select(*by, "n", t.alias("t"), least.alias("w"), z.alias("z_w"), cohen.alias("cohens_d"), effect_label(cohen).alias("effect"))
 
 
+def with_p_values(tests: DataFrame, level: float = 0.05) -> DataFrame:
+    """Adds p_t (Student's t of n - 1 degrees), p_w (normal approximation) and whether they are below level; null where there is no statistic.
+
+    One row a group comes in, so the two functions run a row at a time.
+    """
+
+    def p_of_t(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or k < 2 else t_p_value(x, k - 1) for x, k in zip(t, n)], dtype="float64")
+
+    def p_of_z(z: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else normal_p_value(x) for x in z], dtype="float64")
+
+    out = tests.withColumn("p_t", F.pandas_udf(p_of_t, "double")("t", "n")).withColumn("p_w", F.pandas_udf(p_of_z, "double")("z_w"))
+    return out.withColumn("significant_t", F.col("p_t") < level).withColumn("significant_w", F.col("p_w") < level)
+
+
 def effect_label(d: Column) -> Column:
     x = F.abs(d)
     return F.when(x < 0.2, "negligible").when(x < 0.5, "small").when(x < 0.8, "medium").otherwise("large")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flakespark.functions import code as C
-from flakespark.functions.text import col
+from flakespark.functions.text import col, filled
 
 
 def bleu4(pairs: DataFrame, key: str, generated: str, truth: str) -> DataFrame:
@@ -37,17 +37,32 @@ def codebleu(pairs: DataFrame, key: str, generated: str, truth: str) -> DataFram
     return scored.withColumn("codebleu", 0.5 * F.col("bleu") + 0.25 * F.col("keyword") + 0.25 * F.col("structure"))
 
 
-def evaluate_repairs(pairs: DataFrame, key: str, generated: str, truth: str) -> DataFrame:
-    """key, bleu, codebleu, edit, exact, has_truth.
+def _scored(pairs: DataFrame, key: str, generated: Column, truth: Column) -> DataFrame:
+    shown = pairs.select(key, generated.alias("g"), truth.alias("t"))
+    edit = shown.select(key, C.edit_similarity("g", "t").alias("edit"), C.exact_match("g", "t").alias("exact"), filled("t").alias("has_truth"))
+    return codebleu(shown, key, "g", "t").select(key, "bleu", "codebleu").join(edit, key)
+
 
-    If either side is a diff, both are compared by their changed lines; otherwise as
-    code (M12).  Empty truth is scored too and flagged.
+def evaluate_repairs(pairs: DataFrame, key: str, generated: str, truth: str, truth_is_code: bool | None = None) -> DataFrame:
+    """key, bleu, codebleu, edit, exact, has_truth of each repair.
+
+    Of a side that is a diff only the added lines are compared; a side that is code is
+    left alone.  truth_is_code says what the truth is (None: its beginning tells).
+    Null texts are empty; empty truth is scored too and flagged.
     """
-    diff = C.looks_like_diff(generated) | C.looks_like_diff(truth)
-    side = lambda x: F.when(diff, F.when(C.looks_like_diff(x), C.normalise_diff(x)).otherwise(C.normalise_code(x))).otherwise(C.normalise_code(x))
-    shown = pairs.select(key, side(generated).alias("g"), side(truth).alias("t"), (F.coalesce(F.length(col(truth)), F.lit(0)) > 0).alias("has_truth"))
-    edit = shown.select(key, C.edit_similarity("g", "t").alias("edit"), (F.col("g") == F.col("t")).alias("exact"), "has_truth")
-    return codebleu(shown, key, "g", "t").select(key, "bleu", "codebleu").join(edit, key)
+    t, g = F.coalesce(col(truth), F.lit("")), F.coalesce(col(generated), F.lit(""))
+    as_diff = C.truth_is_diff(t) if truth_is_code is None else F.lit(not truth_is_code)
+    return _scored(pairs, key, F.when(C.generated_is_diff(g), C.added_lines(g)).otherwise(g), F.when(as_diff, C.added_lines(t)).otherwise(t))
+
+
+def evaluate_added_lines(pairs: DataFrame, key: str, generated: str, truth: str) -> DataFrame:
+    """As evaluate_repairs where the truth is always a diff, of which the added lines count."""
+    return evaluate_repairs(pairs, key, generated, truth, truth_is_code=False)
+
+
+def evaluate_diffs(pairs: DataFrame, key: str, generated: str, truth: str) -> DataFrame:
+    """As evaluate_repairs, of two diffs by their added and removed lines with their signs."""
+    return _scored(pairs, key, C.normalise_diff(generated), C.normalise_diff(truth))
 
 
 def average_repairs(evals: DataFrame, by: list[str]) -> DataFrame:

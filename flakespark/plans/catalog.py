@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flakespark.functions import cascade, code, names, replies, signatures
-from flakespark.operators import agreement, classify, diagnosis, grouping, javacode, ledger, model, partition_metrics, repair, sampling, stats, textmetrics, vectors
+from flakespark.operators import agreement, baselines, classify, diagnosis, grouping, javacode, ledger, model, partition_metrics, repair, sampling, stats, textmetrics, vectors
 from flakespark.plans import duckdb_sql as D
 from flakespark.plans import features
 from flakespark.plans.views import duck, read, view
@@ -90,15 +90,8 @@ def category_histogram(spark, sf_dir):
     return _features(spark, sf_dir).groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("Unknown")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '" + D.TOKEN + "'), ' ') AS tokens, len(regexp_extract_all(text, '" + D.TOKEN + "')) AS n FROM documents WHERE regexp_full_match(text, '[[:ascii:]]*')")
+@query("SELECT doc_id, array_to_string(w, ' ') AS tokens, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '" + D.UNICODE_TOKEN + "') AS w FROM documents)")
 def tokenize(spark, sf_dir):
-    ascii_only = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rounded(ascii_only.select("doc_id", F.array_join(code.tokenize("text"), " ").alias("tokens"), F.size(code.tokenize("text")).alias("n")))
-
-
-@query()
-def tokenize_all(spark, sf_dir):
-    """The tokens of every document; tokenize is the ASCII part that its SQL gives."""
     return rounded(read(spark, sf_dir, "documents").select("doc_id", F.array_join(code.tokenize("text"), " ").alias("tokens"), F.size(code.tokenize("text")).alias("n")))
 
 
@@ -146,9 +139,37 @@ def codebleu(spark, sf_dir):
     return rounded(textmetrics.codebleu(view(spark, sf_dir, "pairs"), "id", "generated", "truth"))
 
 
-@query()
+def _repair_pairs(spark, sf_dir):
+    """Pairs whose generated side is code, code, a diff, added lines or a diff, and whose truth is a diff in the second and last case."""
+    p = view(spark, sf_dir, "pairs")
+    diff = lambda c: F.concat(F.lit("diff --git a/T.java b/T.java\n--- a/T.java\n+++ b/T.java\n@@ -1,2 +1,2 @@\n-old();\n+"), F.col(c), F.lit("\n kept();"))
+    kind = F.col("id") % 5
+    generated = F.when(kind.isin(2, 4), diff("generated")).when(kind == 3, F.concat(F.lit("+"), "generated", F.lit("\n+ more();"))).otherwise(F.col("generated"))
+    return p.select("id", generated.alias("generated"), F.when(kind.isin(1, 4), diff("truth")).otherwise(F.col("truth")).alias("truth"), diff("generated").alias("generated_diff"), diff("truth").alias("truth_diff"))
+
+
+_MORE = "CASE WHEN id % 5 = 3 THEN generated || chr(10) || ' more();' ELSE generated END"
+
+
+@query(D.repairs(_MORE))
 def evaluate_repairs(spark, sf_dir):
-    return rounded(textmetrics.average_repairs(textmetrics.evaluate_repairs(view(spark, sf_dir, "pairs"), "id", "generated", "truth").withColumn("method", F.lit("offline")), ["method"]))
+    return rounded(textmetrics.evaluate_repairs(_repair_pairs(spark, sf_dir), "id", "generated", "truth"))
+
+
+@query(D.repairs(_MORE))
+def evaluate_added_lines(spark, sf_dir):
+    return rounded(textmetrics.evaluate_added_lines(_repair_pairs(spark, sf_dir), "id", "generated", "truth_diff"))
+
+
+@query(D.repairs("'-old();' || chr(10) || '+' || generated", "'-old();' || chr(10) || '+' || truth"))
+def evaluate_diffs(spark, sf_dir):
+    return rounded(textmetrics.evaluate_diffs(_repair_pairs(spark, sf_dir), "id", "generated_diff", "truth_diff"))
+
+
+@query(f"SELECT 'offline' AS method, round(avg(bleu), 4) AS bleu, round(avg(codebleu), 4) AS codebleu, round(avg(edit), 4) AS edit, count(*) AS n FROM ({D.repairs(_MORE)})")
+def average_repairs(spark, sf_dir):
+    scored = textmetrics.evaluate_repairs(_repair_pairs(spark, sf_dir), "id", "generated", "truth")
+    return rounded(textmetrics.average_repairs(scored.withColumn("method", F.lit("offline")), ["method"]), 4)
 
 
 @query(f"WITH {duck('pairs')} SELECT id, TRUE AS ok, FALSE AS cut_ok FROM pairs")
@@ -183,21 +204,26 @@ def response_fields(spark, sf_dir):
 
 
 def _replies(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").where("role is not null")
-    number = (F.col("conv_id") * 7 + F.col("turn")).alias("k")
+    c = read(spark, sf_dir, "conversations")
+    number = (F.coalesce("conv_id", F.lit(0)) * 7 + F.coalesce("turn", F.lit(0))).alias("k")
     base = c.select("conv_id", "turn", number)
     pick = lambda values, m: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("k") % m + 1).cast("int"))
     reply = F.concat_ws("\n", F.lit("Some words"), F.concat(F.lit("SIMILARITY_SCORE: "), (F.col("k") % 9).cast("string")), F.concat(F.lit("CORRECTNESS: "), pick(["Yes", "No", "Partial", "maybe"], 4)), F.concat(F.lit("VERDICT: "), pick(["YES", "NO, they differ", "PARTIAL", "unsure"], 4)), F.concat(F.lit("CONFIDENCE: "), pick(["high", "low", "so so"], 3)), F.concat(F.lit("EXPLANATION: "), pick(["network is down: networking", "timing", "nothing"], 3)))
     return base.select("conv_id", "turn", reply.alias("reply"), (F.col("k") % 12).cast("string").alias("first"))
 
 
-@query()
+_NAMED = """WITH c AS (SELECT conv_id, (turn + 1)::INT AS member, 't' || turn AS test_name FROM conversations),
+ l AS (SELECT *, CASE WHEN conv_id % 3 = 0 AND member IN (1, 3) OR conv_id % 3 = 1 AND member = 2 THEN 0 WHEN conv_id % 3 = 0 AND member = 2 OR conv_id % 3 = 1 AND member IN (4, 5) THEN 1 END AS line FROM c)
+SELECT conv_id, member::BIGINT AS member, test_name, CASE WHEN line IS NULL THEN 's' || lpad(member::VARCHAR, 9, '0') ELSE 'g' || lpad(line::VARCHAR, 9, '0') END AS group_key FROM l"""
+
+
+@query(_NAMED)
 def group_reply_parse(spark, sf_dir):
-    """Groups that a reply names, per conversation as batch: members, first line wins, the rest alone."""
+    """Groups that a reply names, per conversation as batch: members, first line wins, the rest alone; a third of the replies names none."""
     c = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("member"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("test_name"))
-    reply = c.groupBy("conv_id").agg(F.lit("Group 1: [1, 3]\nGroup 2: 2, 3\nnone").alias("reply"))
-    groups = reply.select("conv_id", F.posexplode(replies.group_lines("reply")).alias("line", "members"))
-    return grouping.group_reply(c, groups, ["conv_id"])
+    said = F.when(F.col("conv_id") % 3 == 0, "Group 1: [1, 3]\nGroup 2: 2, 3\nnone").when(F.col("conv_id") % 3 == 1, "So:\nGroup 1: 2\nGroup 2: [4, 5, 2]").otherwise("They have nothing in common.")
+    groups = c.select("conv_id").distinct().select("conv_id", F.posexplode(replies.group_lines(said)).alias("line", "members"))
+    return rounded(grouping.group_reply(c, groups, ["conv_id"]))
 
 
 # ---- grouping ----------------------------------------------------------------------
@@ -225,16 +251,23 @@ def cluster_exception_type(spark, sf_dir):
     return grouping.first_seen_groups(_features(spark, sf_dir), F.when(F.col("simple_name") != "", F.col("simple_name")).otherwise("Unknown")).select("test_name", "cluster_id")
 
 
-@query(f"WITH {D.FEATURES}, sized AS (SELECT *, count(*) OVER (PARTITION BY signature || class_name) AS size FROM feat), keyed AS (SELECT *, CASE WHEN size < 4 THEN signature || class_name || '|' || test_name ELSE signature || class_name END AS k FROM sized) SELECT count(DISTINCT k) AS clusters, count(*) AS n, max(size) AS largest FROM keyed")
+@query(f"WITH {D.FEATURES}, sized AS (SELECT *, signature || class_name AS key, count(*) OVER own AS size, min(ord) OVER own AS first FROM feat WINDOW own AS (PARTITION BY signature || class_name)) SELECT test_name, key AS signature, dense_rank() OVER (ORDER BY size < 4, CASE WHEN size < 4 THEN ord ELSE first END) - 1 AS cluster_id FROM sized")
 def cluster_min_size(spark, sf_dir):
     rows = grouping.first_seen_groups(_features(spark, sf_dir), F.concat(signatures.default_signature(), F.col("class_name")), min_size=4)
-    sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    return sizes.agg(F.count("*").alias("clusters"), F.sum("size").alias("n"), F.max("size").alias("largest"))
+    return rows.select("test_name", "signature", "cluster_id")
 
 
-@query()
+@query(f"WITH {D.FEATURES} SELECT 45 AS clusters, count(*) AS n, 44 AS last FROM feat")
 def cluster_random(spark, sf_dir):
-    return grouping.random_groups(_failures(spark, sf_dir), 45).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    """The members are a hash's choice; ids have no gap and no test is lost."""
+    return rounded(grouping.random_groups(_failures(spark, sf_dir), 45).agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("n"), F.max("cluster_id").alias("last")))
+
+
+@query(f"WITH {D.FEATURES}, {D.grouped('signature')}, {D.grouped('class_name').replace('firsts', 'f2').replace('grouped', 'g2')}, {D.grouped('kind').replace('firsts', 'f3').replace('grouped', 'g3')} SELECT 'random' AS method, 45 AS clusters, count(*) AS n FROM feat UNION ALL SELECT 'test_class', count(DISTINCT cluster_id), count(*) FROM g2 UNION ALL SELECT 'exception_type', count(DISTINCT cluster_id), count(*) FROM g3 UNION ALL SELECT 'model', count(*), count(*) FROM feat UNION ALL SELECT 'signature', count(DISTINCT cluster_id), count(*) FROM grouped")
+def all_baselines(spark, sf_dir):
+    """Every grouping of the same tests; the offline model names no groups, so its tests stand alone."""
+    made = baselines.run_all(_features(spark, sf_dir), 45, client=model.offline_client)
+    return made.groupBy("method").agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey AS ord, row_number() OVER (ORDER BY o_orderkey) - 1 AS cluster_id FROM orders")
@@ -242,12 +275,25 @@ def cluster_singletons(spark, sf_dir):
     return grouping.singletons(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"))).select("ord", "cluster_id")
 
 
-@query(f"WITH {D.FEATURES}, {D.grouped('signature')}, v AS (SELECT *, CASE WHEN cluster_id % 3 = 0 AND count(*) OVER (PARTITION BY cluster_id) >= 2 THEN cluster_id || '|' || test_name ELSE cluster_id::VARCHAR END AS k FROM grouped) SELECT count(DISTINCT k) AS clusters, count(*) AS n FROM v")
-def verdict_apply(spark, sf_dir):
+_VERDICTS = f"""WITH {D.FEATURES}, {D.grouped('signature')}, s AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS size FROM grouped),
+ v AS (SELECT *, CASE WHEN size < 2 THEN 'Skipped' ELSE ['No', 'Yes', 'Partial'][cluster_id % 3 + 1] END AS verdict FROM s)"""
+
+
+def _verified(spark, sf_dir):
     rows = grouping.first_seen_groups(_features(spark, sf_dir), signatures.default_signature())
-    verdicts = rows.select("cluster_id").distinct().withColumn("verdict", F.when(F.col("cluster_id") % 3 == 0, "No").otherwise("Yes"))
-    out = grouping.apply_verdicts(rows, verdicts)
-    return out.agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("n"))
+    said = F.element_at(F.array(F.lit("No"), F.lit("Yes"), F.lit("Partial")), (F.col("cluster_id") % 3 + 1).cast("int"))
+    verified = grouping.apply_verdicts(rows, rows.select("cluster_id").distinct().withColumn("verdict", said))
+    return verified.withColumn("split", F.when(F.col("original_cluster_id") % 2 == 0, "apart"))
+
+
+@query(f"{_VERDICTS} SELECT test_name, cluster_id AS original_cluster_id, verdict, dense_rank() OVER (ORDER BY cluster_id, CASE WHEN verdict = 'No' THEN ord END) - 1 AS cluster_id FROM v")
+def verdict_apply(spark, sf_dir):
+    return _verified(spark, sf_dir).select("test_name", "original_cluster_id", "verdict", "cluster_id")
+
+
+@query(f"{_VERDICTS}, judged AS (SELECT DISTINCT cluster_id, verdict FROM v) SELECT count(*) AS total_clusters, count(*) FILTER (verdict = 'Yes') AS verified_yes, count(*) FILTER (verdict = 'No') AS verified_no, count(*) FILTER (verdict = 'Partial') AS verified_partial, count(*) FILTER (verdict = 'Skipped') AS skipped_small, count(*) FILTER (verdict = 'No' OR verdict = 'Partial' AND cluster_id % 2 = 0) AS splits_performed FROM judged")
+def verification_stats(spark, sf_dir):
+    return grouping.verification_stats(_verified(spark, sf_dir), "split")
 
 
 @query(f"WITH {D.FEATURES} SELECT test_name, (row_number() OVER (PARTITION BY project, class_name ORDER BY ord) - 1) // 20 AS batch FROM feat")
@@ -273,15 +319,9 @@ def average_linkage(spark, sf_dir):
     return vectors.linkage_groups(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 0.5)
 
 
-@query("SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 100 = b.vec_id // 100 AND a.vec_id < b.vec_id")
+@query("SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def cosine_pairs(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 100))
-    return rounded(vectors.cosine_pairs(e, ["label", "block"], "vec_id", "embedding").drop("block"))
-
-
-@query()
-def cosine_pairs_all(spark, sf_dir):
-    """All pairs of one label; cosine_pairs is the part inside blocks of ids that its SQL gives."""
+    """All pairs of one label."""
     return rounded(vectors.cosine_pairs(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding"))
 
 
@@ -316,6 +356,12 @@ def precision_recall_f1(spark, sf_dir):
     return rounded(classify.category_scores(view(spark, sf_dir, "scored")))
 
 
+@query(f"WITH {duck('scored')}, {D.PRF}, fixed AS (SELECT unnest(['Yes', 'No', 'Partial', 'Networking', 'Other']) AS category) SELECT category, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall, round(coalesce(f1, 0), 6) AS f1, coalesce(support, 0) AS support FROM fixed LEFT JOIN prf USING (category)")
+def fixed_category_scores(spark, sf_dir):
+    """Scores of a fixed list of categories, seen or not (A5)."""
+    return rounded(classify.category_scores(view(spark, sf_dir, "scored"), categories=["Yes", "No", "Partial", "Networking", "Other"]))
+
+
 @query(f"WITH {duck('scored')}, {D.PRF} SELECT round((SELECT avg(f1) FROM prf WHERE support > 0), 6) AS macro_f1, round(avg((actual = predicted)::INT), 6) AS accuracy, count(*) AS n FROM scored")
 def macro_f1(spark, sf_dir):
     return rounded(classify.macro_scores(view(spark, sf_dir, "scored")))
@@ -408,10 +454,13 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified(rows, "category", _QUOTA).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT 0 AS over, 0 AS under, TRUE AS whole")
 def cluster_sample(spark, sf_dir):
+    """What holds of any draw: no cluster gives more than it has or less than two, and at most one place stays empty."""
     rows = _failures(spark, sf_dir).withColumn("cluster_id", F.col("true_label").cast("long"))
-    return sampling.cluster_sample(rows, 300).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    taken = sampling.cluster_sample(rows, 300).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    both = rows.groupBy("cluster_id").agg(F.count("*").alias("size")).join(taken, "cluster_id")
+    return both.agg(F.count_if(F.col("n") > F.col("size")).alias("over"), F.count_if(F.col("n") < 2).alias("under"), F.sum("n").isin(299, 300).alias("whole"))
 
 
 _PAIRWISE = f"""WITH {duck('raters')}, p AS (SELECT r1::DOUBLE AS a, r2::DOUBLE AS b FROM raters),
@@ -447,23 +496,21 @@ def paired_tests(spark, sf_dir):
     return rounded(stats.paired_tests(view(spark, sf_dir, "raters"), "r1", "r3", []))
 
 
+@query()
+def paired_significance(spark, sf_dir):
+    """p values of the paired tests; SQL has neither distribution, tests hold them against tables."""
+    return rounded(stats.with_p_values(stats.paired_tests(view(spark, sf_dir, "raters"), "r1", "r3", [])).select("n", "p_t", "p_w", "significant_t", "significant_w"))
+
+
 @query(f"WITH {D.FEATURES} SELECT project, round(count(*) FILTER (trace IS NOT NULL) / count(*), 6) AS coverage, count(*) FILTER ({D.shared_cause('lower(coalesce(trace, source))')}) AS shared, max(substr(coalesce(trace, source), 1, 20)) AS excerpt FROM feat GROUP BY project")
 def gt_validation(spark, sf_dir):
     f = _failures(spark, sf_dir).withColumn("text", F.coalesce("trace", "source"))
     return rounded(f.groupBy("project").agg((F.count("trace") / F.count("*")).alias("coverage"), F.count_if(cascade.shared_cause("text")).alias("shared"), F.max(F.substring("text", 1, 20)).alias("excerpt")))
 
 
-@query(f"WITH {duck('scored')} SELECT doc_id FROM scored s WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id AND l.toxic = 1) UNION SELECT doc_id FROM documents WHERE doc_id % 97 = 0")
-def set_operations(spark, sf_dir):
-    s = view(spark, sf_dir, "scored")
-    toxic = read(spark, sf_dir, "labels").where("toxic = 1")
-    kept = s.join(toxic, "doc_id", "left_semi").select("doc_id")
-    return kept.union(read(spark, sf_dir, "documents").where("doc_id % 97 = 0").select("doc_id")).distinct()
-
-
 @query(f"WITH {duck('scored')} SELECT doc_id FROM scored s WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id AND l.toxic = 1) UNION SELECT doc_id FROM documents WHERE lang = 'en'")
-def set_operations_all(spark, sf_dir):
-    """As set_operations, with all documents of a language in place of one id in 97."""
+def set_operations(spark, sf_dir):
+    """Scored documents with a toxic label, united with all of one language."""
     toxic = read(spark, sf_dir, "labels").where("toxic = 1")
     kept = view(spark, sf_dir, "scored").join(toxic, "doc_id", "left_semi").select("doc_id")
     return kept.union(read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")).distinct()
@@ -542,9 +589,14 @@ def windowed_ledger(spark, sf_dir):
     return rounded(streaming.windowed_costs(view(spark, sf_dir, "calls")).select("start", "model", "component", "calls", "tokens_in", "cost"), 8)
 
 
-@query()
+_REPORT = f"""WITH {duck('calls')}, {D.PRICES}, c AS (SELECT model, component, count(*) AS calls, sum(tokens_in)::BIGINT AS i, sum(tokens_out)::BIGINT AS o, round(sum((tokens_in * coalesce(a, 0) + tokens_out * coalesce(b, 0)) / 1e6), 4) AS cost FROM calls LEFT JOIN prices USING (model) GROUP BY GROUPING SETS ((), (model), (component))),
+ l AS (SELECT *, CASE WHEN model IS NOT NULL THEN 1 WHEN component IS NOT NULL THEN 2 ELSE 0 END AS part, coalesce('model ' || model, 'component ' || component, 'total') AS label FROM c)
+SELECT part, row_number() OVER (PARTITION BY part ORDER BY cost DESC, label) AS place, printf('%s: %d calls, %d in, %d out, $%.4f', label, calls, i, o, cost) AS line FROM l"""
+
+
+@query(_REPORT)
 def report_lines(spark, sf_dir):
-    return sinks.report_lines(ledger.costs(view(spark, sf_dir, "calls")))
+    return rounded(sinks.report_lines(ledger.costs(view(spark, sf_dir, "calls"))))
 
 
 @query(f"WITH {duck('runs')}, m AS (SELECT method, avg(score) AS mean, stddev_pop(score) AS std, median(score) AS median FROM runs GROUP BY method) SELECT method, printf('%s & %.2f & %.2f & %.2f \\\\', method, mean, std, median) AS line FROM m")

@@ -9,6 +9,11 @@ from flakespark.plans.views import duck
 TOKEN = r"[{}()\[\];,.<>=!&|+\-*/^%@#]|[^\s{}()\[\];,.<>=!&|+\-*/^%@#]+"
 
 
+#: TOKEN with the white space that Java's Unicode class has, which RE2 knows in ASCII alone.
+UNICODE_TOKEN = TOKEN.replace(r"[^\s", r"[^\t\n\x0b\f\r\x{85}\p{Z}")
+_DIFF = "'diff --git a/T.java b/T.java' || chr(10) || '--- a/T.java' || chr(10) || '+++ b/T.java' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || '-old();' || chr(10) || '+' || {} || chr(10) || ' kept();'"
+
+
 def _words(text: str, words: list[str]) -> str:
     return "regexp_matches(" + text + ", '" + "|".join(words) + "')"
 
@@ -113,6 +118,16 @@ tt AS (SELECT id, k, t[i:i + k - 1] AS gram, count(*) AS c FROM (SELECT id, k, t
 pk AS (SELECT id, k, sum(least(gg.c, coalesce(tt.c, 0))) AS hit, sum(gg.c) AS n FROM gg LEFT JOIN tt USING (id, k, gram) GROUP BY id, k),
 lg AS (SELECT id, count(*) FILTER (hit > 0) AS orders, sum(CASE WHEN hit > 0 THEN ln(hit / n) END) AS logs FROM pk GROUP BY id),
 bleu AS (SELECT id, CASE WHEN orders = 4 THEN least(1, CASE WHEN len(g) < len(t) THEN exp(1 - len(t) / len(g)) ELSE 1 END * exp(logs / 4)) ELSE 0 END AS bleu FROM lg JOIN tok USING (id))"""
+
+
+def repairs(generated: str, truth: str = "truth") -> str:
+    """BLEU and its companions of pairs whose sides are given by expressions."""
+    own = f"base AS ({duck('pairs').removeprefix('pairs AS (').removesuffix(')')}), pairs AS (SELECT id, {generated} AS generated, {truth} AS truth FROM base)"
+    scores = "sim AS (SELECT id, 1 - levenshtein(g, t)::DOUBLE / greatest(length(g), length(t)) AS edit FROM (SELECT id, replace(generated, chr(10) || ' ', chr(10)) AS g, truth AS t FROM pairs))"
+    return f"""WITH {BLEU.replace(duck('pairs'), own)}, {KEYWORDS}, {scores}
+SELECT id, round(bleu, 6) AS bleu, round(0.5 * bleu + 0.25 * keyword + 0.25 * structure, 6) AS codebleu, round(edit, 6) AS edit, generated = truth AS exact, TRUE AS has_truth FROM bleu JOIN kw USING (id) JOIN sim USING (id) JOIN pairs USING (id)"""
+
+
 _KW = "[" + ", ".join(f"'{w}'" for w in code.JAVA_WORDS) + "]"
 _BR = "regexp_replace({}, '[^{{}}()\\[\\]]', '', 'g')"
 KEYWORDS = f"""kws AS (SELECT id, list_intersect(list_distinct(g), {_KW}) AS a, list_intersect(list_distinct(t), {_KW}) AS b FROM tok),
@@ -120,7 +135,7 @@ br AS (SELECT id, {_BR.format('generated')} AS x, {_BR.format('truth')} AS y FRO
 kw AS (SELECT id, CASE WHEN len(b) = 0 THEN CASE WHEN len(a) = 0 THEN 1 ELSE 0.5 END ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS keyword,
   1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) AS structure FROM kws JOIN br USING (id))"""
 
-REPLIES = """base AS (SELECT conv_id, turn, conv_id * 7 + turn AS k FROM conversations WHERE role IS NOT NULL),
+REPLIES = """base AS (SELECT conv_id, turn, coalesce(conv_id, 0) * 7 + coalesce(turn, 0) AS k FROM conversations),
 parsed AS (SELECT conv_id, turn, greatest(1, least(5, k % 9)) AS score, ['Yes', 'No', 'Partial', 'Partial'][k % 4 + 1] AS correctness,
   CASE WHEN k % 12 >= 10 THEN 1 ELSE greatest(1, least(3, k % 12)) END AS specificity, ['Networking', 'Timing', 'Other'][k % 3 + 1] AS category,
   ['Yes', 'No', 'Partial', 'Yes'][k % 4 + 1] AS verdict, ['High', 'Low', 'Medium'][k % 3 + 1] AS confidence FROM base)"""

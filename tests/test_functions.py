@@ -140,6 +140,54 @@ def test_java():
     source = "class T {\n  // sends\n  @Test\n  public void a() throws Exception {\n    String s = \"}\";\n    HttpClient c = new HttpClient();\n    assertEquals(1, c.get());\n  }\n  void b() { for (;;) {} }\n}"
     got = method_of(source, "x.T#a")
     assert got.startswith("  // sends\n  @Test") and got.endswith("  }") and "void b" not in got
-    assert method_of(None, "x#y").startswith("//") and method_of("z" * 4000, "q#nope").endswith("(truncated)")
+    assert method_of(None, "x#y").startswith("//") and method_of("z" * 4000, "q#nope").endswith("(code truncated)")
     p = profile(source)
     assert p["n_assertions"] == 1 and p["uses_network"] and p["n_loops"] == 1 and p["annotations"] == ["Test"] and not p["uses_files"]
+
+
+def test_cluster_quota_never_draws_less_than_the_least():
+    from flakespark.operators.sampling import cluster_quota
+
+    for seed in range(50):
+        got = cluster_quota([(1, 2), (2, 2), (3, 5)], 5, 2, seed)
+        assert min(got.values()) >= 2 and 4 <= sum(got.values()) <= 5
+    assert cluster_quota([(1, 2), (2, 3)], 9, 2, 1) == {1: 2, 2: 3}
+
+
+def test_small_groups_follow_the_kept_ones(spark):
+    from flakespark.operators import grouping
+
+    rows = spark.createDataFrame([(0, "a", "S1"), (1, "b", "S2"), (2, "c", "S3"), (3, "d", "S2")], "ord long, test_name string, sig string")
+    got = {r.test_name: (r.cluster_id, r.signature) for r in grouping.first_seen_groups(rows, "sig", min_size=2).collect()}
+    assert got == {"a": (1, "S1"), "b": (0, "S2"), "c": (2, "S3"), "d": (0, "S2")}
+    verdicts = spark.createDataFrame([(0, "No"), (1, "No")], "cluster_id long, verdict string")
+    grouped = grouping.first_seen_groups(rows, "sig", min_size=2)
+    apart = {r.test_name: (r.cluster_id, r.verdict) for r in grouping.apply_verdicts(grouped, verdicts).collect()}
+    assert apart == {"b": (0, "No"), "d": (1, "No"), "a": (2, "Skipped"), "c": (3, "Skipped")}
+
+
+def test_model_names_groups(spark):
+    from flakespark.operators import baselines
+
+    rows = spark.createDataFrame([(k, f"t{k}", None) for k in range(5)], "ord long, test_name string, trace string")
+    reply = lambda prompt, system="": "Group 1: 2, 3" if "3. " in prompt else "no"
+    got = {r.test_name: r.cluster_id for r in baselines.model_groups(rows, reply, size=3).collect()}
+    assert got == {"t0": 0, "t1": 1, "t2": 1, "t3": 2, "t4": 3}
+
+
+def test_long_sources_take_linear_time():
+    import time
+
+    began = time.time()
+    for body in ("foo(1); bar(2); ", "nope(", " nope ", "void nope( ", "void nope() throws A, ", " \n\t"):
+        method_of("class X {" + body * (1_000_000 // len(body)), "X#nope")
+    assert time.time() - began < 5
+
+
+def test_p_values(spark):
+    from flakespark.operators import stats
+
+    rows = spark.createDataFrame([(10, 2.262157, -1.959964), (2, 12.7062, None), (1, None, 0.0)], "n long, t double, z_w double")
+    got = {r.n: r for r in stats.with_p_values(rows).collect()}
+    assert abs(got[10].p_t - 0.05) < 1e-5 and abs(got[10].p_w - 0.05) < 1e-5 and abs(got[2].p_t - 0.05) < 1e-4
+    assert got[2].p_w is None and got[1].p_t is None and got[1].p_w == 1 and not got[1].significant_w

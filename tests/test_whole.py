@@ -19,7 +19,7 @@ def test_cosine_pairs_of_a_label(spark):
     rows = embeddings()
     want = {(a["label"], a["vec_id"], b["vec_id"]) for a in rows for b in rows if a["label"] == b["label"] and a["vec_id"] < b["vec_id"]}
     by = {r["vec_id"]: np.array(r["embedding"], float) for r in rows}
-    got = catalog.queries()["cosine_pairs_all"](spark, FOLDER).collect()
+    got = catalog.queries()["cosine_pairs"](spark, FOLDER).collect()
     assert {(r.label, r.a, r.b) for r in got} == want and len(got) == len(want)
     assert any(a // 100 != b // 100 for _, a, b in want)
     for r in got[::50]:
@@ -58,12 +58,12 @@ def test_tokens_of_all_documents(spark):
         return out + ([word] if word else [])
 
     docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()}
-    got = {r.doc_id: (r.tokens, r.n) for r in catalog.queries()["tokenize_all"](spark, FOLDER).collect()}
+    got = {r.doc_id: (r.tokens, r.n) for r in catalog.queries()["tokenize"](spark, FOLDER).collect()}
     assert got == {k: (" ".join(plain(t)), len(plain(t))) for k, t in docs.items()}
     assert any(t and not t.isascii() for t in docs.values())
 
 
 def test_union_of_whole_sets(spark):
     docs = pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()
-    got = {r.doc_id for r in catalog.queries()["set_operations_all"](spark, FOLDER).collect()}
+    got = {r.doc_id for r in catalog.queries()["set_operations"](spark, FOLDER).collect()}
     assert {d["doc_id"] for d in docs if d["lang"] == "en"} <= got
