@@ -29,9 +29,11 @@ SAMPLE_ROWS, TERMS, TERM_ROWS = 20000, 1 << 19, 4
 PREFIXES = (4, 5, 6, 7)
 #: Neighbours that vote, examples in a block, weight of the base rate in a vote.
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 2.0
-#: Terms whose weights stand in a dense float32 table, queries that are searched together,
-#: blocks that are visited before the k-th hit is known anew, and what float32 sums may be off by.
-COMMON, QUERIES, ROUNDS, SLACK = 512, 64, (4, 24), 1e-4
+#: Terms whose weights stand in a dense float32 table, queries that are searched together, postings that are
+#: summed at a time (they fit a core's cache), and blocks that are visited before the k-th hit is known anew.
+COMMON, QUERIES, POSTINGS, ROUNDS = 1024, 128, 1 << 16, (4, 24)
+#: What float32 sums may be off by, as a part of themselves: no weight is below 0, so n additions are off by n / 2^24 at most.
+SLACK = 1e-4
 
 
 def row_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +171,13 @@ class BlockMaxIndex:
         rare = np.flatnonzero(rare)
         rare = rare[np.argsort(terms[rare], kind="stable")]
         self.posted = np.searchsorted(terms[rare], np.arange(vocabulary + 1))
-        self.places, self.posting_weights = place[rare].astype(np.uint16 if len(ids) < 1 << 16 else np.int32), raw[rare].astype(np.float32)
+        # a posting is one 64-bit number, its place above the bits of its float32 weight, so that a list is copied at once
+        self.postings = np.empty(len(rare), "<i8")
+        self.postings.view("<i4")[1::2] = place[rare]
+        self.postings.view("<f4")[::2] = raw[rare]
         self.query = np.zeros(vocabulary)
-        self.buffers = np.zeros(1, np.int64), np.zeros(1)
+        longest = POSTINGS + int(np.diff(self.posted).max(initial=0))
+        self.joined, self.places, self.found = np.empty(longest, "<i8"), np.empty(longest, np.int64), np.empty(longest)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; ties go to the smaller id."""
@@ -183,6 +189,26 @@ class BlockMaxIndex:
             out += self._search(queries[a : a + QUERIES], k, without and without[a : a + QUERIES])
         return out
 
+    def _sum_rare(self, terms: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
+        """Adds up the postings of rare terms, some lists at a time."""
+        start = self.posted[terms]
+        size = self.posted[terms + 1] - start
+        lists = [self.postings[a:b] for a, b in zip(start.tolist(), (start + size).tolist())]
+        ends = np.cumsum(size)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(size.sum()) + POSTINGS, POSTINGS), "left")).tolist()
+        total = None
+        for a, b in zip(cuts, [*cuts[1:], len(lists)]):
+            n = int(size[a:b].sum())
+            if not n:
+                continue
+            np.concatenate(lists[a:b], out=self.joined[:n])
+            np.right_shift(self.joined[:n], 32, out=self.places[:n])
+            np.multiply(self.joined.view("<f4")[: 2 * n : 2], np.repeat(weights[a:b], size[a:b]), out=self.found[:n])
+            part = np.bincount(self.places[:n], self.found[:n], len(out))
+            total = part if total is None else total + part
+        if total is not None:
+            out[:] = total
+
     def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
         m, width = len(queries), self.blocks * BLOCK
         common, score = np.zeros((m, self.dense.shape[1]), np.float32), np.zeros((m, width), np.float32)
@@ -190,29 +216,23 @@ class BlockMaxIndex:
             slot = self.slot[terms]
             rare = slot < 0
             common[r, slot[~rare]] = weights[~rare]
-            start, stop = self.posted[terms[rare]], self.posted[terms[rare] + 1]
-            lists = [slice(a, b) for a, b in zip(start.tolist(), stop.tolist())]
-            if lists:
-                n = int((stop - start).sum())
-                if n > len(self.buffers[0]):
-                    self.buffers = np.zeros(2 * n, np.int64), np.zeros(2 * n)
-                places, found = (x[:n] for x in self.buffers)
-                np.concatenate([self.places[x] for x in lists], out=places)
-                np.concatenate([self.posting_weights[x] for x in lists], out=found)
-                found *= np.repeat(weights[rare], stop - start)
-                score[r] = np.bincount(places, found, width)
+            self._sum_rare(terms[rare], weights[rare], score[r])
         # an example that has to be left out may be among the hits that a bound is taken from
         need = k if without is None else k + max(int((self.ids == i).sum()) for i in without)
         blocks = score.reshape(m, self.blocks, BLOCK)
-        bound = common @ self.most + blocks.max(2) + np.float32(SLACK)
+        bound = (common @ self.most + blocks.max(2)) * np.float32(1 + 2 * SLACK)
         order, done, least = np.argsort(-bound, axis=1, kind="stable"), np.zeros((m, self.blocks), bool), np.zeros(m, np.float32)
         for upto in (*(n for n in ROUNDS if n < self.blocks), self.blocks):
             wanted = np.zeros_like(done)
             np.put_along_axis(wanted, order[:, :upto], True, 1)
-            wanted &= ~done & (bound >= least[:, None] - SLACK)
-            for b in np.flatnonzero(wanted.any(0)):
-                rows = np.flatnonzero(wanted[:, b])
-                blocks[rows, b] += common[rows] @ self.dense[b]
+            wanted &= ~done & (bound >= least[:, None])
+            for b, n in enumerate(wanted.sum(0).tolist()):
+                if 2 * n > m:  # a row that need not be visited yet is finished all the same
+                    blocks[~done[:, b], b] += (common @ self.dense[b])[~done[:, b]]
+                    wanted[:, b] = ~done[:, b]
+                elif n:
+                    rows = np.flatnonzero(wanted[:, b])
+                    blocks[rows, b] += common[rows] @ self.dense[b]
             done |= wanted
             # sums that are not finished are lower bounds too, as no weight is below 0
             if need <= upto * BLOCK and upto < self.blocks:
@@ -220,9 +240,9 @@ class BlockMaxIndex:
                 least = np.partition(seen, seen.shape[1] - need, axis=1)[:, -need]
         out, query = [], self.query
         for r, (terms, weights) in enumerate(queries):
-            found = np.flatnonzero((score[r] > 0) & (score[r] >= least[r] - SLACK))
+            found = np.flatnonzero((score[r] > 0) & (score[r] >= least[r] * (1 - 2 * SLACK)))
             if len(found) > need:
-                found = found[score[r, found] >= np.partition(score[r, found], len(found) - need)[len(found) - need] - 2 * SLACK]
+                found = found[score[r, found] >= np.partition(score[r, found], len(found) - need)[len(found) - need] * (1 - 2 * SLACK)]
             if without is not None:
                 found = found[self.ids[found] != without[r]]
             if not len(found):
@@ -231,7 +251,9 @@ class BlockMaxIndex:
             query[terms] = weights
             size = self.sizes[found]
             at = _ranges(self.start[found], size)
-            exact = np.round(np.add.reduceat(query[self.terms[at]] * self.weigh(self.terms[at], self.counts[at]), np.cumsum(size) - size) / self.norm[found], 12)
+            shared = np.flatnonzero(query[self.terms[at]])
+            owner, at = np.searchsorted(np.cumsum(size), shared, "right"), at[shared]
+            exact = np.round(np.bincount(owner, query[self.terms[at]] * self.weigh(self.terms[at], self.counts[at]), len(found)) / self.norm[found], 12)
             query[terms] = 0
             by = np.lexsort((self.ids[found], -exact))[:k]
             out.append((found[by], exact[by]))
