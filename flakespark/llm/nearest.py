@@ -129,11 +129,6 @@ def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Itera
             yield pa.record_batch({name: pa.array([x], pa.binary()) for name, x in zip(_PARTS, arrays)})
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges of size numbers from start, one after the other."""
-    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-
-
 class BlockMaxIndex:
     """Unit vectors of weights over 0 by block of examples: postings of rare terms, a dense table of common ones with their largest weight in a block.
 
@@ -143,14 +138,14 @@ class BlockMaxIndex:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, weigh, vocabulary: int):
         start = np.cumsum(sizes) - sizes
-        raw, norm, lead = np.empty(len(terms), np.float32), np.empty(len(ids)), np.empty(len(ids), np.int64)
-        for k in range(0, len(ids), 1024):  # a part at a time, as the whole in doubles would be the peak of a task's memory
-            own = slice(k, k + 1024)
-            i, j, first = start[k], start[own][-1] + sizes[own][-1], start[own] - start[k]
+        norm, lead = np.empty(len(ids)), np.empty(len(ids), np.int64)
+        # a part of the examples at a time, twice, as weights of all in doubles would be the peak of a task's memory
+        parts = [slice(k, k + 1024) for k in range(0, len(ids), 1024)]
+        for own in parts:
+            i, j, first = start[own][0], start[own][-1] + sizes[own][-1], start[own] - start[own][0]
             w = weigh(terms[i:j], counts[i:j])
             norm[own] = np.sqrt(np.add.reduceat(w * w, first))
             w /= np.repeat(np.where(norm[own] > 0, norm[own], 1), sizes[own])
-            raw[i:j] = w
             # examples of one leading term stand together, so that few blocks can score high
             heavy = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, first), sizes[own]))
             lead[own] = terms[i:j][heavy[np.searchsorted(heavy, first)]]
@@ -160,21 +155,31 @@ class BlockMaxIndex:
         self.ids, self.labels = ids[by], labels[by].astype(float)
         self.blocks = -(-len(by) // BLOCK)
         self.start, self.sizes, self.norm, self.terms, self.counts, self.weigh = start[by], sizes[by], norm[by], terms, counts, weigh
-        common = np.argsort(-np.bincount(terms, minlength=vocabulary), kind="stable")[:COMMON]
+        held = np.bincount(terms, minlength=vocabulary)
+        common = np.argsort(-held, kind="stable")[:COMMON]
         self.slot = np.full(vocabulary, -1, np.int32)
         self.slot[common] = np.arange(len(common))
-        slot, place = self.slot[terms], np.repeat(place, sizes)
-        rare = slot < 0
-        self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
-        self.dense[place[~rare] // BLOCK, slot[~rare], place[~rare] % BLOCK] = raw[~rare]
-        self.most = np.ascontiguousarray(self.dense.max(2).T)
-        rare = np.flatnonzero(rare)
-        rare = rare[np.argsort(terms[rare], kind="stable")]
-        self.posted = np.searchsorted(terms[rare], np.arange(vocabulary + 1))
+        held[common] = 0
+        self.posted = np.concatenate([[0], np.cumsum(held)])
         # a posting is one 64-bit number, its place above the bits of its float32 weight, so that a list is copied at once
-        self.postings = np.empty(len(rare), "<i8")
-        self.postings.view("<i4")[1::2] = place[rare]
-        self.postings.view("<f4")[::2] = raw[rare]
+        self.postings = np.empty(self.posted[-1], "<i8")
+        self.dense, end = np.zeros((self.blocks, len(common), BLOCK), np.float32), self.posted[:-1].copy()
+        for own in parts:
+            i, j = start[own][0], start[own][-1] + sizes[own][-1]
+            w = (weigh(terms[i:j], counts[i:j]) / np.repeat(np.where(norm[own] > 0, norm[own], 1), sizes[own])).astype(np.float32)
+            slot, at = self.slot[terms[i:j]], np.repeat(place[own], sizes[own])
+            dense = slot >= 0
+            self.dense[at[dense] // BLOCK, slot[dense], at[dense] % BLOCK] = w[dense]
+            rare = np.flatnonzero(~dense)
+            rare = rare[np.argsort(terms[i:j][rare], kind="stable")]
+            term = terms[i:j][rare]
+            new = np.flatnonzero(np.diff(term, prepend=-1))
+            size = np.diff(np.append(new, len(term)))
+            to = np.arange(len(term)) + np.repeat(end[term[new]] - new, size)
+            end[term[new]] += size
+            self.postings.view("<i4")[1::2][to] = at[rare]
+            self.postings.view("<f4")[::2][to] = w[rare]
+        self.most = np.ascontiguousarray(self.dense.max(2).T)
         self.query = np.zeros(vocabulary)
         longest = POSTINGS + int(np.diff(self.posted).max(initial=0))
         self.joined, self.places, self.found = np.empty(longest, "<i8"), np.empty(longest, np.int64), np.empty(longest)
@@ -250,10 +255,11 @@ class BlockMaxIndex:
                 continue
             query[terms] = weights
             size = self.sizes[found]
-            at = _ranges(self.start[found], size)
-            shared = np.flatnonzero(query[self.terms[at]])
-            owner, at = np.searchsorted(np.cumsum(size), shared, "right"), at[shared]
-            exact = np.round(np.bincount(owner, query[self.terms[at]] * self.weigh(self.terms[at], self.counts[at]), len(found)) / self.norm[found], 12)
+            vectors = [slice(a, b) for a, b in zip(self.start[found].tolist(), (self.start[found] + size).tolist())]
+            term, count = (np.concatenate([x[v] for v in vectors]) for x in (self.terms, self.counts))
+            shared = np.flatnonzero(query[term])
+            term, count, owner = term[shared], count[shared], np.searchsorted(np.cumsum(size), shared, "right")
+            exact = np.round(np.bincount(owner, query[term] * self.weigh(term, count), len(found)) / self.norm[found], 12)
             query[terms] = 0
             by = np.lexsort((self.ids[found], -exact))[:k]
             out.append((found[by], exact[by]))
@@ -283,6 +289,7 @@ class Examples:
     def _unpack(self) -> None:
         if self._arrays is None:
             sizes, counts = self._joined("sizes"), self._joined("counts")
+            counts = counts.astype(np.min_scalar_type(int(counts.max(initial=1))))
             self._arrays = *self.labelled()[:2], sizes[sizes > 0].astype(np.int64), self._joined("terms"), counts
             self._logs = 1 + np.log(np.arange(1, int(counts.max(initial=1)) + 1))
             self.chunks = []  # the arrays have it all
