@@ -46,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """The checkpointed df without the size that Spark estimates for it.
+
+    A checkpoint keeps the estimate of its plan, which is a product at every join: in a
+    loop that joins its own result it is squared each round, to a number of many MB.
+    """
+    spark, rdd = df.sparkSession, df._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, df._jdf.schema(), False), spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unsized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,14 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     Edges may repeat and may be self-links; an empty table gives an empty table.
     """
     thin = _thinned(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = cut(thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    both = unsized(cut(thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    labels = unsized(cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))))
     total = _checksum(labels)
     while total is not None:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("around"))
         lower = labels.join(around, "node").select("node", F.least("label", "around").alias("label"))
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = cut(lower.join(onward, "label", "left").select("node", F.least("label", "further").alias("label")))
+        labels = unsized(cut(lower.join(onward, "label", "left").select("node", F.least("label", "further").alias("label"))))
         now = _checksum(labels)
         if now == total:
             break

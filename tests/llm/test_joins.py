@@ -138,6 +138,13 @@ def test_components_of_a_chain(spark):
     assert components(edges.where("a < 0")).count() == 0
 
 
+def test_components_estimate_stays_small(spark):
+    # the driver's estimate of the labels' size was squared each round, to numbers of 100s of MB after some 15 rounds
+    labels = components(spark.range(1, 300).selectExpr("id - 1 AS a", "id AS b"))
+    assert {r.label for r in labels.collect()} == {0}
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+
+
 def brute_suffix(rows, length=50):
     seen, out = {}, {}
     for i, t in rows:
