@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,22 +53,78 @@ def average_linkage(matrix: np.ndarray, threshold: float) -> np.ndarray:
     return np.argsort(np.argsort(first))[inverse]
 
 
-def linkage_groups(vectors: DataFrame, block: list[str], key: str, vector: str, threshold: float = 0.5, most: int = 5000) -> DataFrame:
+def average_linkage_of(x: np.ndarray, threshold: float) -> np.ndarray:
+    """average_linkage by cosine distance of rows of length 1 (or 0), with no matrix of distances.
+
+    The mean distance of two clusters is that of their rows' sums, so memory is that of
+    the rows.  Each cluster knows its nearest one of those after it; a merger makes no
+    cluster come nearer, so what was known stays a lower bound until it is the least.
+    Distances count to 12 digits, so that equal ones are ties; unknown ones are infinite.
+    """
+    n = len(x)
+    sums, size, owner = x.astype(float).copy(), np.ones(n), np.arange(n)
+    live, stale = np.ones(n, bool), np.zeros(n, bool)
+    near, least = np.zeros(n, np.int64), np.full(n, np.inf)
+
+    def rounded(d: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(np.round(d, 12), nan=np.inf, posinf=np.inf)
+
+    def look(i: int) -> None:
+        stale[i], least[i] = False, np.inf
+        if i + 1 < n:
+            d = rounded(1 - sums[i + 1 :] @ sums[i] / (size[i + 1 :] * size[i]))
+            d[~live[i + 1 :]] = np.inf
+            near[i] = i + 1 + int(np.argmin(d))
+            least[i] = d[near[i] - i - 1]
+
+    for a in range(0, n, 256):
+        d = rounded(1 - sums[a : a + 256] @ sums[a:].T)
+        d[np.tril_indices(len(d), 0, d.shape[1])] = np.inf
+        near[a : a + 256] = a + np.argmin(d, axis=1)
+        least[a : a + 256] = d.min(axis=1)
+    while n > 1:
+        i = int(np.argmin(least))
+        if not least[i] < threshold:
+            break
+        if stale[i]:
+            look(i)
+            continue
+        j = int(near[i])
+        sums[i] += sums[j]
+        size[i] += size[j]
+        live[j], least[j] = False, np.inf
+        owner[owner == j] = i
+        stale[:j] |= (near[:j] == i) | (near[:j] == j)
+        look(i)
+    _, first, inverse = np.unique(owner, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[inverse]
+
+
+def linkage_groups(vectors: DataFrame, block: list[str], key: str, vector: str, threshold: float = 0.5) -> DataFrame:
     """block, key, cluster_id: average linkage by cosine distance within each block.
 
-    The distance matrix is quadratic in a block's rows, so a block over `most` rows is
-    an error, never a truncation.
+    A block is one task; its memory grows with its rows, its time with their square.
+    Null vectors, like those of length 0, are as far from all others as unlike ones.
     """
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a block of {len(pdf)} vectors is over the limit of {most}; use finer blocks")
-        pdf = pdf.sort_values(key)
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
+    def group(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(key).combine_chunks()
+        x = _matrix(rows.column(vector), pc.max(pc.list_value_length(rows.column(vector))).as_py() or 0)
         norm = np.linalg.norm(x, axis=1)
         x = x / np.where(norm > 0, norm, 1)[:, None]
-        return pdf[[*block, key]].assign(cluster_id=average_linkage(1 - x @ x.T, threshold).astype(np.int64))
+        return rows.select([*block, key]).append_column("cluster_id", pa.array(average_linkage_of(x, threshold), pa.int64()))
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*block, key]) + ", cluster_id long"
-    return vectors.select(*block, key, vector).groupBy(*block).applyInPandas(group, schema)
+    return vectors.select(*block, key, vector).groupBy(*block).applyInArrow(group, schema)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The vectors as rows; null and empty ones are 0.  Vectors of another width are an error."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    if not np.isin(sizes, (0, width)).all():
+        raise ValueError(f"vectors of {sorted(set(sizes.tolist()) - {0})} numbers can't be compared")
+    out = np.zeros((len(column), width))
+    out[sizes > 0] = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) if width else 0
+    return out

@@ -315,7 +315,7 @@ def cluster_representatives(spark, sf_dir):
 
 @query()
 def average_linkage(spark, sf_dir):
-    """Average linkage of all vectors of a label; a label over the operator's limit is an error."""
+    """Average linkage of all vectors of a label."""
     return vectors.linkage_groups(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 0.5)
 
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow.parquet as pq
 
+from flakespark.operators import vectors
 from flakespark.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -67,3 +68,25 @@ def test_union_of_whole_sets(spark):
     docs = pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()
     got = {r.doc_id for r in catalog.queries()["set_operations"](spark, FOLDER).collect()}
     assert {d["doc_id"] for d in docs if d["lang"] == "en"} <= got
+
+
+def test_linkage_of_a_large_label(spark):
+    # 5,200 vectors of one label, in 520 groups of ten that stand apart, and one without a vector
+    x = np.repeat(np.random.default_rng(1).normal(size=(520, 48)), 10, axis=0)
+    x += np.random.default_rng(2).normal(size=x.shape) / 50
+    rows = [(k, 1, v) for k, v in enumerate(x.tolist())] + [(len(x), 1, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: r.cluster_id for r in vectors.linkage_groups(frame, ["label"], "vec_id", "embedding", 0.2).collect()}
+    assert got == {k: k // 10 for k in range(len(rows))}
+
+
+def test_linkage_without_a_matrix():
+    rng = np.random.default_rng(3)
+    for n in range(1, 60):
+        x = rng.normal(size=(n, 1 + n % 7))
+        x[rng.integers(0, n, n // 3)] = x[rng.integers(0, n, n // 3)]
+        x[0] *= n % 5 > 0
+        norm = np.linalg.norm(x, axis=1)
+        x /= np.where(norm > 0, norm, 1)[:, None]
+        for threshold in (0.05, 0.5, 1.2):
+            assert (vectors.average_linkage_of(x, threshold) == vectors.average_linkage(1 - x @ x.T, threshold)).all()
