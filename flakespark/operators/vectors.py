@@ -21,12 +21,82 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(norm > 0, dot(a, b) / F.nullif(norm, F.lit(0.0))).otherwise(0.0)
 
 
+#: Vectors in a tile; a task holds two tiles and the cosines of all their pairs.
+TILE = 512
+
+
 def cosine_pairs(vectors: DataFrame, block: list[str], key: str, vector: str) -> DataFrame:
-    """Cosine of all pairs within a block; blocks keep the pairs apart, so they must be small."""
-    unit = vectors.select(*block, F.col(key).alias("a"), F.col(vector).alias("va"))
-    other = unit.select(*block, F.col("a").alias("b"), F.col("va").alias("vb"))
-    joined = unit.join(other, block).where("a < b") if block else unit.join(other, F.col("a") < F.col("b"))
-    return joined.select(*block, "a", "b", cosine("va", "vb").alias("cosine"))
+    """Cosine of all pairs within a block, a the smaller key; rows without a block or a key have none.
+
+    The pairs grow with the square of a block.  Its vectors are dealt into tiles, and
+    each two tiles are a group of their own, so that no task has a whole block.
+    """
+    rows = vectors.select(*block, F.col(key).alias("a"), F.col(vector).cast("array<double>").alias("va")).dropna(subset=[*block, "a"])
+    counts = rows.groupBy(*block).agg(F.ceil(F.count("*") / TILE).cast("int").alias("__tiles"))
+    dealt = (rows.join(counts, block) if block else rows.crossJoin(counts)).withColumn("__own", F.pmod(F.xxhash64("a", "va"), "__tiles").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))
+    sides = dealt.withColumn("__other", other).select(*block, "a", "va", "__own", F.least("__own", "__other").alias("__one"), F.greatest("__own", "__other").alias("__two"))
+
+    def group(rows: pa.Table) -> pa.Table:
+        return _tile_cosines(rows.combine_chunks(), block)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in block) + ", " * bool(block) + f"a {kinds['a']}, b {kinds['a']}, cosine double"
+    # a number of partitions, as tiles that are few MB make many pairs
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sides.repartition(n, *block, "__one", "__two").groupBy(*block, "__one", "__two").applyInArrow(group, schema)
+
+
+def _tile_cosines(rows: pa.Table, block: list[str]) -> pa.Table:
+    """The pairs of two tiles, or of one with itself."""
+    code = pc.rank(rows.column("a"), tiebreaker="dense").to_numpy().astype(np.int64)
+    own, one, two = (rows.column(c).to_numpy() for c in ("__own", "__one", "__two"))
+    lists = rows.column("va").combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    left = np.flatnonzero(own == one[0])
+    right = left if one[0] == two[0] else np.flatnonzero(own == two[0])
+    firsts, seconds, cosines, none = [], [], [], []
+    for p in np.unique(sizes[left]):
+        for q in np.unique(sizes[right]):
+            # vectors of unlike lengths have no cosine, but for those without length
+            width = int(min(p, q))
+            of = [(k, *_padded(lists, k)) for k in (left[sizes[left] == p], right[sizes[right] == q])]
+            (r, x, x2, xn), (s, y, y2, yn) = of
+            for at in range(0, len(r), 128):
+                i = r[at : at + 128]
+                dot = np.zeros((len(i), len(s)))
+                part = np.empty_like(dot)
+                with np.errstate(all="ignore"):
+                    for k in range(width):  # number by number, so that a sum is that of SQL
+                        dot += np.multiply(x[at : at + 128, k, None], y[None, :, k], out=part)
+                    norm = np.sqrt(x2[at : at + 128, None] * y2[None, :])
+                    some = ~((norm <= 0) | xn[at : at + 128, None] | yn[None, :])
+                    cosine = np.where(some, dot / np.where(some, norm, 1), 0.0)
+                u, v = np.nonzero(code[i][:, None] < code[s][None, :] if right is left else code[i][:, None] != code[s][None, :])
+                a, b = i[u], s[v]
+                swap = code[a] > code[b]
+                firsts.append(np.where(swap, b, a))
+                seconds.append(np.where(swap, a, b))
+                cosines.append(cosine[u, v])
+                none.append(some[u, v] if p != q else np.zeros(len(a), bool))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, seconds))
+    columns = {c: rows.column(c).take(pa.array(a)) for c in block} | {"a": rows.column("a").take(pa.array(a)), "b": rows.column("a").take(pa.array(b))}
+    cosine = pa.array(np.concatenate(cosines), mask=np.concatenate(none)) if cosines else pa.array([], pa.float64())
+    return pa.table(columns | {"cosine": cosine})
+
+
+def _padded(lists: pa.ListArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of one length, their own dot products, and which have none (null, or with a null in them)."""
+    own = lists.take(pa.array(rows))
+    flat, n = own.flatten(), len(rows)
+    width = len(flat) // n if n else 0
+    x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(n, width)
+    unknown = own.is_null().to_numpy(zero_copy_only=False) | flat.is_null().to_numpy(zero_copy_only=False).reshape(n, width).any(axis=1)
+    square = np.zeros(n)
+    with np.errstate(all="ignore"):
+        for k in range(width):
+            square += x[:, k] * x[:, k]
+    return x, square, unknown
 
 
 def average_linkage(matrix: np.ndarray, threshold: float) -> np.ndarray:
