@@ -32,8 +32,12 @@ NEIGHBOURS, BLOCK, PRIOR = 16, 64, 2.0
 #: Terms whose weights stand in a dense float32 table, queries that are searched together, postings that are
 #: summed at a time (they fit a core's cache), and blocks that are visited before the k-th hit is known anew.
 COMMON, QUERIES, POSTINGS, ROUNDS = 1024, 128, 1 << 16, (4, 24)
-#: What float32 sums may be off by, as a part of themselves: no weight is below 0, so n additions are off by n / 2^24 at most.
-SLACK = 1e-4
+#: What float32 sums of postings may be off by, as a part of themselves: no weight is below 0, so n additions are off by
+#: n / 2^24 at most, and postings' weights by 2^-12.
+SLACK = 1e-3
+#: A posting is 32 bits: an example's place above 17 bits of its float32 weight, 5 of the exponent and 12 of the
+#: mantissa.  Weights are scaled so that those are the float's bits above SHORT and those above them are 0.
+PLACES, SHORT, SCALE = 1 << 15, 11, 2.0**-96
 
 
 def row_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +158,8 @@ class BlockMaxIndex:
         place[by] = np.arange(len(by))
         self.ids, self.labels = ids[by], labels[by].astype(float)
         self.blocks = -(-len(by) // BLOCK)
+        if len(by) > PLACES:
+            raise ValueError(f"{len(by)} examples are over the {PLACES} that a posting can name")
         self.start, self.sizes, self.norm, self.terms, self.counts, self.weigh = start[by], sizes[by], norm[by], terms, counts, weigh
         held = np.bincount(terms, minlength=vocabulary)
         common = np.argsort(-held, kind="stable")[:COMMON]
@@ -161,8 +167,8 @@ class BlockMaxIndex:
         self.slot[common] = np.arange(len(common))
         held[common] = 0
         self.posted = np.concatenate([[0], np.cumsum(held)])
-        # a posting is one 64-bit number, its place above the bits of its float32 weight, so that a list is copied at once
-        self.postings = np.empty(self.posted[-1], "<i8")
+        # one number with place and weight, so that a list is copied at once
+        self.postings = np.empty(self.posted[-1], np.uint32)
         self.dense, end = np.zeros((self.blocks, len(common), BLOCK), np.float32), self.posted[:-1].copy()
         for own in parts:
             i, j = start[own][0], start[own][-1] + sizes[own][-1]
@@ -177,12 +183,12 @@ class BlockMaxIndex:
             size = np.diff(np.append(new, len(term)))
             to = np.arange(len(term)) + np.repeat(end[term[new]] - new, size)
             end[term[new]] += size
-            self.postings.view("<i4")[1::2][to] = at[rare]
-            self.postings.view("<f4")[::2][to] = w[rare]
+            short = (np.maximum(w[rare], np.float32(2.0**-30)) * np.float32(SCALE)).view(np.uint32) >> SHORT
+            self.postings[to] = (at[rare].astype(np.uint32) << 17) | short
         self.most = np.ascontiguousarray(self.dense.max(2).T)
         self.query = np.zeros(vocabulary)
         longest = POSTINGS + int(np.diff(self.posted).max(initial=0))
-        self.joined, self.places, self.found = np.empty(longest, "<i8"), np.empty(longest, np.int64), np.empty(longest)
+        self.joined, self.places, self.found = np.empty(longest, np.uint32), np.empty(longest, np.int64), np.empty(longest)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; ties go to the smaller id."""
@@ -206,9 +212,11 @@ class BlockMaxIndex:
             n = int(size[a:b].sum())
             if not n:
                 continue
-            np.concatenate(lists[a:b], out=self.joined[:n])
-            np.right_shift(self.joined[:n], 32, out=self.places[:n])
-            np.multiply(self.joined.view("<f4")[: 2 * n : 2], np.repeat(weights[a:b], size[a:b]), out=self.found[:n])
+            joined = np.concatenate(lists[a:b], out=self.joined[:n])
+            np.right_shift(joined, 17, out=self.places[:n])
+            joined <<= 15
+            joined >>= 15 - SHORT
+            self.found[:n] = joined.view(np.float32) * np.repeat((weights[a:b] / SCALE).astype(np.float32), size[a:b])
             part = np.bincount(self.places[:n], self.found[:n], len(out))
             total = part if total is None else total + part
         if total is not None:
@@ -279,7 +287,14 @@ class Examples:
         k = _PARTS.index(part)
         if k < 2:
             return np.frombuffer(b"".join(c[k] for c in self.chunks), (np.int64, np.int8)[k])
-        return np.concatenate([_unpacked(c[k]) for c in self.chunks] or [np.zeros(0, np.int32)])
+        if k == 2:
+            return np.concatenate([_unpacked(c[k]) for c in self.chunks] or [np.zeros(0, np.int32)])
+        out, end = np.empty(int(self._joined("sizes").sum()), np.int32), 0
+        for c in self.chunks:  # in place, as pieces beside the whole would be the peak of a task's memory
+            piece = _unpacked(c[k])
+            out[end : end + len(piece)] = piece
+            end += len(piece)
+        return out
 
     def labelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and labels of the rows with known terms, and the labels of those without."""
@@ -289,7 +304,7 @@ class Examples:
     def _unpack(self) -> None:
         if self._arrays is None:
             sizes, counts = self._joined("sizes"), self._joined("counts")
-            counts = counts.astype(np.min_scalar_type(int(counts.max(initial=1))))
+            counts = counts.astype(np.min_scalar_type(int(counts.max(initial=1))))  # before terms are there too
             self._arrays = *self.labelled()[:2], sizes[sizes > 0].astype(np.int64), self._joined("terms"), counts
             self._logs = 1 + np.log(np.arange(1, int(counts.max(initial=1)) + 1))
             self.chunks = []  # the arrays have it all

@@ -51,6 +51,19 @@ def test_search_is_exact(common, monkeypatch):
         assert [int(i) for i in index.ids[places]] == [i for _, i in every]
 
 
+def test_postings_are_short():
+    # 32 bits a posting, weights within what SLACK allows, the examples of a term in order
+    rng = np.random.default_rng(8)
+    sizes, terms = np.full(300, 30), np.concatenate([np.sort(rng.choice(3000, 30, replace=False)) for _ in range(300)])
+    index = nearest.BlockMaxIndex(np.arange(300), rng.integers(0, 2, 300), sizes, terms, np.ones(9000, np.int64), lambda t, c: 10.0 ** (t % 7 - 5), 3000)
+    assert index.postings.itemsize == 4 and index.postings.size
+    for term in np.flatnonzero(np.diff(index.posted))[::50].tolist():
+        got = np.zeros(index.blocks * nearest.BLOCK)
+        index._sum_rare(np.array([term]), np.array([0.5]), got)
+        want = [0.5 * 10.0 ** (term % 7 - 5) / index.norm[p] if term in terms[index.start[p] : index.start[p] + 30] else 0 for p in range(300)]
+        assert np.count_nonzero(want) and got[:300] == pytest.approx(want, rel=nearest.SLACK / 2, abs=0)
+
+
 def test_lookup():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 1000):
