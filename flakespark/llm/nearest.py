@@ -35,6 +35,8 @@ COMMON, QUERIES, POSTINGS, ROUNDS = 1024, 128, 1 << 16, (4, 24)
 #: What float32 sums of postings may be off by, as a part of themselves: no weight is below 0, so n additions are off by
 #: n / 2^24 at most, and postings' weights by 2^-12.
 SLACK = 1e-3
+#: Bytes of text whose terms are counted at a time.
+PIECE = 1 << 17
 #: A posting is 32 bits: an example's place above 17 bits of its float32 weight, 5 of the exponent and 12 of the
 #: mantissa.  Weights are scaled so that those are the float's bits above SHORT and those above them are 0.
 PLACES, SHORT, SCALE = 1 << 15, 11, 2.0**-96
@@ -92,11 +94,18 @@ class Lookup:
 
 def _counted(data: np.ndarray, offsets: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term number, count) of the vocabulary's terms, sorted."""
-    row, term = row_terms(data, offsets)
-    number = lookup.find(term)
-    known, size = number >= 0, np.int64(len(lookup.vocabulary) or 1)
-    pair, count = np.unique(row[known] * size + number[known], return_counts=True)
-    return pair // size, pair % size, count
+    size, pairs, counts, a = np.int64(len(lookup.vocabulary) or 1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while a < len(offsets) - 1:  # some rows at a time, as all terms are many times the text
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE, "right")) - 1)
+        row, term = row_terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        number = lookup.find(term)
+        known = number >= 0
+        pair, count = np.unique((row[known] + a) * size + number[known], return_counts=True)
+        pairs.append(pair)
+        counts.append(count)
+        a = b
+    pair = np.concatenate(pairs)
+    return pair // size, pair % size, np.concatenate(counts)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -448,16 +457,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     return Model(vocabulary, base, empty, isotonic(vote, marks.astype(float)), shared)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, examples: Examples | None, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, examples: Examples | None, columns: list[str] | None = None, text: int = 1) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for a, b, data, offsets in text_chunks(batch.column(1)):
+        for a, b, data, offsets in text_chunks(batch.column(text)):
             row, term, count = _counted(data, offsets, model.lookup())
             cuts = np.searchsorted(row, np.arange(b - a + 1))
             got = model.scores([(term[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:])], examples)
             if columns:
                 own = batch.slice(a, b - a)
-                yield pa.record_batch([*own.columns[2:], pa.array([s for s, _ in got], pa.float64())], names=[*columns, "__score"])
+                yield pa.record_batch([*own.columns[: len(columns)], pa.array([s for s, _ in got], pa.float64())], names=[*columns, "__score"])
                 continue
             yield pa.record_batch({"doc_id": ids.slice(a, b - a), "score": pa.array([s for s, _ in got], pa.float64()), "neighbours": pa.array([n for _, n in got], pa.list_(pa.int64()))})
 
@@ -473,9 +482,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_column: str
     """
     shared, examples = docs.sparkSession.sparkContext.broadcast(model), model.shared
     if columns:
-        carried = docs.select(F.lit(0).alias("__id"), F.col(text_column).cast("string").alias("__text"), *columns)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[2:])
-        out = carried.mapInArrow(lambda b: _scored(b, shared.value, examples and examples.value, columns), f"{schema}, `__score` double")
+        # a text that is among the columns goes to the workers once
+        carried = docs.select(*columns)
+        if dict(carried.dtypes).get(text_column) == "string":
+            at = carried.columns.index(text_column)
+        else:
+            carried, at = docs.select(*columns, F.col(text_column).cast("string").alias("__text")), len(columns)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[: len(columns)])
+        out = carried.mapInArrow(lambda b: _scored(b, shared.value, examples and examples.value, columns, at), f"{schema}, `__score` double")
         return out.withColumn("predicted", (F.col("__score") >= threshold).cast("int"))
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     out = source.mapInArrow(lambda b: _scored(b, shared.value, examples and examples.value), "doc_id long, score double, neighbours array<long>")

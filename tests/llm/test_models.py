@@ -51,6 +51,26 @@ def test_search_is_exact(common, monkeypatch):
         assert [int(i) for i in index.ids[places]] == [i for _, i in every]
 
 
+def test_counts_by_pieces(monkeypatch):
+    data = [b"one two two three", b"", b"two " * 50, b"  ", b"three one"]
+    text, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    lookup = nearest.Lookup(np.unique(nearest.row_terms(text, offsets)[1]))
+    whole = nearest._counted(text, offsets, lookup)
+    monkeypatch.setattr(nearest, "PIECE", 20)
+    assert all((a == b).all() for a, b in zip(whole, nearest._counted(text, offsets, lookup))) and whole[2].max() == 50
+    assert [len(x) for x in nearest._counted(text[:0], np.zeros(1, np.int64), lookup)] == [0, 0, 0]
+
+
+def test_scored_text_is_sent_once(spark, docs):
+    d, labels = labelled(spark, docs, 60)
+    model = nearest.fit(d, labels)
+    kept = nearest.score(d, model, columns=d.columns)
+    assert "__text" not in kept._jdf.queryExecution().analyzed().toString()
+    alone = {r.doc_id: r.score for r in nearest.score(d, model).collect()}
+    assert {r.doc_id: r["__score"] for r in kept.collect()} == alone
+    assert {r.doc_id: r["__score"] for r in nearest.score(d, model, columns=["doc_id"]).collect()} == alone
+
+
 def test_postings_are_short():
     # 32 bits a posting, weights within what SLACK allows, the examples of a term in order
     rng = np.random.default_rng(8)
