@@ -88,7 +88,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        with nearest.passing():
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
         if k:
             path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}-{STAGES[k - 1][0]}")

@@ -12,16 +12,22 @@ cosine can still beat a query's k-th hit.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import os
+import pickle
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_array, cut, text_chunks
+from .common import column_array, cut, ensure_checkpoint_dir, text_chunks
 from .kernels import LOWER, span_hashes, word_spans
 
 #: Bounds of the model: labelled rows that are read, terms that are kept (those of most rows), rows that a term needs.
@@ -29,9 +35,11 @@ SAMPLE_ROWS, TERMS, TERM_ROWS = 20000, 1 << 19, 4
 PREFIXES = (4, 5, 6, 7)
 #: Neighbours that vote, examples in a block, weight of the base rate in a vote.
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 2.0
-#: Terms whose weights stand in a dense float32 table, queries that are searched together, postings that are
-#: summed at a time (they fit a core's cache), and blocks that are visited before the k-th hit is known anew.
-COMMON, QUERIES, POSTINGS, ROUNDS = 1024, 128, 1 << 16, (4, 24)
+#: Terms of a section at most whose weights stand in its dense float32 table, the share of its examples that such a term
+#: needs, queries that are searched together, and postings that are summed at a time (they fit a core's cache).
+COMMON, SHARE, QUERIES, POSTINGS = 4096, 0.08, 256, 1 << 16
+#: Sections of the index at most, examples that one has on average at least, and terms by which examples are sorted into them.
+SECTIONS, SECTION, SORTING = 8, 1024, 1024
 #: What float32 sums of postings may be off by, as a part of themselves: no weight is below 0, so n additions are off by
 #: n / 2^24 at most, and postings' weights by 2^-12.
 SLACK = 1e-3
@@ -74,10 +82,29 @@ class Lookup:
     """Numbers of a sorted vocabulary's terms: their leading bits name a bucket of less than one term on average."""
 
     def __init__(self, vocabulary: np.ndarray):
+        self.prefixes: np.ndarray | None = None
         self.vocabulary, bits = vocabulary, max(1, len(vocabulary).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
         self.starts = np.append(np.searchsorted(vocabulary, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(vocabulary))
 
+    def words(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A row of the words' numbers, then one for each of PREFIXES; -1 where there is no such term.
+
+        A known word's prefixes are looked up when it is first met.
+        """
+        if self.prefixes is None:
+            self.prefixes = np.full((len(PREFIXES), len(self.vocabulary) + 1), -2, np.int32)  # the last is for unknown words
+        word = self.find(span_hashes(text, starts, ends))
+        out = np.concatenate([word[None], self.prefixes.take(word, axis=1, mode="wrap")])
+        new = np.flatnonzero(out[1] == -2)
+        out[1:, new] = -1
+        for row, k in zip(out[1:], PREFIXES):
+            longer = new[ends[new] - starts[new] > k]
+            row[longer] = self.find(span_hashes(text, starts[longer], starts[longer] + k) ^ np.uint64(k))
+        met = new[word[new] >= 0]
+        self.prefixes[:, word[met]] = out[1:, met]
+        return out
+
     def find(self, term: np.ndarray) -> np.ndarray:
         """-1 where the vocabulary has no such term."""
         out, bucket = np.full(len(term), -1, np.int64), (term >> self.shift).astype(np.int64)
@@ -93,19 +120,21 @@ class Lookup:
 
 
 def _counted(data: np.ndarray, offsets: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term number, count) of the vocabulary's terms, sorted."""
+    """(row, term number, count) of the vocabulary's terms, sorted; terms are those of row_terms."""
     size, pairs, counts, a = np.int64(len(lookup.vocabulary) or 1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while a < len(offsets) - 1:  # some rows at a time, as all terms are many times the text
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE, "right")) - 1)
-        row, term = row_terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        number = lookup.find(term)
-        known = number >= 0
-        pair, count = np.unique((row[known] + a) * size + number[known], return_counts=True)
+        text = LOWER[data[offsets[a] : offsets[b]]]
+        starts, ends, first = word_spans(text, offsets[a : b + 1] - offsets[a])
+        number = lookup.words(text, starts, ends)
+        pair = number + np.repeat(np.arange(a, b) * size, np.diff(first))
+        pair, count = np.unique(pair[number >= 0], return_counts=True)
         pairs.append(pair)
         counts.append(count)
         a = b
     pair = np.concatenate(pairs)
-    return pair // size, pair % size, np.concatenate(counts)
+    row = pair // size
+    return row, pair - row * size, np.concatenate(counts)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -142,18 +171,93 @@ def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Itera
             yield pa.record_batch({name: pa.array([x], pa.binary()) for name, x in zip(_PARTS, arrays)})
 
 
-class BlockMaxIndex:
-    """Unit vectors of weights over 0 by block of examples: postings of rare terms, a dense table of common ones with their largest weight in a block.
+def _centres(some: np.ndarray, n: int) -> np.ndarray:
+    """n unit vectors at most, the centres of a few rounds of spherical k-means on some rows."""
+    some = some[some.any(1)]
+    if n < 2 or not len(some):
+        return np.zeros((1, some.shape[1]), np.float32)
+    # each first centre is the row least like those before it
+    norm, centre, like = np.linalg.norm(some, axis=1), some.mean(0, keepdims=True), np.full(len(some), -1.0)
+    for _ in range(n):
+        like = np.maximum(like, some @ centre[-1] / (norm * max(np.linalg.norm(centre[-1]), 1e-9)))
+        centre = np.concatenate([centre, some[[like.argmin()]]])
+    centre = centre[:n]
+    for _ in range(10):
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        own = (some @ centre.T).argmax(1)
+        centre = np.stack([some[own == k].sum(0) for k in range(n)])
+    return centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+
+
+class Shelf:
+    """Large arrays in one file that many processes map, so that a machine holds them once."""
+
+    def __init__(self, path: str):
+        self.path, self.own, self.layout, self.size = path, f"{path}.{os.getpid()}.part", {}, 0
+        self.file = open(self.own, "w+b")
+
+    def __call__(self, name: str, shape: tuple, kind) -> np.ndarray:
+        """An array of zeros in the file; OSError if the disk has no room for it."""
+        size = int(np.prod(shape)) * np.dtype(kind).itemsize
+        if not size:
+            self.layout[name] = (0, shape, kind)
+            return np.zeros(shape, kind)
+        start = -(-self.size // 4096) * 4096
+        os.posix_fallocate(self.file.fileno(), start, size)
+        self.layout[name], self.size = (start, shape, kind), start + size
+        return np.asarray(np.memmap(self.file, kind, "r+", start, shape))
+
+    def close(self, state: dict) -> None:
+        """Adds what is small and gives the file its name."""
+        tail = pickle.dumps((self.layout, state))
+        self.file.seek(self.size)
+        self.file.write(tail + len(tail).to_bytes(8, "little"))
+        self.file.close()
+        os.replace(self.own, self.path)
+
+    @staticmethod
+    def read(path: str) -> dict:
+        with open(path, "rb") as file:
+            file.seek(-8, os.SEEK_END)
+            size = int.from_bytes(file.read(8), "little")
+            file.seek(-8 - size, os.SEEK_END)
+            layout, state = pickle.loads(file.read(size))
+            return state | {name: np.asarray(np.memmap(file, kind, "r", start, shape)) if np.prod(shape) else np.zeros(shape, kind) for name, (start, shape, kind) in layout.items()}
+
 
-    sizes, terms and counts are those of the examples one after the other; weigh gives
-    the weight of (term, count) before a vector is brought to length 1.
+class BlockMaxIndex:
+    """Unit vectors of weights over 0 by section and block of examples: a dense table of each section's frequent terms with their largest weight in a block, postings of all other terms.
+
+    Sections hold examples that are alike in their frequent terms, such as those of one
+    language, so that a section's table is full and most queries need one of them; a
+    section is left out only if none of its blocks can beat a query's k-th hit.  sizes,
+    terms and counts are those of the examples one after the other; weigh gives the weight
+    of (term, count) before a vector is brought to length 1.  room(name, shape, type) makes
+    the large arrays, in memory if it is not given.
     """
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, weigh, vocabulary: int):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, weigh, vocabulary: int, room=None):
+        room = room or (lambda name, shape, kind: np.zeros(shape, kind))
+        if len(ids) > PLACES:
+            raise ValueError(f"{len(ids)} examples are over the {PLACES} that a posting can name")
         start = np.cumsum(sizes) - sizes
         norm, lead = np.empty(len(ids)), np.empty(len(ids), np.int64)
         # a part of the examples at a time, twice, as weights of all in doubles would be the peak of a task's memory
         parts = [slice(k, k + 1024) for k in range(0, len(ids), 1024)]
+        widest = np.argsort(-np.bincount(terms, minlength=vocabulary), kind="stable")[:SORTING]
+        slot = np.full(vocabulary, -1, np.int32)
+        slot[widest] = np.arange(len(widest))
+
+        def wide(row, term, w, n):
+            out, at = np.zeros((n, len(widest)), np.float32), slot[term]
+            out[row[at >= 0], at[at >= 0]] = w[at >= 0]
+            return out
+
+        some = np.unique(np.linspace(0, max(0, len(ids) - 1), 2 * SECTION).astype(int)) if len(ids) else np.zeros(0, int)
+        vectors = [slice(a, b) for a, b in zip(start[some].tolist(), (start[some] + sizes[some]).tolist())]
+        term, count = (np.concatenate([x[:0], *(x[v] for v in vectors)]) for x in (terms, counts))
+        centres = _centres(wide(np.repeat(np.arange(len(some)), sizes[some]), term, weigh(term, count), len(some)), min(SECTIONS, len(ids) // SECTION))
+        section = np.zeros(len(ids), np.int64)
         for own in parts:
             i, j, first = start[own][0], start[own][-1] + sizes[own][-1], start[own] - start[own][0]
             w = weigh(terms[i:j], counts[i:j])
@@ -162,42 +266,87 @@ class BlockMaxIndex:
             # examples of one leading term stand together, so that few blocks can score high
             heavy = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, first), sizes[own]))
             lead[own] = terms[i:j][heavy[np.searchsorted(heavy, first)]]
-        by = np.lexsort((ids, lead))
+            section[own] = (wide(np.repeat(np.arange(len(first)), sizes[own]), terms[i:j], w, len(first)) @ centres.T).argmax(1)
+        section = np.unique(section, return_inverse=True)[1]
+        by = np.lexsort((ids, lead, section))
         place = np.empty(len(by), np.int32)
         place[by] = np.arange(len(by))
-        self.ids, self.labels = ids[by], labels[by].astype(float)
-        self.blocks = -(-len(by) // BLOCK)
-        if len(by) > PLACES:
-            raise ValueError(f"{len(by)} examples are over the {PLACES} that a posting can name")
+        self.ids, self.labels, self.place = ids[by], labels[by].astype(float), place
         self.start, self.sizes, self.norm, self.terms, self.counts, self.weigh = start[by], sizes[by], norm[by], terms, counts, weigh
-        held = np.bincount(terms, minlength=vocabulary)
-        common = np.argsort(-held, kind="stable")[:COMMON]
-        self.slot = np.full(vocabulary, -1, np.int32)
-        self.slot[common] = np.arange(len(common))
-        held[common] = 0
-        self.posted = np.concatenate([[0], np.cumsum(held)])
+        del slot
+        members = np.bincount(section)
+        held = np.zeros((len(members), vocabulary), np.int32)
+        for own in parts:
+            i, j = start[own][0], start[own][-1] + sizes[own][-1]
+            for s in np.unique(section[own]).tolist():
+                held[s] += np.bincount(terms[i:j][np.repeat(section[own] == s, sizes[own])], minlength=vocabulary)
+        # terms that are dense in a section: in the first COMMON of the order of their rows, and frequent enough
+        self.slot = room("slot", held.shape, np.int16)
+        self.slot[:] = -1
+        ends, width = np.cumsum(members), []
+        for s, n in enumerate(members.tolist()):
+            common = np.argsort(-held[s], kind="stable")[:COMMON]
+            common = np.sort(common[held[s, common] >= max(1, SHARE * n)])
+            self.slot[s, common] = np.arange(len(common))
+            held[s, common] = 0
+            width.append(len(common))
+        self.posted = room("posted", (vocabulary + 1,), np.int64)
+        self.posted[1:] = np.cumsum(held.sum(0, dtype=np.int64))
+        del held
+        self.members, self.width = members, np.array(width)
         # one number with place and weight, so that a list is copied at once
-        self.postings = np.empty(self.posted[-1], np.uint32)
-        self.dense, end = np.zeros((self.blocks, len(common), BLOCK), np.float32), self.posted[:-1].copy()
+        self.postings, end = room("postings", (int(self.posted[-1]),), np.uint32), self.posted[:-1].copy()
+        self.table = room("table", (int((members * self.width).sum()),), np.float32)
+        self._divide()
         for own in parts:
             i, j = start[own][0], start[own][-1] + sizes[own][-1]
-            w = (weigh(terms[i:j], counts[i:j]) / np.repeat(np.where(norm[own] > 0, norm[own], 1), sizes[own])).astype(np.float32)
-            slot, at = self.slot[terms[i:j]], np.repeat(place[own], sizes[own])
-            dense = slot >= 0
-            self.dense[at[dense] // BLOCK, slot[dense], at[dense] % BLOCK] = w[dense]
-            rare = np.flatnonzero(~dense)
-            rare = rare[np.argsort(terms[i:j][rare], kind="stable")]
-            term = terms[i:j][rare]
+            term, at, of = terms[i:j], np.repeat(place[own], sizes[own]), np.repeat(section[own], sizes[own])
+            w = (weigh(term, counts[i:j]) / np.repeat(np.where(norm[own] > 0, norm[own], 1), sizes[own])).astype(np.float32)
+            slot = self.slot[of, term]
+            for s in np.unique(section[own]).tolist():
+                dense = np.flatnonzero((slot >= 0) & (of == s))
+                self.dense[s][slot[dense], at[dense] - (ends[s] - members[s])] = w[dense]
+            rare = np.flatnonzero(slot < 0)
+            rare = rare[np.argsort(term[rare], kind="stable")]
+            term = term[rare]
             new = np.flatnonzero(np.diff(term, prepend=-1))
             size = np.diff(np.append(new, len(term)))
             to = np.arange(len(term)) + np.repeat(end[term[new]] - new, size)
             end[term[new]] += size
             short = (np.maximum(w[rare], np.float32(2.0**-30)) * np.float32(SCALE)).view(np.uint32) >> SHORT
             self.postings[to] = (at[rare].astype(np.uint32) << 17) | short
-        self.most = np.ascontiguousarray(self.dense.max(2).T)
-        self.query = np.zeros(vocabulary)
+        self.most = [np.maximum.reduceat(d, np.arange(0, d.shape[1], BLOCK), axis=1) if d.size else np.zeros((len(d), len(range(0, d.shape[1], BLOCK))), np.float32) for d in self.dense]
+        self._ready()
+
+    def _divide(self) -> None:
+        """The sections' own parts of the table, and where their blocks begin."""
+        cut = np.concatenate([[0], np.cumsum(self.members * self.width)])
+        self.dense = [self.table[a:b].reshape(k, n) for a, b, k, n in zip(cut, cut[1:], self.width.tolist(), self.members.tolist())]
+        self.bounds = np.concatenate([[0], np.cumsum(self.members)]).tolist()
+        edges = [np.arange(a, b, BLOCK) for a, b in zip(self.bounds, self.bounds[1:])]
+        self.edges = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        self.firsts = np.cumsum([0, *map(len, edges)])
+        self.blocks = len(self.edges)
+
+    def _ready(self) -> None:
+        """What each process has of its own."""
+        self.query, self.asked = np.zeros(len(self.posted) - 1), np.zeros(len(self.posted) - 1, bool)
         longest = POSTINGS + int(np.diff(self.posted).max(initial=0))
-        self.joined, self.places, self.found = np.empty(longest, np.uint32), np.empty(longest, np.int64), np.empty(longest)
+        self.joined, self.places, self.found, self.steps = np.empty(longest, np.uint32), np.empty(longest, np.int64), np.empty(longest), np.arange(longest)
+
+    def state(self) -> dict:
+        """What is not on the shelf."""
+        return {k: getattr(self, k) for k in ("ids", "labels", "place", "start", "sizes", "norm", "members", "width", "most")}
+
+    @classmethod
+    def open(cls, path: str, weigh) -> BlockMaxIndex:
+        """The index that was made on a shelf, together with its terms and counts."""
+        index = cls.__new__(cls)
+        index.__dict__ |= Shelf.read(path)
+        index.weigh = weigh
+        index._divide()
+        index._ready()
+        return index
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; ties go to the smaller id."""
@@ -210,59 +359,65 @@ class BlockMaxIndex:
         return out
 
     def _sum_rare(self, terms: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
-        """Adds up the postings of rare terms, some lists at a time."""
+        """Adds up the postings of terms, some lists at a time."""
         start = self.posted[terms]
         size = self.posted[terms + 1] - start
-        lists = [self.postings[a:b] for a, b in zip(start.tolist(), (start + size).tolist())]
         ends = np.cumsum(size)
-        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(size.sum()) + POSTINGS, POSTINGS), "left")).tolist()
+        cuts = [0, *np.searchsorted(ends, np.arange(POSTINGS, int(ends[-1]) if len(ends) else 0, POSTINGS), "left").tolist(), len(ends)]
         total = None
-        for a, b in zip(cuts, [*cuts[1:], len(lists)]):
-            n = int(size[a:b].sum())
+        for a, b in zip(cuts, cuts[1:]):
+            first = int(ends[a - 1]) if a else 0
+            n = int(ends[b - 1]) - first if b > a else 0
             if not n:
                 continue
-            joined = np.concatenate(lists[a:b], out=self.joined[:n])
+            # places of all lists' postings, as a copy of each list costs more than its postings
+            at = np.repeat(start[a:b] - (ends[a:b] - size[a:b] - first), size[a:b])
+            at += self.steps[:n]
+            joined = self.postings.take(at, out=self.joined[:n], mode="clip")
             np.right_shift(joined, 17, out=self.places[:n])
             joined <<= 15
             joined >>= 15 - SHORT
-            self.found[:n] = joined.view(np.float32) * np.repeat((weights[a:b] / SCALE).astype(np.float32), size[a:b])
+            np.multiply(joined.view(np.float32), np.repeat((weights[a:b] / SCALE).astype(np.float32), size[a:b]), out=self.found[:n])
             part = np.bincount(self.places[:n], self.found[:n], len(out))
             total = part if total is None else total + part
         if total is not None:
             out[:] = total
 
     def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        m, width = len(queries), self.blocks * BLOCK
-        common, score = np.zeros((m, self.dense.shape[1]), np.float32), np.zeros((m, width), np.float32)
+        m, sections = len(queries), range(len(self.dense))
+        score = np.zeros((m, len(self.ids)), np.float32)
         for r, (terms, weights) in enumerate(queries):
-            slot = self.slot[terms]
-            rare = slot < 0
-            common[r, slot[~rare]] = weights[~rare]
-            self._sum_rare(terms[rare], weights[rare], score[r])
+            self._sum_rare(terms, weights, score[r])
+        row = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        term, weight = (np.concatenate([q[x] for q in queries]) for x in (0, 1))
+        common = []
+        for s in sections:
+            slot = self.slot[s, term]
+            dense = np.flatnonzero(slot >= 0)
+            common.append(np.zeros((m, len(self.dense[s])), np.float32))
+            common[s][row[dense], slot[dense]] = weight[dense]
         # an example that has to be left out may be among the hits that a bound is taken from
         need = k if without is None else k + max(int((self.ids == i).sum()) for i in without)
-        blocks = score.reshape(m, self.blocks, BLOCK)
-        bound = (common @ self.most + blocks.max(2)) * np.float32(1 + 2 * SLACK)
-        order, done, least = np.argsort(-bound, axis=1, kind="stable"), np.zeros((m, self.blocks), bool), np.zeros(m, np.float32)
-        for upto in (*(n for n in ROUNDS if n < self.blocks), self.blocks):
-            wanted = np.zeros_like(done)
-            np.put_along_axis(wanted, order[:, :upto], True, 1)
-            wanted &= ~done & (bound >= least[:, None])
-            for b, n in enumerate(wanted.sum(0).tolist()):
-                if 2 * n > m:  # a row that need not be visited yet is finished all the same
-                    blocks[~done[:, b], b] += (common @ self.dense[b])[~done[:, b]]
-                    wanted[:, b] = ~done[:, b]
-                elif n:
-                    rows = np.flatnonzero(wanted[:, b])
-                    blocks[rows, b] += common[rows] @ self.dense[b]
+        top = np.maximum.reduceat(score, self.edges, axis=1)
+        bound = np.stack([(top[:, a:b] + common[s] @ self.most[s]).max(1) for s, a, b in zip(sections, self.firsts, self.firsts[1:])], 1) * np.float32(1 + 2 * SLACK)
+        # the section that can score highest comes first, then those that can still beat its k-th hit
+        wanted = bound == bound.max(1, keepdims=True)
+        done, least = np.zeros_like(wanted), np.zeros(m, np.float32)
+        for again in (True, False):
+            for s, a, b in zip(sections, self.bounds, self.bounds[1:]):
+                rows = np.flatnonzero(wanted[:, s])
+                if len(rows) and len(self.dense[s]):
+                    score[rows, a:b] += common[s][rows] @ self.dense[s]
             done |= wanted
-            # sums that are not finished are lower bounds too, as no weight is below 0
-            if need <= upto * BLOCK and upto < self.blocks:
-                seen = np.take_along_axis(blocks, order[:, :upto, None], 1).reshape(m, -1)
-                least = np.partition(seen, seen.shape[1] - need, axis=1)[:, -need]
+            if again:
+                # the k-th largest of the blocks' best; sums that are not finished are lower bounds too, as no weight is below 0
+                top = np.maximum.reduceat(score, self.edges, axis=1) if self.blocks >= need else score
+                if top.shape[1] >= need:
+                    least = np.partition(top, top.shape[1] - need, axis=1)[:, -need]
+                wanted = ~done & (bound >= least[:, None]) & (bound > 0)
         out, query = [], self.query
         for r, (terms, weights) in enumerate(queries):
-            found = np.flatnonzero((score[r] > 0) & (score[r] >= least[r] * (1 - 2 * SLACK)))
+            found = np.flatnonzero(score[r] >= max(least[r] * (1 - 2 * SLACK), np.finfo(np.float32).tiny))
             if len(found) > need:
                 found = found[score[r, found] >= np.partition(score[r, found], len(found) - need)[len(found) - need] * (1 - 2 * SLACK)]
             if without is not None:
@@ -270,77 +425,86 @@ class BlockMaxIndex:
             if not len(found):
                 out.append((np.zeros(0, np.int64), np.zeros(0)))
                 continue
-            query[terms] = weights
+            query[terms], self.asked[terms] = weights, True
             size = self.sizes[found]
             vectors = [slice(a, b) for a, b in zip(self.start[found].tolist(), (self.start[found] + size).tolist())]
             term, count = (np.concatenate([x[v] for v in vectors]) for x in (self.terms, self.counts))
-            shared = np.flatnonzero(query[term])
-            term, count, owner = term[shared], count[shared], np.searchsorted(np.cumsum(size), shared, "right")
+            shared = np.flatnonzero(self.asked.take(term))
+            term, count, owner = term.take(shared), count.take(shared), np.repeat(np.arange(len(found)), size).take(shared)
             exact = np.round(np.bincount(owner, query[term] * self.weigh(term, count), len(found)) / self.norm[found], 12)
-            query[terms] = 0
+            query[terms], self.asked[terms] = 0, False
             by = np.lexsort((self.ids[found], -exact))[:k]
             out.append((found[by], exact[by]))
         return out
 
 
 class Examples:
-    """The sampled rows' term counts, as the bytes they came in; arrays and the index over them are made where they are first used and are not sent along."""
+    """The sampled rows' term counts: as the bytes they came in, or by the path of a file that holds the index over them."""
 
-    def __init__(self, chunks: list[tuple[bytes, ...]], weight: np.ndarray, base: float):
-        self.chunks, self.weight, self.base, self._arrays, self._index = chunks, weight, base, None, None
+    def __init__(self, chunks: list[tuple[bytes, ...]], weight: np.ndarray, base: float, path: str | None = None):
+        self.chunks, self.weight, self.base, self.path, self._index = chunks, weight, base, path, None
+        self._logs = np.ones(1)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_arrays": None, "_index": None}
+        return self.__dict__ | {"_index": None}
 
     def _joined(self, part: str) -> np.ndarray:
         k = _PARTS.index(part)
         if k < 2:
             return np.frombuffer(b"".join(c[k] for c in self.chunks), (np.int64, np.int8)[k])
-        if k == 2:
-            return np.concatenate([_unpacked(c[k]) for c in self.chunks] or [np.zeros(0, np.int32)])
-        out, end = np.empty(int(self._joined("sizes").sum()), np.int32), 0
-        for c in self.chunks:  # in place, as pieces beside the whole would be the peak of a task's memory
-            piece = _unpacked(c[k])
-            out[end : end + len(piece)] = piece
-            end += len(piece)
-        return out
+        return np.concatenate([_unpacked(c[k]) for c in self.chunks] or [np.zeros(0, np.int32)])
 
     def labelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and labels of the rows with known terms, and the labels of those without."""
         ids, labels, sizes = (self._joined(k) for k in ("ids", "labels", "sizes"))
         return ids[sizes > 0], labels[sizes > 0], labels[sizes == 0]
 
-    def _unpack(self) -> None:
-        if self._arrays is None:
-            sizes, counts = self._joined("sizes"), self._joined("counts")
-            counts = counts.astype(np.min_scalar_type(int(counts.max(initial=1))))  # before terms are there too
-            self._arrays = *self.labelled()[:2], sizes[sizes > 0].astype(np.int64), self._joined("terms"), counts
-            self._logs = 1 + np.log(np.arange(1, int(counts.max(initial=1)) + 1))
-            self.chunks = []  # the arrays have it all
-
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(1 + log count) times the term's weight."""
-        self._unpack()
         if len(counts) and counts.max() > len(self._logs):
             self._logs = 1 + np.log(np.arange(1, int(counts.max()) + 1))
         return self._logs[counts - 1] * self.weight[terms]
 
     def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Ids and vectors of examples by their numbers."""
-        self._unpack()
-        ids, _, sizes, terms, counts = self._arrays
-        ends = np.cumsum(sizes)
-        return ids[numbers], [self.unit(terms[ends[k] - sizes[k] : ends[k]], counts[ends[k] - sizes[k] : ends[k]]) for k in numbers]
+        index = self.index()
+        places = index.place[numbers]
+        starts = index.start[places]
+        return index.ids[places], [self.unit(index.terms[a:b], index.counts[a:b]) for a, b in zip(starts.tolist(), (starts + index.sizes[places]).tolist())]
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = self.weigh(terms, counts)
         norm = float(np.sqrt((w * w).sum()))
         return terms, w / norm if norm else w
 
+    def build(self, room=None) -> BlockMaxIndex:
+        """The index; its large arrays, terms and counts among them, are made by room, see BlockMaxIndex."""
+        room, sizes = room or (lambda name, shape, kind: np.zeros(shape, kind)), self._joined("sizes")
+        # in place, as pieces beside the whole would be the peak of a task's memory
+        most = max((int(_unpacked(c[4]).max(initial=1)) for c in self.chunks), default=1)
+        arrays = [room(name, (int(sizes.sum()),), kind) for name, kind in (("terms", np.int32), ("counts", np.min_scalar_type(most)))]
+        for k, out in enumerate(arrays, 3):
+            end = 0
+            for c in self.chunks:
+                piece = _unpacked(c[k])
+                out[end : end + len(piece)] = piece
+                end += len(piece)
+        return BlockMaxIndex(*self.labelled()[:2], sizes[sizes > 0].astype(np.int64), *arrays, self.weigh, len(self.weight), room)
+
+    def shelve(self, path: str) -> None:
+        """Makes the index in a file."""
+        shelf = Shelf(path)
+        try:
+            shelf.close(self.build(shelf).state())
+        finally:
+            shelf.file.close()
+            with suppress(FileNotFoundError):
+                os.unlink(shelf.own)
+
     def index(self) -> BlockMaxIndex:
         if self._index is None:
-            self._unpack()
-            self._index = BlockMaxIndex(*self._arrays, self.weigh, len(self.weight))
+            self._index = BlockMaxIndex.open(self.path, self.weigh) if self.path else self.build()
+            self.chunks = []  # the index has it all
         return self._index
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, list[int]]]:
@@ -352,6 +516,62 @@ class Examples:
         return out
 
 
+def _shelved(batches: Iterator[pa.RecordBatch], examples: Examples, path: str) -> Iterator[pa.RecordBatch]:
+    """Makes the index in a file; -1 if there is no room for it."""
+    for batch in batches:
+        try:
+            examples.shelve(path)
+            yield batch
+        except OSError:
+            yield pa.record_batch({"id": pa.array([-1], pa.int64())})
+
+
+#: Files of indexes that this driver had made.
+_MADE: set[str] = set()
+
+
+def _drop(paths: set[str]) -> None:
+    for path in paths:
+        _MADE.discard(path)
+        with suppress(OSError):
+            os.unlink(path)
+
+
+atexit.register(lambda: _drop(set(_MADE)))
+
+
+@contextmanager
+def passing():
+    """Drops the files of models that are fitted inside; what they score must be written by then."""
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        _drop(_MADE - before)
+
+
+def _spread(spark: SparkSession, examples: Examples):
+    """A broadcast of the examples.
+
+    One task makes the index in a file of the checkpoint folder, which driver and
+    executors share; every worker maps it, so that a machine holds it once.  If that
+    folder is not one of a file system or is full, each worker makes an index of its own.
+    """
+    sc = spark.sparkContext
+    ensure_checkpoint_dir(spark)
+    folder = sc._jsc.sc().getCheckpointDir().get()
+    if re.match("file:|/", folder):
+        path = f"{re.sub('^file:/*', '/', folder)}/nearest-{uuid.uuid4()}.index"
+        whole = sc.broadcast(examples)
+        _MADE.add(path)
+        if spark.range(0, 1, 1, 1).mapInArrow(lambda b: _shelved(b, whole.value, path), "id long").first()["id"] == 0:
+            whole.destroy()
+            return sc.broadcast(Examples([], examples.weight, examples.base, path))
+        _MADE.discard(path)
+        return whole
+    return sc.broadcast(examples)
+
+
 def _left_out_votes(batches: Iterator[pa.RecordBatch], examples: Examples) -> Iterator[pa.RecordBatch]:
     """The vote of each numbered example's neighbours, itself not among them."""
     for batch in batches:
@@ -450,7 +670,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     if not len(ids):
         return Model(vocabulary, base, empty)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(examples)
+    shared = _spread(spark, examples)
     votes = spark.range(0, len(ids), 1, max(1, min(len(ids) // QUERIES, spark.sparkContext.defaultParallelism))).mapInArrow(lambda b: _left_out_votes(b, shared.value), "id long, vote double").toArrow()
     vote = np.zeros(len(ids))
     vote[votes.column(0).to_numpy()] = votes.column(1).to_numpy()

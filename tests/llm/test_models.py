@@ -51,6 +51,89 @@ def test_search_is_exact(common, monkeypatch):
         assert [int(i) for i in index.ids[places]] == [i for _, i in every]
 
 
+def grouped(n=600, terms=200):
+    """Vectors of three kinds of examples that share few terms."""
+    rng = np.random.default_rng(9)
+    share = np.where(np.arange(terms) % 4 == np.arange(4)[:, None], 8.0, 0.1) / (1 + np.arange(terms) // 4)
+    vectors = [(np.sort(rng.choice(terms, k, replace=False, p=share[r] / share[r].sum())), rng.integers(1, 9, k)) for k, r in zip(rng.integers(3, 12, n), rng.integers(0, 3, n))]
+    ids, labels, weight = rng.permutation(n) + 1000, rng.integers(0, 2, n), rng.random(terms) + 0.1
+    text = [np.concatenate([v[k] for v in vectors]) for k in (0, 1)]
+    chunk = (ids.tobytes(), labels.astype(np.int8).tobytes(), *map(nearest._packed, (np.array([len(t) for t, _ in vectors]), *text)))
+    return vectors, ids, nearest.Examples([chunk], weight, 0.5)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.07, 2.0])
+def test_search_by_sections_is_exact(share, monkeypatch):
+    monkeypatch.setattr(nearest, "SECTION", 60)
+    monkeypatch.setattr(nearest, "BLOCK", 8)
+    monkeypatch.setattr(nearest, "SHARE", share)
+    vectors, ids, examples = grouped()
+    index, units = examples.index(), [examples.unit(*v) for v in vectors]
+    assert len(index.dense) > 2 and index.members.sum() == len(ids) and sorted(index.ids) == sorted(ids)
+    dense = np.zeros((len(ids), 200))
+    for row, (t, w) in enumerate(units):
+        dense[row, t] = w
+    for without in (None, ids.tolist()):
+        for r, (places, scores) in enumerate(index.search_all(units, 7, without)):
+            every = sorted((-round(float(x), 12), int(i)) for x, i in zip(dense @ dense[r], ids) if x > 0 and (without is None or i != ids[r]))[:7]
+            assert [-x for x in scores] == pytest.approx([x for x, _ in every])
+            assert [int(i) for i in index.ids[places]] == [i for _, i in every]
+    # a query that shares terms with one kind alone visits less than all tables
+    seen, index.dense = [], [type("Seen", (np.ndarray,), {"__rmatmul__": lambda self, x: seen.append(x.shape) or x @ self.view(np.ndarray), "__array_priority__": 99})(d.shape, d.dtype, d.copy().data) for d in index.dense]
+    if share == 0.07:
+        index.search_all(units, 7)
+        assert seen and sum(n for n, _ in seen) < 0.8 * len(units) * len(index.dense)
+
+
+def test_index_is_mapped_from_one_file(spark, docs, tmp_path, monkeypatch):
+    """Workers map the large arrays of a file that one task makes, and are not sent the examples' terms."""
+    vectors, ids, examples = grouped()
+    units, path = [examples.unit(*v) for v in vectors], str(tmp_path / "x.index")
+    examples.shelve(path)
+    assert [p.name for p in tmp_path.iterdir()] == ["x.index"]
+    mapped = nearest.Examples([], examples.weight, examples.base, path)
+    assert mapped.votes(units, ids.tolist()) == examples.votes(units, ids.tolist())
+    again = nearest.Examples([], examples.weight, examples.base, path)
+    assert all((a == b).all() and (x == y).all() for (a, x), (b, y) in zip(again.rows(np.arange(50))[1], units)) and (again.rows(np.arange(50))[0] == ids[:50]).all()
+
+    def is_mapped(x):
+        import mmap
+
+        while isinstance(x, np.ndarray) and x.base is not None:
+            x = x.base
+        return isinstance(x, mmap.mmap)
+
+    assert all(is_mapped(getattr(mapped.index(), k)) for k in ("table", "postings", "posted", "slot", "terms", "counts"))
+
+    d, labels = labelled(spark, docs, 300)
+    with nearest.passing():
+        model = nearest.fit(d, labels)
+        head = model.shared.value
+        assert head.path in nearest._MADE and not head.chunks
+        scores = {r.doc_id: r.score for r in nearest.score(d, model).collect()}
+    import os
+
+    assert not os.path.exists(head.path) and head.path not in nearest._MADE
+    # where no file can be made, each worker makes an index of its own, with equal scores
+    monkeypatch.setattr(nearest.re, "match", lambda *_: None)
+    alone = nearest.fit(d, labels)
+    assert alone.shared.value.path is None and {r.doc_id: r.score for r in nearest.score(d, alone).collect()} == scores
+
+
+def test_prefixes_are_looked_up_once(monkeypatch):
+    text, offsets = np.frombuffer(b"prefixes unknownword " * 40 + b"prefixed of", np.uint8), np.array([0, 420, 851])
+    terms = nearest.row_terms(text, offsets)[1]
+    lookup = nearest.Lookup(np.setdiff1d(terms, nearest.span_hashes(text, np.array([9]), np.array([20]))))
+    first, asked, find = nearest._counted(text, offsets, lookup), [], nearest.Lookup.find
+    monkeypatch.setattr(nearest.Lookup, "find", lambda self, x: asked.append(len(x)) or find(self, x))
+    again = nearest._counted(text, offsets, lookup)
+    assert all((a == b).all() for a, b in zip(first, again)) and asked == [82, 40, 40, 40, 40]
+    number = nearest.Lookup(lookup.vocabulary).find(terms)
+    row = nearest.row_terms(text, offsets)[0]
+    want, count = np.unique(np.stack([row, number])[:, number >= 0], axis=1, return_counts=True)
+    assert (np.stack(first[:2]) == want).all() and (first[2] == count).all()
+
+
 def test_counts_by_pieces(monkeypatch):
     data = [b"one two two three", b"", b"two " * 50, b"  ", b"three one"]
     text, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
