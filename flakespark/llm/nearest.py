@@ -5,9 +5,9 @@ Terms are words and their first bytes (PREFIXES), as hashes, with weights
 sampled texts with the term): TF-IDF times the relevance frequency, whose factor is 1
 at least, so that the label raises terms but leaves none out.  The vocabulary is every
 term of at least TERM_ROWS sampled texts, whatever their labels; document frequencies
-come from all documents.  The index holds the vectors of all sampled texts in blocks;
-rare terms are summed from postings, common ones only in blocks whose best possible
-cosine can still beat a query's k-th hit.
+come from all documents.  The index holds the vectors of all sampled texts, in sections
+of like ones; rare terms are summed from postings, a section's common ones by products
+with its table, and only if one of its blocks can still beat a query's k-th hit.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 2.0
 #: Terms of a section at most whose weights stand in its dense float32 table, the share of its examples that such a term
 #: needs, queries that are searched together, and postings that are summed at a time (they fit a core's cache).
-COMMON, SHARE, QUERIES, POSTINGS = 4096, 0.08, 256, 1 << 16
+COMMON, SHARE, QUERIES, POSTINGS = 4096, 0.12, 384, 1 << 16
 #: Sections of the index at most, examples that one has on average at least, and terms by which examples are sorted into them.
 SECTIONS, SECTION, SORTING = 8, 1024, 1024
 #: What float32 sums of postings may be off by, as a part of themselves: no weight is below 0, so n additions are off by
@@ -353,9 +353,9 @@ class BlockMaxIndex:
         return self.search_all([(terms, weights)], k, None if without is None else [without])[0]
 
     def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for a in range(0, len(queries), QUERIES):
-            out += self._search(queries[a : a + QUERIES], k, without and without[a : a + QUERIES])
+        out, size = [], -(-len(queries) // max(1, -(-len(queries) // QUERIES)))  # even parts, as a table is read for few queries as for many
+        for a in range(0, len(queries), max(1, size)):
+            out += self._search(queries[a : a + size], k, without and without[a : a + size])
         return out
 
     def _sum_rare(self, terms: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
@@ -407,7 +407,8 @@ class BlockMaxIndex:
             for s, a, b in zip(sections, self.bounds, self.bounds[1:]):
                 rows = np.flatnonzero(wanted[:, s])
                 if len(rows) and len(self.dense[s]):
-                    score[rows, a:b] += common[s][rows] @ self.dense[s]
+                    for r, dots in zip(rows.tolist(), common[s][rows] @ self.dense[s]):
+                        score[r, a:b] += dots
             done |= wanted
             if again:
                 # the k-th largest of the blocks' best; sums that are not finished are lower bounds too, as no weight is below 0
